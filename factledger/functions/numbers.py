@@ -5,31 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves with exact products
-
-
 def round_half_even(x: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals, ties judged on the exact binary value.
 
     ``F.round`` judges ties on the printed decimal (2.675 -> 2.68 although the
-    stored value lies below the tie). Here the distance to the tie is computed
-    without error: the double is split into two halves whose products with
-    2*10^digits are exact.
+    stored value lies below the tie). Number formatting rounds the stored value,
+    half to even, and refers to ``x`` only once, so the expression stays small
+    when the optimizer inlines it.
     """
-    x = x.cast("double")
-    unit = 10.0**digits
-    low = F.floor(x * F.lit(unit)).cast("double")
-    big = x * F.lit(_SPLIT)
-    high_half = big - (big - x)
-    low_half = x - high_half
-    past_tie = (high_half * F.lit(2 * unit) - (low * 2 + 1)) + low_half * F.lit(2 * unit)
-    step = (
-        F.when(past_tie > 0, 1.0)
-        .when(past_tie < 0, 0.0)
-        .otherwise(F.when(F.pmod(low, F.lit(2.0)) == 0, 0.0).otherwise(1.0))
-    )
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    text = F.call_function("format_number", x.cast("double"), F.lit(pattern))
     # "+ 0.0" keeps a rounded-away negative from showing up as -0.0
-    return (low + step) / F.lit(unit) + F.lit(0.0)
+    return text.try_cast("double") + F.lit(0.0)
 
 
 def round_half_up(x: Column) -> Column:

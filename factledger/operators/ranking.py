@@ -55,14 +55,14 @@ def numbered(
     held = placed.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_held"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_part").alias("_p"),
+        *[F.col(k).alias(f"_key{i}_of_offset") for i, k in enumerate(keys)],
+        F.col("_part").alias("_part_of_offset"),
         "_first",
         F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"),
     )
-    same = F.col("_part") == F.col("_p")
+    same = F.col("_part") == F.col("_part_of_offset")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}_of_offset"))
     number = (F.col("_pos") - F.col("_first") + F.col("_offset") + F.lit(start)).cast("bigint")
     return placed.join(offsets, same).withColumn(name, number).select(*df.columns, name)
 

@@ -53,7 +53,7 @@ def peer_members(statistics: DataFrame) -> DataFrame:
     return numbered(statistics, ["value", "stat_id"], PEER_KEYS, name="place", start=0)
 
 
-def peer_sets(statistics: DataFrame, inline_ids: int = 1000) -> DataFrame:
+def peer_sets(members: DataFrame, inline_ids: int = 1000) -> DataFrame:
     """One row per peer set: size, extremes and, for sets up to ``inline_ids``, the ids.
 
     Larger sets keep their members in the statistics table itself, which is
@@ -61,23 +61,23 @@ def peer_sets(statistics: DataFrame, inline_ids: int = 1000) -> DataFrame:
     list is always recoverable by an equi-join.
     """
     row = F.struct("value", "stat_id")
-    sets = statistics.groupBy(*PEER_KEYS).agg(
+    sets = members.groupBy(*PEER_KEYS).agg(
         F.count("*").alias("n_peers"),
         F.min(row).alias("lowest"),
         F.max(row).alias("highest"),
     )
-    small = sets.filter(F.col("n_peers") <= inline_ids).select(*PEER_KEYS)
+    # a set has a member at place `inline_ids` exactly when it is larger than that
+    large = members.filter(F.col("place") == inline_ids).select(*PEER_KEYS)
     ids = (
-        statistics.join(small, PEER_KEYS, "left_semi")
+        members.join(large, PEER_KEYS, "left_anti")
         .groupBy(*PEER_KEYS)
         .agg(F.sort_array(F.collect_list("stat_id")).alias("statistic_ids"))
     )
     return sets.join(ids, PEER_KEYS, "left")
 
 
-def dimension_lookup(statistics: DataFrame) -> DataFrame:
+def dimension_lookup(members: DataFrame) -> DataFrame:
     """One row per (peer set, dimension): its lowest-valued and its first-listed statistic."""
-    members = peer_members(statistics)
     by_value = F.struct("value", "stat_id", "place", "source_url")
     by_listing = F.struct("stat_id", "value", "source_url")
     return members.groupBy(*PEER_KEYS, "dimension_value").agg(
@@ -87,8 +87,9 @@ def dimension_lookup(statistics: DataFrame) -> DataFrame:
 
 def match_statistics(claims: DataFrame, statistics: DataFrame, inline_ids: int = 1000) -> DataFrame:
     """Attach to each claim its peer set and its own dimension's statistic."""
-    sets = peer_sets(statistics, inline_ids)
-    own = dimension_lookup(statistics)
+    members = peer_members(statistics.select("stat_id", *PEER_KEYS, "dimension_value", "value", "source_url"))
+    sets = peer_sets(members, inline_ids)
+    own = dimension_lookup(members)
     return claims.join(sets, PEER_KEYS, "left").join(own, [*PEER_KEYS, "dimension_value"], "left")
 
 
@@ -100,29 +101,37 @@ def adjudicate(matched: DataFrame) -> DataFrame:
     ranked, listed = F.col("ranked"), F.col("listed")
     n = F.col("n_peers")
 
-    # superlative
+    # The steps are separate projections so that each rounded value is a plain
+    # column when the next step uses it.
+    claimed = F.col("claimed_value")
     extreme = F.when(is_min, F.col("lowest")).otherwise(F.col("highest"))
-    coverage = F.least(F.lit(1.0), n / F.lit(float(FULL_COVERAGE_PEERS)))
-    holds = ranked["stat_id"] == extreme["stat_id"]
-    place = F.when(n > 1, ranked["place"] / (n - 1)).otherwise(0.0)
-    distance = F.when(is_min, place).otherwise(F.lit(1.0) - place)
-    sup_conf = F.when(holds, round_half_even(F.lit(0.5) + F.lit(0.4) * coverage, 4)).otherwise(
-        round_half_even(F.least(F.lit(MAX_CONFIDENCE), distance * coverage), 4)
+    started = matched.withColumns(
+        {
+            "_n": n,
+            "_decided": F.when(is_value, listed.isNotNull() & claimed.isNotNull()).otherwise(ranked.isNotNull()),
+            "_holds": ranked["stat_id"] == extreme["stat_id"],
+            "_actual": F.when(is_value, listed["value"]).otherwise(ranked["value"]),
+            "_extreme": extreme["value"],
+            "_place": F.when(n > 1, ranked["place"] / (n - 1)).otherwise(0.0),
+            "_coverage": F.least(F.lit(1.0), n / F.lit(float(FULL_COVERAGE_PEERS))),
+        }
     )
-    sup_gap = F.when(holds, F.lit(0.0)).otherwise(round_half_even(ranked["value"] - extreme["value"], 4))
-
-    # value
-    claimed, actual = F.col("claimed_value"), listed["value"]
-    gap = round_half_even(claimed - actual, 4)
-    rel = F.abs(gap) / F.greatest(F.abs(actual), F.lit(1e-9))
-    near, far = rel <= VALUE_CONSISTENT_REL, rel >= VALUE_INCONSISTENT_REL
-    val_conf = (
-        F.when(near, 0.9)
-        .when(far, round_half_even(F.least(F.lit(MAX_CONFIDENCE), F.lit(0.6) + rel), 4))
-        .otherwise(0.5)
+    actual, holds, decided = F.col("_actual"), F.col("_holds"), F.col("_decided")
+    gapped = started.withColumn(
+        "_raw_gap",
+        F.when(is_value, claimed - actual).when(holds, F.lit(0.0)).otherwise(actual - F.col("_extreme")),
+    ).withColumn("_gap", round_half_even(F.col("_raw_gap"), 4))
+    measured = gapped.withColumn("_rel", F.abs("_gap") / F.greatest(F.abs(actual), F.lit(1e-9)))
+    near, far = F.col("_rel") <= VALUE_CONSISTENT_REL, F.col("_rel") >= VALUE_INCONSISTENT_REL
+    distance = F.when(is_min, F.col("_place")).otherwise(F.lit(1.0) - F.col("_place"))
+    raw = (
+        F.when(~decided, 0.0)
+        .when(is_value & near, 0.9)
+        .when(is_value & far, F.least(F.lit(MAX_CONFIDENCE), F.lit(0.6) + F.col("_rel")))
+        .when(is_value, 0.5)
+        .when(holds, F.lit(0.5) + F.lit(0.4) * F.col("_coverage"))
+        .otherwise(F.least(F.lit(MAX_CONFIDENCE), distance * F.col("_coverage")))
     )
-
-    decided = F.when(is_value, listed.isNotNull() & claimed.isNotNull()).otherwise(ranked.isNotNull())
     outcome = (
         F.when(~decided, "unverifiable")
         .when(is_value & near, "consistent")
@@ -131,41 +140,46 @@ def adjudicate(matched: DataFrame) -> DataFrame:
         .when(holds, "consistent")
         .otherwise("inconsistent")
     )
-    chosen = F.when(is_value, F.struct(listed["stat_id"].alias("id"), listed["source_url"].alias("url"))).otherwise(
-        F.struct(ranked["stat_id"].alias("id"), ranked["source_url"].alias("url"))
-    )
-    return matched.withColumns(
-        {
-            "n_peers": F.coalesce(n, F.lit(0)).cast("bigint"),
-            "statistic_ids": F.when(n.isNull(), F.array().cast("array<bigint>")).otherwise(F.col("statistic_ids")),
-            "outcome": outcome,
-            "confidence": F.when(decided, F.when(is_value, val_conf).otherwise(sup_conf)).otherwise(0.0),
-            "numeric_gap": F.when(decided, F.when(is_value, gap).otherwise(sup_gap)),
-            "official_statistic_id": F.when(decided, chosen["id"]),
-            "statistic_url": F.when(decided, chosen["url"]),
-            "rationale": _rationale(is_value, is_min, n, decided, holds, ranked, extreme, claimed, actual, gap),
-            "adjudicator_version": F.lit(ADJUDICATOR_VERSION),
-        }
+    chosen_id = F.when(is_value, listed["stat_id"]).otherwise(ranked["stat_id"])
+    chosen_url = F.when(is_value, listed["source_url"]).otherwise(ranked["source_url"])
+    return (
+        measured.withColumn("_raw", raw)
+        .withColumns(
+            {
+                "n_peers": F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"),
+                "statistic_ids": F.when(F.col("_n").isNull(), F.array().cast("array<bigint>")).otherwise(
+                    F.col("statistic_ids")
+                ),
+                "outcome": outcome,
+                "confidence": round_half_even(F.col("_raw"), 4),
+                "numeric_gap": F.when(decided, F.col("_gap")),
+                "official_statistic_id": F.when(decided, chosen_id),
+                "statistic_url": F.when(decided, chosen_url),
+                "rationale": _rationale(is_value, is_min),
+                "adjudicator_version": F.lit(ADJUDICATOR_VERSION),
+            }
+        )
+        .drop("_n", "_decided", "_holds", "_actual", "_extreme", "_place", "_coverage", "_raw_gap", "_gap", "_rel", "_raw")
     )
 
 
-def _rationale(is_value, is_min, n, decided, holds, ranked, extreme, claimed, actual, gap) -> Column:
+def _rationale(is_value: Column, is_min: Column) -> Column:
     low_high = F.when(is_min, "נמוך").otherwise("גבוה")
-    dim = F.col("dimension_value")
-    count = n.cast("string")
+    dim, count = F.col("dimension_value"), F.col("_n").cast("string")
+    decided, holds = F.col("_decided"), F.col("_holds")
     return (
-        F.when(n.isNull(), "אין נתון רשמי תואם להכרעה.")
+        F.when(F.col("_n").isNull(), "אין נתון רשמי תואם להכרעה.")
         .when(~decided & is_value, "אין נתון מספרי תואם לאימות הערך הנטען.")
         .when(~decided, "הממד הנטען אינו קיים בקטלוג הנתונים הרשמי.")
         .when(
             is_value,
             F.concat(
                 F.lit("הערך הנטען "),
-                float_text(claimed),
+                float_text(F.col("claimed_value")),
                 F.lit(" מול הנתון הרשמי "),
-                float_text(actual),
+                float_text(F.col("_actual")),
                 F.lit(" (פער "),
-                float_text(gap),
+                float_text(F.col("_gap")),
                 F.lit(")."),
             ),
         )
@@ -188,9 +202,9 @@ def _rationale(is_value, is_min, n, decided, holds, ranked, extreme, claimed, ac
                 F.lit(" אינו ה"),
                 low_high,
                 F.lit(" ביותר; ערכו "),
-                float_text(ranked["value"]),
+                float_text(F.col("_actual")),
                 F.lit(" לעומת הקיצון "),
-                float_text(extreme["value"]),
+                float_text(F.col("_extreme")),
                 F.lit(" (מתוך "),
                 count,
                 F.lit(" ערכים)."),

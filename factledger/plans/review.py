@@ -51,9 +51,13 @@ def assign_ids(findings: DataFrame) -> DataFrame:
     top = findings.filter(has_id).agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
     keyed = findings.filter(has_id)
     bare = numbered(findings.filter(~has_id), ["pos"], name="_no").crossJoin(F.broadcast(top))  # one-row table
-    next_no = F.col("_top") + F.col("_no")
-    text = F.concat(F.lit("F-"), F.when(next_no < 10000, F.lpad(next_no.cast("string"), 4, "0")).otherwise(next_no))
-    return keyed.unionByName(bare.withColumn("id", text).drop("_top", "_no"))
+    return keyed.unionByName(bare.withColumn("id", finding_id(F.col("_top") + F.col("_no"))).drop("_top", "_no"))
+
+
+def finding_id(number: Column) -> Column:
+    """``F-0001`` style id: at least four digits, longer numbers in full."""
+    digits = number.cast("string")
+    return F.concat(F.lit("F-"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
 def apply_decisions(findings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
