@@ -17,22 +17,32 @@ PAGE = "value array<string>, `@odata.nextLink` string, `odata.nextLink` string"
 
 # --- feed pages ------------------------------------------------------------------
 def read_pages(
-    spark: SparkSession, path: str, entity_url: str, source_type: str, max_records: int | None = None
+    spark: SparkSession,
+    path: str,
+    entity_url: str,
+    source_type: str,
+    max_records: int | None = None,
+    page_per_line: bool = False,
 ) -> DataFrame:
     """Rows of landed feed pages with provenance.
 
-    Each file is one page; rows sit under ``value`` and stay JSON text, so drifting
+    Each file (or each line) is one page; rows sit under ``value`` and stay JSON text, so drifting
     upstream columns survive. A row repeated across pages is kept once.
     """
     pages = (
         spark.read.schema(PAGE)
-        .option("multiLine", True)
+        .option("multiLine", not page_per_line)
         .json(path)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("fetched_at"))
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_modification_time").alias("fetched_at"),
+        )
     )
     rows = pages.select("file", "fetched_at", F.posexplode("value").alias("row_no", "payload"))
     rows = stamp(rows, entity_url, source_type)
-    rows = top_rows(rows, ["source_record_id", "payload"], ["file", "row_no"])
+    rows = rows.withColumn("payload_key", F.xxhash64("payload"))
+    rows = top_rows(rows, ["source_record_id", "payload_key", "payload"], ["file", "row_no"]).drop("payload_key")
     if max_records is not None:
         rows = rows.orderBy("file", "row_no").limit(max_records)
     return rows

@@ -51,10 +51,15 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def earlier_batches(spark: SparkSession, path: str, batch_id: int, columns: Sequence[str]) -> DataFrame | None:
+def earlier_batches(
+    spark: SparkSession, path: str, batch_id: int, columns: Sequence[str], only_last: bool = False
+) -> DataFrame | None:
     """Rows written by batches before this one (a replay must not see itself)."""
     known = read_or_none(spark, path)
-    return None if known is None else known.filter(F.col("batch") < batch_id).select(*columns)
+    if known is None:
+        return None
+    wanted = F.col("batch") == batch_id - 1 if only_last else F.col("batch") < batch_id
+    return known.filter(wanted).select(*columns)
 
 
 def process_unseen(
@@ -94,30 +99,31 @@ def retry_keys(dead: DataFrame, processed: DataFrame, key: str) -> DataFrame:
 
 
 def discover(
-    stream: DataFrame, key: str, group: str, order: Sequence[str], per_group: int, out: str, checkpoint: str
+    stream: DataFrame, key: str, group: str, order: Sequence[str], per_group: int, out: str, waiting: str, checkpoint: str
 ) -> None:
     """Queue newly found items once, at most ``per_group`` per group and batch.
 
-    Items beyond the quota are not marked as queued: they are offered again by
-    the next search, as in :func:`leftover`.
+    Items beyond the quota are not lost: each batch writes them to ``waiting``
+    and the next batch takes them up again before anything new of that group.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        named = batch.filter(F.col(key).isNotNull())
+        named = batch.filter(F.col(key).isNotNull()).withColumn("_age", F.lit(1))
+        held = earlier_batches(spark, waiting, batch_id, batch.columns, only_last=True)
+        if held is not None:
+            named = held.withColumn("_age", F.lit(0)).unionByName(named)
         known = earlier_batches(spark, out, batch_id, [key])
         fresh = named if known is None else not_in(named, known, [key])
-        first = top_rows(fresh, [key], order)
-        append_batch(top_rows(first, [group], order, per_group), out, batch_id)
+        first = top_rows(fresh, [key], ["_age", *order])
+        queued = top_rows(first, [group], ["_age", *order, key], per_group).drop("_age")
+        append_batch(queued, out, batch_id)
+        written = spark.read.parquet(f"{out}/batch={batch_id}").select(key)
+        append_batch(not_in(first.drop("_age"), written, [key]), waiting, batch_id)
 
     run_batches(stream, checkpoint, step)
 
 
-def leftover(found: DataFrame, queued: DataFrame, key: str) -> DataFrame:
-    """Discovered items that no batch has queued yet."""
-    return not_in(found.filter(F.col(key).isNotNull()), queued, [key])
-
-
 def deduplicated(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Streaming duplicate removal with state; with an event time the state is bounded by ``delay``."""
     if event_time is None:
