@@ -96,7 +96,13 @@ def unit_label(unit: Column) -> Column:
     return F.coalesce(labels[unit], unit)
 
 
-def joined_segments(segments: Column, size: int = 14000) -> Column:
-    """Transcript text of an array of segments, as far as one prompt carries."""
+def transcript_parts(segments: Column, size: int = 14000) -> Column:
+    """Transcript text of an array of segments, cut into consecutive parts one prompt can carry.
+
+    The first part is what a single prompt would show; the others carry the
+    rest, so no text is left unread. An empty transcript has one empty part.
+    """
     texts = F.transform(segments, lambda s: F.coalesce(s["text"], F.lit("")))
-    return F.left(F.array_join(texts, " "), F.lit(size))
+    text = F.array_join(texts, " ")
+    last = F.greatest(F.ceil(F.length(text) / size) - 1, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))

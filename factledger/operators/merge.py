@@ -76,8 +76,11 @@ def merge_rows(
 def insert_absent(
     stored: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 ) -> DataFrame:
-    """Stored rows plus the first new row of every key not stored yet."""
-    fresh = top_rows(not_in(new, stored, keys), keys, order)
+    """Stored rows plus the first new row of every key not stored yet.
+
+    Copies of one key are reduced to their first row before the anti-join.
+    """
+    fresh = not_in(top_rows(new, keys, order), stored, keys)
     return stored.unionByName(fresh.select(*stored.columns))
 
 

@@ -100,8 +100,9 @@ def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits:
     """Claims with at least one conflicting claim, its count and the extreme partners."""
     cells = conflict_cells(claims, min_gap, digits).filter(F.col("conflicts") > 0)
     ticked = _ticked(claims, digits)
-    queue = ticked.join(cells.select(*GROUP, "video", "tick", "conflicts"), [*GROUP, "video", "tick"])
-    queue = queue.join(_video_extremes(ticked), GROUP)
+    # cells are pre-aggregated; the claims themselves join on the fine key only
+    partners = cells.select(*GROUP, "video", "tick", "conflicts").join(_video_extremes(ticked), GROUP)
+    queue = ticked.join(partners, [*GROUP, "video", "tick"])
 
     def other(side: str) -> Column:
         own = F.col(f"{side}1.video") == F.col("video")

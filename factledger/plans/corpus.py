@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.constants import (
@@ -75,13 +75,13 @@ def topic_summary(edges: DataFrame, series_latest: DataFrame, topics: Topics = S
     ``series_latest`` has (key, label, unit, year, value, source_org, source_url).
     """
     counts = edges.groupBy("topic").agg(F.count("*").alias("people"))
-    peak = Window.partitionBy()  # one row per topic
     table = topic_table(edges.sparkSession, topics)
+    peak = F.coalesce(counts.agg(F.max("people").cast("double")).scalar(), F.lit(0.0))
     out = (
         table.join(counts, "topic", "left")
         .join(series_latest.withColumnRenamed("key", "topic"), "topic", "left")
         .withColumn("people", F.coalesce("people", F.lit(0)))
-        .withColumn("bar", percent_of_max(F.col("people").cast("double"), F.max("people").over(peak).cast("double")))
+        .withColumn("bar", percent_of_max(F.col("people").cast("double"), peak))
     )
     blank = F.lit("")
     return out.select(
@@ -287,13 +287,15 @@ def corpus_status(
     """
     from factledger.plans.review import finding_counts
 
-    corpus = interviews.agg(
+    last = activity.agg(F.max("ts")).scalar()
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last.cast("timestamp"))
+    counters = finding_counts(findings)
+    out = interviews.agg(
         F.count("*").alias("transcripts"), F.countDistinct("person_id").alias("people_with_interviews")
     )
-    last = activity.agg(F.max("ts").alias("last_ts"))
-    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
-    live = last.select(
-        round_half_even(age / 60, 1).alias("last_activity_min"),
-        F.coalesce(age < within, F.lit(False)).alias("active"),
+    return out.withColumns({c: counters.select(c).scalar() for c in counters.columns}).withColumns(
+        {
+            "last_activity_min": round_half_even(age / 60, 1),
+            "active": F.coalesce(age < within, F.lit(False)),
+        }
     )
-    return corpus.crossJoin(finding_counts(findings)).crossJoin(live)  # three one-row tables

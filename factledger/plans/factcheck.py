@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factledger.constants import CHECKED_TOPICS, STAT_FIELDS
 from factledger.functions.numbers import float_text
-from factledger.functions.text import contains_any, first_matching, joined_segments
+from factledger.functions.text import contains_any, first_matching, transcript_parts
 from factledger.operators.ranking import numbered
 
 Keywords = Mapping[str, Sequence[str]]
@@ -74,40 +74,46 @@ def stat_line(index: Column) -> Column:
     )
 
 
-def stat_lists(statistics: DataFrame, keywords: Keywords = CHECKED_TOPICS, max_lines: int = 5000) -> DataFrame:
+def stat_lists(statistics: DataFrame, keywords: Keywords = CHECKED_TOPICS, max_lines: int = 1000) -> DataFrame:
     """Numbered statistics text per topic, for prompts.
 
-    A prompt can only carry a bounded list: topics with more than ``max_lines``
-    statistics are left out here and must be split by the caller's keywords.
+    A prompt carries at most ``max_lines`` lines, so a long list is cut into
+    several consecutive ones; the numbers run on, and every statistic is in
+    exactly one list.
     """
-    lines = topic_statistics(statistics, keywords).withColumn("line", stat_line(F.col("stat_index")))
-    sizes = lines.groupBy("topic_key").agg(F.count("*").alias("n_stats")).filter(F.col("n_stats") <= max_lines)
-    kept = lines.join(sizes.select("topic_key"), "topic_key", "left_semi")
-    texts = kept.groupBy("topic_key").agg(F.sort_array(F.collect_list(F.struct("stat_index", "line"))).alias("l"))
+    lines = topic_statistics(statistics, keywords).withColumns(
+        {"line": stat_line(F.col("stat_index")), "list_no": F.floor(F.col("stat_index") / max_lines)}
+    )
+    texts = lines.groupBy("topic_key", "list_no").agg(
+        F.sort_array(F.collect_list(F.struct("stat_index", "line"))).alias("l")
+    )
     return texts.select(
-        "topic_key", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("stat_lines")
+        "topic_key", "list_no", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("stat_lines")
     )
 
 
 def extraction_prompts(transcripts: DataFrame, template: str, topics: Sequence[str]) -> DataFrame:
-    """Prompt per transcript; ``template`` holds the marks {topics} and {transcript}."""
+    """Prompts of every transcript; ``template`` holds the marks {topics} and {transcript}.
+
+    A transcript longer than one prompt gives one prompt per part, so the whole
+    text is read.
+    """
     head = template.replace("{topics}", "\n".join("- " + t for t in topics))
     before, _, after = head.partition("{transcript}")
-    return transcripts.withColumn(
-        "prompt", F.concat(F.lit(before), joined_segments(F.col("segments")), F.lit(after))
-    )
+    parts = transcripts.select("*", F.posexplode(transcript_parts(F.col("segments"))).alias("part_no", "_part"))
+    return parts.withColumn("prompt", F.concat(F.lit(before), F.col("_part"), F.lit(after))).drop("_part")
 
 
 def adjudication_prompts(
     claims: DataFrame, statistics: DataFrame, template: str, keywords: Keywords = CHECKED_TOPICS
 ) -> DataFrame:
-    """Prompt per claim whose topic has statistics; marks {claim}, {quote} and {stats}."""
+    """Prompt per claim and statistics list of its topic; marks {claim}, {quote} and {stats}."""
     lists = stat_lists(statistics, keywords)
     routed = claims.withColumn("topic_key", topic_key(F.col("topic"), keywords)).join(lists, "topic_key")
     prompt = F.lit(template)
     for mark, value in (("{claim}", "claim"), ("{quote}", "quote"), ("{stats}", "stat_lines")):
         prompt = F.replace(prompt, F.lit(mark), F.coalesce(F.col(value), F.lit("")))
-    return routed.withColumn("prompt", prompt).drop("stat_lines")
+    return routed.withColumn("prompt", prompt).drop("stat_lines", "list_no")
 
 
 def generate(prompts: DataFrame, gen: Callable[[str], str | None]) -> DataFrame:
@@ -220,8 +226,8 @@ def fact_check(
     from factledger.session import cut_lineage
 
     extracted = cut_lineage(generate(extraction_prompts(transcripts, extract_template, topics), gen))
-    failed = extracted.filter(F.col("answer").isNull()).drop("prompt", "answer")
-    claims = parse_claims(extracted.filter(F.col("answer").isNotNull()).drop("segments"))
+    failed = extracted.filter(F.col("answer").isNull()).drop("prompt", "answer")  # names the part to retry
+    claims = parse_claims(extracted.filter(F.col("answer").isNotNull()).drop("segments", "part_no"))
     judged = generate(adjudication_prompts(claims, statistics, adjudicate_template, keywords), gen)
     verdicts = parse_verdicts(judged.filter(F.col("answer").isNotNull()))
     return gate_findings(verdicts, statistics, keywords), failed

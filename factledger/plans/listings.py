@@ -70,10 +70,9 @@ def page_after(df: DataFrame, key: str, last: object | None, limit: int = DEFAUL
 
 def envelope(df: DataFrame, order: Sequence[Column | str], limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
     """Page rows, each with the total of matching rows, the limit and the offset."""
-    total = df.agg(F.count("*").alias("total"))
-    rows = page(df, order, limit, offset)
-    return rows.crossJoin(F.broadcast(total)).withColumns(  # total is one row
-        {"limit": F.lit(limit), "offset": F.lit(offset)}
+    total = df.agg(F.count("*")).scalar()
+    return page(df, order, limit, offset).withColumns(
+        {"total": total, "limit": F.lit(limit), "offset": F.lit(offset)}
     )
 
 
@@ -148,22 +147,16 @@ def party_sizes(roster: DataFrame) -> DataFrame:
     )
 
 
-def role_cards(appointments: DataFrame, matched: DataFrame, k: int = 200) -> DataFrame:
-    """One card per person with the roles in stored order; people with a matched series first.
+def role_cards(appointments: DataFrame, matched: DataFrame) -> DataFrame:
+    """All roles, those of one person together and in stored order; people with a matched series first.
 
-    A card shows at most ``k`` roles, ``role_count`` tells the full number, and
-    the appointments table holds them all.
+    Cards stay in long form (one row per role), so a person may hold any number
+    of roles; ``card_pos`` orders the cards and ``role_count`` is the card's size.
     """
-    first = top_rows(appointments, ["person_id"], ["pos"], k)
-    role = F.struct("pos", "position", "ministry", "start_date")
-    lists = first.groupBy("person_id").agg(
-        F.min_by("name", "pos").alias("name"), F.sort_array(F.collect_list(role)).alias("roles"), F.min("pos").alias("pos")
+    cards = appointments.groupBy("person_id").agg(
+        F.min_by("name", "pos").alias("card_name"), F.count("*").alias("role_count"), F.min("pos").alias("card_pos")
     )
-    sizes = appointments.groupBy("person_id").agg(F.count("*").alias("role_count"))
     charted = matched.select("person_id").distinct().withColumn("charted", F.lit(True))
-    return (
-        lists.join(sizes, "person_id")
-        .join(charted, "person_id", "left")
-        .withColumn("charted", F.coalesce("charted", F.lit(False)))
-        .orderBy(F.desc("charted"), "pos")
-    )
+    heads = cards.join(charted, "person_id", "left").withColumn("charted", F.coalesce("charted", F.lit(False)))
+    roles = appointments.select("person_id", "pos", "position", "ministry", "start_date")
+    return roles.join(heads, "person_id").orderBy(F.desc("charted"), "card_pos", "person_id", "pos")

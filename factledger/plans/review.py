@@ -32,9 +32,8 @@ def merge_findings(stored: DataFrame, new: DataFrame, retracted: DataFrame) -> D
     is kept. Ids continue from the highest stored one.
     """
     known = union_keys(stored.select(*FINDING_KEY), retracted.select(*FINDING_KEY))
-    fresh = not_in(new.filter(F.col("status") == "confirmed"), known, FINDING_KEY)
-    fresh = top_rows(fresh, FINDING_KEY, ["pos"])
-    fresh = fresh.withColumns(
+    fresh = top_rows(new.filter(F.col("status") == "confirmed"), FINDING_KEY, ["pos"])
+    fresh = not_in(fresh, known, FINDING_KEY).withColumns(
         {
             "url": F.concat(F.lit(WATCH_URL), F.coalesce(F.col("video_id").cast("string"), F.lit("None"))),
             "id": F.lit(None).cast("string"),
@@ -48,10 +47,10 @@ def assign_ids(findings: DataFrame) -> DataFrame:
     """Give findings without an id the next ``F-0001`` style ids, in ``pos`` order."""
     number = F.regexp_extract(F.coalesce("id", F.lit("")), r"^F-(\d+)$", 1).try_cast("bigint")
     has_id = F.coalesce(F.col("id"), F.lit("")) != ""
-    top = findings.filter(has_id).agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
     keyed = findings.filter(has_id)
-    bare = numbered(findings.filter(~has_id), ["pos"], name="_no").crossJoin(F.broadcast(top))  # one-row table
-    return keyed.unionByName(bare.withColumn("id", finding_id(F.col("_top") + F.col("_no"))).drop("_top", "_no"))
+    top = keyed.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
+    bare = numbered(findings.filter(~has_id), ["pos"], name="_no")
+    return keyed.unionByName(bare.withColumn("id", finding_id(top + F.col("_no"))).drop("_no"))
 
 
 def finding_id(number: Column) -> Column:
@@ -132,11 +131,10 @@ def findings_leaderboard(
 def with_bars(board: DataFrame, count: str = "contradicted_count") -> DataFrame:
     """Bar width of every row relative to the largest count (never below 1).
 
-    The maximum is a one-row aggregate, so rows are not moved for it.
+    The maximum is a scalar subquery, so rows are not moved for it.
     """
-    top = board.agg(F.max(F.col(count).cast("double")).alias("_top"))
-    joined = board.crossJoin(F.broadcast(top))  # one-row table
-    return joined.withColumn("bar", percent_of_max(F.col(count).cast("double"), F.col("_top"))).drop("_top")
+    top = board.agg(F.max(F.col(count).cast("double"))).scalar()
+    return board.withColumn("bar", percent_of_max(F.col(count).cast("double"), top))
 
 
 def profile_findings(findings: DataFrame, person: Column | str) -> DataFrame:

@@ -7,9 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.constants import GOOD_WHEN_UP, MIN_SERIES_YEARS, NATIONAL_DIMENSIONS, PORTFOLIO_METRICS
+from factledger.constants import (
+    GOOD_WHEN_UP,
+    MIN_SERIES_YEARS,
+    NATIONAL_DIMENSIONS,
+    PORTFOLIO_METRICS,
+    RESEARCH_METRICS,
+)
 from factledger.functions.casts import start_year, year_in
-from factledger.functions.numbers import percent_of_max
+from factledger.functions.numbers import percent_of_max, round_half_even
 from factledger.functions.text import person_name_key, short_org, unit_label
 from factledger.operators.ranking import bounded_rows, top_rows
 
@@ -100,6 +106,90 @@ def portfolio_points(series: DataFrame, metrics: Mapping[str, str] = PORTFOLIO_M
     )
 
 
+def research_series(verified: DataFrame) -> DataFrame:
+    """Verified research output as portfolio series."""
+    blank = F.lit("")
+    source = F.struct(F.coalesce("source_org", blank).alias("org"), F.coalesce("source_url", blank).alias("url"))
+    return verified.select(
+        "key",
+        F.coalesce("label", blank).alias("label"),
+        F.coalesce("unit", blank).alias("unit"),
+        F.coalesce("ministry_match", F.array().cast("array<string>")).alias("match"),
+        F.left(F.coalesce("note", blank), F.lit(600)).alias("note"),
+        F.array(source).alias("sources"),
+        "points",
+        F.lit(True).alias("from_research"),
+    )
+
+
+def research_points(verified: DataFrame, metrics: Mapping[str, str] = RESEARCH_METRICS) -> DataFrame:
+    """Catalog points of the research series that belong to a checked topic, tagged ``from_research``."""
+    names = F.create_map(*[F.lit(x) for pair in metrics.items() for x in pair])
+    rows = verified.withColumn("metric", names[F.col("key")]).filter(F.col("metric").isNotNull())
+    blank = F.lit("")
+    rows = rows.select("metric", "label", "unit", "source_org", "source_url", F.explode("points").alias("point"))
+    year = F.col("point.year").cast("string")
+    quote = F.concat(
+        F.left(F.coalesce("label", blank), F.lit(40)), F.lit(": "), year, F.lit(" = "), F.col("point.value").cast("string")
+    )
+    return rows.select(
+        "metric",
+        F.lit("year").alias("dimension_type"),
+        year.alias("dimension_value"),
+        F.col("point.value").alias("value"),
+        F.left(F.coalesce("unit", blank), F.lit(24)).alias("unit"),
+        year.alias("period"),
+        F.coalesce("source_org", blank).alias("source_org"),
+        F.coalesce("source_url", blank).alias("source_url"),
+        quote.alias("confirm_quote"),
+        F.lit(True).alias("from_research"),
+    )
+
+
+def measured_points(verified: DataFrame) -> DataFrame:
+    """Catalog points of verified metrics with their own dimensions, tagged ``from_catalog_research``.
+
+    A metric without a name or without points is skipped; the period defaults to
+    the dimension.
+    """
+    blank = F.lit("")
+    usable = verified.filter((F.coalesce("metric", blank) != "") & (F.coalesce(F.size("points"), F.lit(0)) > 0))
+    rows = usable.select(
+        "metric", "dimension_type", "label", "unit", "source_org", "source_url", F.explode("points").alias("point")
+    )
+    dim = F.col("point.dimension_value").cast("string")
+    quote = F.concat(
+        F.left(F.coalesce("label", blank), F.lit(50)), F.lit(": "), dim, F.lit(" = "), F.col("point.value").cast("string")
+    )
+    return rows.select(
+        "metric",
+        F.coalesce("dimension_type", F.lit("year")).alias("dimension_type"),
+        dim.alias("dimension_value"),
+        F.col("point.value").alias("value"),
+        F.left(F.coalesce("unit", blank), F.lit(30)).alias("unit"),
+        F.coalesce(F.col("point.period").cast("string"), dim).alias("period"),
+        F.coalesce("source_org", blank).alias("source_org"),
+        F.coalesce("source_url", blank).alias("source_url"),
+        quote.alias("confirm_quote"),
+        F.lit(True).alias("from_catalog_research"),
+    )
+
+
+def yearly_ratio(monthly: Column) -> Column:
+    """Yearly figure of a count of monthly salaries, one decimal."""
+    return round_half_even(monthly.cast("double") / 12, 1)
+
+
+def catalog_overview(points: DataFrame) -> DataFrame:
+    """Number of points and of distinct metrics."""
+    return points.agg(F.count("*").alias("points"), F.countDistinct("metric").alias("metrics"))
+
+
+def catalog_metrics(points: DataFrame) -> DataFrame:
+    """Distinct metrics with their number of points, in name order."""
+    return points.groupBy("metric").agg(F.count("*").alias("points")).orderBy("metric")
+
+
 # --- tenure trends ------------------------------------------------------------------
 def match_series(appointments: DataFrame, series: DataFrame, limit: int = 10_000) -> DataFrame:
     """First series, in declared order, one of whose keywords occurs in the position or ministry.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factledger.functions.text import joined_segments
+from factledger.functions.text import transcript_parts
 from factledger.operators.merge import union_first
 from factledger.plans import conflicts, corpus, listings
 from factledger.queries import register
@@ -303,18 +303,16 @@ def corpus_status(v):
 @register(
     "transcript_text",
     "",
-    """SELECT doc_id AS video_id, length(replace(text, chr(10), ' ')) AS whole_chars,
-      md5(left(replace(text, chr(10), ' '), 14000)) AS prompt_text FROM documents""",
+    """WITH t AS (SELECT doc_id AS video_id, replace(text, chr(10), ' ') AS whole FROM documents),
+      p AS (SELECT *, unnest(range(greatest(CAST(ceil(length(whole) / 14000) AS BIGINT), 1))) AS part_no FROM t)
+    SELECT video_id, CAST(part_no AS INTEGER) AS part_no, md5(substr(whole, part_no * 14000 + 1, 14000)) AS part_md5 FROM p""",
 )
 def transcript_text(v):
-    """Transcript text as one prompt carries it, and its whole length."""
-    i = v.interviews()
-    whole = F.array_join(F.transform("segments", lambda s: s["text"]), " ")
-    return i.select(
-        "video_id",
-        F.length(whole).cast("bigint").alias("whole_chars"),
-        F.md5(joined_segments(F.col("segments"))).alias("prompt_text"),
+    """Whole transcript texts, cut into the parts one prompt carries."""
+    parts = v.interviews().select(
+        "video_id", F.posexplode(transcript_parts(F.col("segments"))).alias("part_no", "part")
     )
+    return parts.select("video_id", "part_no", F.md5("part").alias("part_md5"))
 
 
 @register(

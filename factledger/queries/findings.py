@@ -274,14 +274,14 @@ def finding_gate(v):
 @register(
     "stat_prompt_lines",
     "",
-    f"""WITH {ROUTED} SELECT topic_key, md5(string_agg(stat_index || ': ' || metric || ' | ' || dimension_value || ' = ' || value
-      || ' nis (' || p_size || ') — מקור: ' || p_type, chr(10) ORDER BY stat_index)) AS lines_md5
-    FROM routed JOIN part ON p_partkey = pos GROUP BY topic_key HAVING count(*) <= 5000""",
+    f"""WITH {ROUTED} SELECT topic_key, stat_index // 100 AS list_no, md5(string_agg(stat_index || ': ' || metric || ' | '
+      || dimension_value || ' = ' || value || ' nis (' || p_size || ') — מקור: ' || p_type, chr(10) ORDER BY stat_index)) AS lines_md5
+    FROM routed JOIN part ON p_partkey = pos GROUP BY ALL""",
 )
 def stat_prompt_lines(v):
-    """Numbered statistics text per topic as a prompt carries it."""
-    lists = factcheck.stat_lists(_stats(v), KEYWORDS)
-    return lists.select("topic_key", F.md5("stat_lines").alias("lines_md5"))
+    """Numbered statistics per topic, cut into lists a prompt can carry."""
+    lists = factcheck.stat_lists(_stats(v), KEYWORDS, 100)
+    return lists.select("topic_key", "list_no", F.md5("stat_lines").alias("lines_md5"))
 
 
 @register(
@@ -334,18 +334,12 @@ def processed_union(v):
 @register(
     "role_cards",
     "appointments",
-    """SELECT person_id, count(*) AS role_count, min(pos) AS pos, string_agg(position, ';' ORDER BY pos) AS roles,
-      bool_or(contains(position, 'gear')) AS charted FROM appointments GROUP BY person_id""",
+    """SELECT person_id, pos, position, count(*) OVER c AS role_count, min(pos) OVER c AS card_pos,
+      bool_or(contains(position, 'gear')) OVER c AS charted FROM appointments WINDOW c AS (PARTITION BY person_id)""",
 )
 def role_cards(v):
-    """One card per person with the roles held."""
+    """The roles of every person, grouped into cards."""
     a = v.appointments()
     charted = a.filter(F.col("position").contains("gear"))
     out = listings.role_cards(a, charted)
-    return out.select(
-        "person_id",
-        "role_count",
-        "pos",
-        F.array_join(F.transform("roles", lambda r: r["position"]), ";").alias("roles"),
-        "charted",
-    )
+    return out.select("person_id", "pos", "position", "role_count", "card_pos", "charted")

@@ -95,15 +95,16 @@ def change_summary(v):
 @register(
     "series_override",
     "series data_points",
-    f"""WITH {DATED}, c AS (SELECT 'gear' AS key, metric AS label, string_agg(year, ',' ORDER BY year) AS years
-        FROM points GROUP BY metric ORDER BY metric LIMIT 1)
+    f"""WITH {DATED}, c AS (SELECT CASE metric WHEN 'price_brand#1' THEN 'gear' ELSE metric END AS key, metric AS label,
+        string_agg(year, ',' ORDER BY year) AS years FROM points GROUP BY metric)
     SELECT key, label, array_to_string(list_transform(points, lambda p: p.year), ',') AS years FROM series WHERE key <> 'gear'
     UNION ALL SELECT * FROM c""",
 )
 def series_override(v):
     """Two series sets merged; the catalog's replaces the portfolio's with the same key."""
-    built = sr.build_series(v.data_points()).orderBy("metric").limit(1)  # one replacement series
-    other = built.select(F.lit("gear").alias("key"), F.col("metric").alias("label"), "points")
+    built = sr.build_series(v.data_points())
+    key = F.when(F.col("metric") == "price_brand#1", "gear").otherwise(F.col("metric"))
+    other = built.select(key.alias("key"), F.col("metric").alias("label"), "points")
     base = v.series().select(
         "key", "label", F.transform("points", lambda p: F.struct(p["year"].alias("year"), p["value"].alias("value"))).alias("points")
     )
@@ -199,3 +200,94 @@ def append_absent(v):
     stored = points.filter(F.col("unit") == "units").select("metric", "dimension_value", "period", "value")
     new = points.withColumn("value", F.col("value") + 1)
     return insert_absent(stored, new, ["metric", "dimension_value", "period"], ["pos"])
+
+
+def _verified(v):
+    """The yearly series as research output."""
+    return v.series().select(
+        "key",
+        "label",
+        "unit",
+        F.col("match").alias("ministry_match"),
+        "note",
+        F.lit("Research").alias("source_org"),
+        F.concat(F.lit("https://r.example/"), "key").alias("source_url"),
+        "points",
+    )
+
+
+@register(
+    "research_points",
+    "series",
+    """SELECT CASE key WHEN 'ring' THEN 'm_ring' ELSE 'm_gear' END AS metric, CAST(p.year AS VARCHAR) AS period, p.value AS value,
+      label || ': ' || p.year || ' = ' || p.value AS confirm_quote, 'https://r.example/' || key AS source_url
+    FROM (SELECT key, label, unnest(points) AS p FROM series) WHERE key IN ('ring', 'gear')""",
+)
+def research_points(v):
+    """Catalog points of the research series that belong to a checked topic."""
+    out = sr.research_points(_verified(v), {"ring": "m_ring", "gear": "m_gear"})
+    return out.select("metric", "period", "value", "confirm_quote", "source_url")
+
+
+@register(
+    "research_series",
+    "series data_points",
+    """SELECT key, label, note, 'https://r.example/' || key AS url, CAST(len(points) AS INTEGER) AS points FROM series""",
+)
+def research_series(v):
+    """Research output as portfolio series."""
+    out = sr.research_series(_verified(v))
+    return out.select("key", "label", "note", F.get("sources", 0)["url"].alias("url"), F.size("points").alias("points"))
+
+
+@register(
+    "measured_points",
+    "yearly",
+    """SELECT 'units_' || key AS metric, 'year' AS dimension_type, CAST(year AS VARCHAR) AS dimension_value,
+      CASE WHEN year = 2001 THEN 'so far' ELSE CAST(year AS VARCHAR) END AS period, value,
+      'Sales of ' || key || ': ' || year || ' = ' || value AS confirm_quote FROM yearly WHERE key <> 'rod'""",
+)
+def measured_points(v):
+    """Verified metrics with their own dimensions; a metric without a name is skipped."""
+    point = F.col("points")
+    shaped = F.transform(
+        point,
+        lambda p: F.struct(
+            p["year"].alias("dimension_value"), p["value"].alias("value"), F.when(p["provisional"], "so far").alias("period")
+        ),
+    )
+    verified = _verified(v).select(
+        F.when(F.col("key") != "rod", F.concat(F.lit("units_"), "key")).alias("metric"),
+        F.lit(None).cast("string").alias("dimension_type"),
+        "label",
+        "unit",
+        "source_org",
+        "source_url",
+        shaped.alias("points"),
+    )
+    out = sr.measured_points(verified)
+    return out.select("metric", "dimension_type", "dimension_value", "period", "value", "confirm_quote")
+
+
+@register(
+    "yearly_ratio",
+    "",
+    "SELECT o_orderkey AS id, CAST(format('{:.1f}', o_totalprice / 12) AS DOUBLE) AS yearly FROM orders",
+)
+def yearly_ratio(v):
+    """Monthly figures as yearly ratios."""
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), sr.yearly_ratio(F.col("o_totalprice")).alias("yearly"))
+
+
+@register(
+    "catalog_overview",
+    "data_points",
+    "SELECT count(*) AS points, count(DISTINCT metric) AS metrics FROM data_points",
+)
+def catalog_overview(v):
+    return sr.catalog_overview(v.data_points())
+
+
+@register("catalog_metrics", "data_points", "SELECT metric, count(*) AS points FROM data_points GROUP BY metric")
+def catalog_metrics(v):
+    return sr.catalog_metrics(v.data_points())
