@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from factledger.constants import CHECKED_TOPICS, STAT_FIELDS
 from factledger.functions.numbers import float_text
@@ -118,8 +120,6 @@ def adjudication_prompts(
 
 def generate(prompts: DataFrame, gen: Callable[[str], str | None]) -> DataFrame:
     """Run the caller's generator over ``prompt``; a failed call gives a null answer."""
-    import pandas as pd
-
     columns = prompts.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +132,7 @@ def generate(prompts: DataFrame, gen: Callable[[str], str | None]) -> DataFrame:
                     answers.append(None)
             yield batch.assign(answer=answers)[[*columns, "answer"]]
 
-    schema = prompts.schema.add("answer", "string")
+    schema = StructType([*prompts.schema.fields, StructField("answer", StringType())])
     return prompts.mapInPandas(run, schema)
 
 
@@ -225,9 +225,10 @@ def fact_check(
     """
     from factledger.session import cut_lineage
 
-    extracted = cut_lineage(generate(extraction_prompts(transcripts, extract_template, topics), gen))
+    prompts = extraction_prompts(transcripts, extract_template, topics).drop("segments")
+    extracted = cut_lineage(generate(prompts, gen))
     failed = extracted.filter(F.col("answer").isNull()).drop("prompt", "answer")  # names the part to retry
-    claims = parse_claims(extracted.filter(F.col("answer").isNotNull()).drop("segments", "part_no"))
+    claims = parse_claims(extracted.filter(F.col("answer").isNotNull()).drop("part_no"))
     judged = generate(adjudication_prompts(claims, statistics, adjudicate_template, keywords), gen)
     verdicts = parse_verdicts(judged.filter(F.col("answer").isNotNull()))
     return gate_findings(verdicts, statistics, keywords), failed

@@ -140,19 +140,15 @@ def first_enrichment(rows: DataFrame, id_column: str = "mk_individual_id") -> Da
 
 # --- corpus --------------------------------------------------------------------------
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Transcripts, and the files that could not be decoded."""
+    """Transcripts (one JSON document per file), and the files that could not be decoded."""
     raw = (
-        spark.read.schema(schemas.TRANSCRIPT + ", _corrupt string")
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
+        spark.read.option("wholetext", True)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").isNotNull().alias("valid"))
     )
-    good = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    good = raw.filter("valid").select("file", F.from_json("value", schemas.TRANSCRIPT).alias("t")).select("t.*", "file")
     empty = F.array().cast("array<struct<start:double,`end`:double,text:string>>")
-    bad = raw.filter(F.col("_corrupt").isNotNull()).select("file")
-    return good.withColumn("segments", F.coalesce("segments", empty)), bad
+    return good.withColumn("segments", F.coalesce("segments", empty)), raw.filter(~F.col("valid")).select("file")
 
 
 def segments_of(transcripts: DataFrame) -> DataFrame:
