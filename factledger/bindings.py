@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factledger.operators.layout import spread
 from factledger.plans.review import finding_id
 
 
@@ -20,11 +21,16 @@ class Views:
         self.spark = spark
         self.dir = sf_dir
 
-    def table(self, name: str) -> DataFrame:
-        """A driver table; the reader (schema and file list) is kept per session, the data is not."""
-        key = (id(self.spark), self.dir, name)
+    def table(self, name: str, *spread_by: str) -> DataFrame:
+        """A driver table; the reader (schema and file list) is kept per session, the data is not.
+
+        ``spread_by`` columns spread a table of few splits over the cores, for
+        views that lead into costly per-row work.
+        """
+        key = (id(self.spark), self.dir, name, spread_by)
         if key not in _READERS:
-            _READERS[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            _READERS[key] = spread(df, *spread_by) if spread_by else df
         return _READERS[key]
 
     # --- people ------------------------------------------------------------
@@ -47,7 +53,7 @@ class Views:
     # --- statistics and claims -------------------------------------------------
     def _orders_by_nation(self) -> DataFrame:
         c = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        o = self.table("orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+        o = self.table("orders", "o_orderkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
         return o.join(self._nations(), F.col("c_nationkey") == F.col("n_nationkey")).withColumn(
             "year", F.year("o_orderdate")
         )
@@ -96,7 +102,7 @@ class Views:
 
     def statements(self) -> DataFrame:
         """Statements of the events' users; person ids share the actors' range."""
-        e = self.table("events")
+        e = self.table("events", "event_id")
         return e.select(
             F.col("event_id").alias("statement_id"),
             F.col("user_id").alias("person_id"),
@@ -123,7 +129,7 @@ class Views:
     def votes_raw(self) -> DataFrame:
         from factledger.functions.casts import stance_of
 
-        return self.table("lineitem").select(
+        return self.table("lineitem", "l_orderkey").select(
             F.col("l_suppkey").alias("person_id"),
             F.col("l_orderkey").alias("event_id"),
             stance_of((F.col("l_linenumber") % 5).cast("string")).alias("stance"),
@@ -145,7 +151,7 @@ class Views:
     def sponsorships(self) -> DataFrame:
         from factledger.operators.ranking import last_by
 
-        rows = self.table("lineitem").select(
+        rows = self.table("lineitem", "l_orderkey").select(
             F.col("l_suppkey").alias("person_id"),
             F.col("l_partkey").alias("bill_id"),
             (F.col("l_returnflag") == "R").alias("is_initiator"),
@@ -183,7 +189,7 @@ class Views:
         return F.substring("source", 4, 10).cast("bigint")
 
     def segments(self) -> DataFrame:
-        d = self.table("documents").select(
+        d = self.table("documents", "doc_id").select(
             self._person_of().alias("person_id"),
             F.col("source").alias("speaker_name"),
             F.col("doc_id").alias("video_id"),
@@ -195,7 +201,7 @@ class Views:
         return d.withColumns({"name": F.col("speaker_name"), "start": F.col("pos").cast("double") * 7.25})
 
     def interviews(self) -> DataFrame:
-        return self.table("documents").select(
+        return self.table("documents", "doc_id").select(
             self._person_of().alias("person_id"),
             F.col("source").alias("name"),
             F.col("doc_id").alias("video_id"),

@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from factledger.constants import FALSE_WORDS, STANCE_BY_CODE, STANCE_BY_LABEL, TRUE_WORDS
 from factledger.functions.text import clean_text, strip
 
-_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-
-
 def to_int(s: Column) -> Column:
     """Whole number from text; ``965.0`` truncates, booleans and words give null."""
-    t = strip(s.cast("string"))
-    whole = F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint"))
-    part = F.when(t.rlike(_NUMBER), t.try_cast("double").try_cast("bigint"))
-    return F.coalesce(whole, part)
+    return strip(s.cast("string")).try_cast("decimal(38,18)").try_cast("bigint")
 
 
 def to_bool(s: Column) -> Column:
@@ -60,11 +54,10 @@ def start_year(s: Column) -> Column:
 
 def stance_of(value: Column) -> Column:
     """Vote stance from a result code or a label; unclear is ``na``."""
-    codes = F.create_map(*[F.lit(x) for pair in STANCE_BY_CODE.items() for x in pair])
+    codes = F.create_map(*[x for k, v in STANCE_BY_CODE.items() for x in (F.lit(k).cast("bigint"), F.lit(v))])
     labels = F.create_map(*[F.lit(x) for pair in STANCE_BY_LABEL.items() for x in pair])
-    code = to_int(value)
     return F.coalesce(
-        codes[F.when(code.between(0, 4), code.cast("int"))],
+        codes[to_int(value)],
         labels[F.lower(strip(value.cast("string")))],
         F.lit("na"),
     )

@@ -21,6 +21,7 @@ from factledger.constants import (
     VALUE_INCONSISTENT_REL,
 )
 from factledger.functions.numbers import float_text, round_half_even
+from factledger.operators.joins import broadcast_if_small
 from factledger.operators.ranking import numbered
 
 PEER_KEYS = ["metric", "dimension_type"]
@@ -44,6 +45,8 @@ VERDICT_COLUMNS = [
     "review_status",
 ]
 
+INLINE_IDS = 100  # peer sets up to this size are listed in the verdict row itself
+
 Matcher = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -53,27 +56,23 @@ def peer_members(statistics: DataFrame) -> DataFrame:
     return numbered(statistics, ["value", "stat_id"], PEER_KEYS, name="place", start=0)
 
 
-def peer_sets(members: DataFrame, inline_ids: int = 1000) -> DataFrame:
+def peer_sets(members: DataFrame, inline_ids: int = INLINE_IDS) -> DataFrame:
     """One row per peer set: size, extremes and, for sets up to ``inline_ids``, the ids.
 
     Larger sets keep their members in the statistics table itself, which is
-    already one row per (peer set, id); a verdict names its peer set, so the
-    list is always recoverable by an equi-join.
+    already one row per (peer set, id); a verdict names its peer set, so
+    :func:`considered_statistics` gives the list whatever its size.
     """
     row = F.struct("value", "stat_id")
+    first_ids = F.collect_list(F.when(F.col("place") < inline_ids, F.col("stat_id")))  # at most inline_ids
     sets = members.groupBy(*PEER_KEYS).agg(
         F.count("*").alias("n_peers"),
         F.min(row).alias("lowest"),
         F.max(row).alias("highest"),
+        F.sort_array(first_ids).alias("ids"),
     )
-    # a set has a member at place `inline_ids` exactly when it is larger than that
-    large = members.filter(F.col("place") == inline_ids).select(*PEER_KEYS)
-    ids = (
-        members.join(large, PEER_KEYS, "left_anti")
-        .groupBy(*PEER_KEYS)
-        .agg(F.sort_array(F.collect_list("stat_id")).alias("statistic_ids"))
-    )
-    return sets.join(ids, PEER_KEYS, "left")
+    whole = F.when(F.col("n_peers") <= inline_ids, F.col("ids"))
+    return sets.withColumn("statistic_ids", whole).drop("ids")
 
 
 def dimension_lookup(members: DataFrame) -> DataFrame:
@@ -85,11 +84,23 @@ def dimension_lookup(members: DataFrame) -> DataFrame:
     )
 
 
-def match_statistics(claims: DataFrame, statistics: DataFrame, inline_ids: int = 1000) -> DataFrame:
-    """Attach to each claim its peer set and its own dimension's statistic."""
+def considered_statistics(verdicts: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(statement_id, stat_id) pairs: every statistic a verdict considered, one row each.
+
+    For the verdicts under review; the result has a row per verdict and peer.
+    """
+    keys = verdicts.select("statement_id", *PEER_KEYS)
+    return keys.join(statistics.select(*PEER_KEYS, "stat_id"), PEER_KEYS).select("statement_id", "stat_id")
+
+
+def match_statistics(claims: DataFrame, statistics: DataFrame, inline_ids: int = INLINE_IDS) -> DataFrame:
+    """Attach to each claim its peer set and its own dimension's statistic.
+
+    With both lookups broadcast the claims are not shuffled at all.
+    """
     members = peer_members(statistics.select("stat_id", *PEER_KEYS, "dimension_value", "value", "source_url"))
-    sets = peer_sets(members, inline_ids)
-    own = dimension_lookup(members)
+    sets = broadcast_if_small(peer_sets(members, inline_ids))
+    own = broadcast_if_small(dimension_lookup(members))
     return claims.join(sets, PEER_KEYS, "left").join(own, [*PEER_KEYS, "dimension_value"], "left")
 
 

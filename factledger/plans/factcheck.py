@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from factledger.constants import CHECKED_TOPICS, STAT_FIELDS
 from factledger.functions.numbers import float_text
 from factledger.functions.text import contains_any, first_matching, transcript_parts
+from factledger.operators.joins import broadcast_if_small
 from factledger.operators.ranking import numbered
 
 Keywords = Mapping[str, Sequence[str]]
@@ -48,7 +49,7 @@ def gate_findings(claims: DataFrame, statistics: DataFrame, keywords: Keywords =
         "topic_key", "stat_index", F.struct(*STAT_FIELDS).alias("stat")
     )
     found = decisive.withColumn("stat_index", F.col("stat_index").cast("bigint")).join(
-        listed, ["topic_key", "stat_index"]
+        broadcast_if_small(listed), ["topic_key", "stat_index"]
     )
     return found.select(
         *[c for c in claims.columns if c != "stat_index"], "stat", F.lit("candidate").alias("status")
@@ -110,7 +111,7 @@ def adjudication_prompts(
     claims: DataFrame, statistics: DataFrame, template: str, keywords: Keywords = CHECKED_TOPICS
 ) -> DataFrame:
     """Prompt per claim and statistics list of its topic; marks {claim}, {quote} and {stats}."""
-    lists = stat_lists(statistics, keywords)
+    lists = broadcast_if_small(stat_lists(statistics, keywords), 500)  # texts of up to 1000 lines
     routed = claims.withColumn("topic_key", topic_key(F.col("topic"), keywords)).join(lists, "topic_key")
     prompt = F.lit(template)
     for mark, value in (("{claim}", "claim"), ("{quote}", "quote"), ("{stats}", "stat_lines")):

@@ -17,6 +17,7 @@ from factledger.constants import (
 from factledger.functions.casts import start_year, year_in
 from factledger.functions.numbers import percent_of_max, round_half_even
 from factledger.functions.text import person_name_key, short_org, unit_label
+from factledger.operators.joins import broadcast_if_small
 from factledger.operators.ranking import bounded_rows, top_rows
 
 
@@ -228,7 +229,7 @@ def tenure_trends(
     """
     matched = match_series(appointments, series).filter(F.col("key").isNotNull())
     long_enough = series.filter(F.size("points") >= 2).select("key", "label", "unit", "points")
-    rows = matched.join(long_enough, "key").withColumns(
+    rows = matched.join(broadcast_if_small(long_enough, 10_000), "key").withColumns(
         {
             "first": trend_points(F.col("points"), start_year(F.col("start_date"))),
             "last": F.element_at("points", -1),

@@ -263,7 +263,7 @@ def upsert_votes(v):
             F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("kmmbr_id"),
         )
     )
-    rows = v.table("lineitem").select(
+    rows = v.table("lineitem", "l_orderkey").select(
         payload.alias("payload"),
         F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("kmmbr_id"),
         F.timestamp_seconds(F.col("l_linenumber")).alias("at"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factledger.operators.merge import insert_absent, replace_tagged
 from factledger.plans import series as sr
 from factledger.queries import register
+from factledger.session import cut_lineage
 
 GOOD = {"ring": True, "bolt": False, "gear": None, "anvil": True, "plate": False, "widget": True, "gizmo": False}
 
@@ -38,7 +39,7 @@ def series_points(v):
 )
 def catalog_series(v):
     """Exported series with points, unit, note and two sources."""
-    out = sr.build_series(v.data_points())
+    out = sr.build_series(cut_lineage(v.data_points()))  # read five times below
     return out.select(
         "metric",
         F.array_join(F.transform("points", lambda p: F.concat(p["year"], F.lit("="), p["value"])), ";").alias("points"),
@@ -54,7 +55,7 @@ MATCHED = "m AS (SELECT a.*, string_split(position, ' ')[-1] AS key FROM appoint
 @register("series_match", "appointments", f"WITH {MATCHED} SELECT person_id, pos, position, key FROM m")
 def series_match(v):
     """The series each appointment belongs to, by keyword."""
-    return sr.match_series(v.appointments(), v.series()).select("person_id", "pos", "position", "key")
+    return sr.match_series(v.appointments(), cut_lineage(v.series())).select("person_id", "pos", "position", "key")
 
 
 @register(
@@ -74,7 +75,7 @@ def series_match(v):
 def tenure_trends(v):
     """The trend of the matching series since each person took office."""
     roster = v.actors().withColumn("pos", F.col("person_id"))
-    return sr.tenure_trends(v.appointments(), v.series(), roster, GOOD)
+    return sr.tenure_trends(v.appointments(), cut_lineage(v.series()), roster, GOOD)
 
 
 @register(
@@ -102,7 +103,7 @@ def change_summary(v):
 )
 def series_override(v):
     """Two series sets merged; the catalog's replaces the portfolio's with the same key."""
-    built = sr.build_series(v.data_points())
+    built = sr.build_series(cut_lineage(v.data_points()))
     key = F.when(F.col("metric") == "price_brand#1", "gear").otherwise(F.col("metric"))
     other = built.select(key.alias("key"), F.col("metric").alias("label"), "points")
     base = v.series().select(

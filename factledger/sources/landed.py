@@ -51,16 +51,18 @@ def read_pages(
 def stamp(rows: DataFrame, entity_url: str, source_type: str) -> DataFrame:
     """Parse the payload once into a map and add the provenance envelope.
 
-    The link points at the record when it has an id, else at the entity set.
+    The link points at the record when it has an id, else at the entity set. The
+    parse sits in a generator, through which later filters on parsed values are
+    not pushed: they read the map instead of parsing the text again.
     """
-    fields = F.from_json("payload", "map<string,string>")
+    fields = F.explode(F.array(F.from_json("payload", "map<string,string>")))
     record = F.coalesce(F.col("fields")["Id"], F.col("fields")["ID"], F.col("fields")["id"])
     link = F.when(
         F.nullif(F.col("source_record_id"), F.lit("")).isNotNull(),
         F.concat(F.lit(f"{entity_url}("), "source_record_id", F.lit(")")),
     ).otherwise(F.lit(entity_url))
     return (
-        rows.withColumn("fields", fields)
+        rows.select("*", fields.alias("fields"))
         .withColumn("source_record_id", record)
         .withColumns(
             {
