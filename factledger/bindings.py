@@ -27,7 +27,7 @@ class Views:
         ``spread_by`` columns spread a table of few splits over the cores, for
         views that lead into costly per-row work.
         """
-        key = (id(self.spark), self.dir, name, spread_by)
+        key = (self.spark, self.dir, name, spread_by)
         if key not in _READERS:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             _READERS[key] = spread(df, *spread_by) if spread_by else df

@@ -178,6 +178,7 @@ def _rationale(is_value: Column, is_min: Column) -> Column:
     low_high = F.when(is_min, "נמוך").otherwise("גבוה")
     dim, count = F.col("dimension_value"), F.col("_n").cast("string")
     decided, holds = F.col("_decided"), F.col("_holds")
+    # The wordings of the rationale.
     return (
         F.when(F.col("_n").isNull(), "אין נתון רשמי תואם להכרעה.")
         .when(~decided & is_value, "אין נתון מספרי תואם לאימות הערך הנטען.")

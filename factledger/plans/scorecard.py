@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from factledger.constants import (
     DIMENSION_LABELS,
+    DIMENSION_NOTES,
     DIMENSION_WEIGHTS,
+    INDEX_NOTE,
     PENDING_DIMENSIONS,
     VOTE_STANCES,
 )
@@ -67,17 +69,22 @@ def dimension_table(
     sponsored = F.coalesce("bills_sponsored", F.lit(0))
     zero = F.lit(0)
 
-    def dim(no: int, key: str, available: Column, scorable: Column, score: Column, raw: Column, reason: Column):
+    def dim(no: int, key: str, available: Column, scorable: Column, score: Column, raw: Column):
+        label_he, label_en = DIMENSION_LABELS[key]
+        source_note, method, reason = DIMENSION_NOTES[key]
         return F.struct(
             F.lit(no).alias("dimension_no"),
             F.lit(key).alias("key"),
-            F.lit(DIMENSION_LABELS[key][1]).alias("label"),
+            F.lit(label_he).alias("label_he"),
+            F.lit(label_en).alias("label_en"),
             available.alias("available"),
             scorable.alias("scorable"),
             score.cast("double").alias("score"),
             F.lit(float(weights.get(key, 0.0))).alias("weight"),
             raw.alias("raw"),
-            reason.alias("pending_reason"),
+            F.lit(source_note).alias("source_note"),
+            F.lit(method).alias("method"),
+            F.when(~available, F.lit(reason)).alias("pending_reason"),
         )
 
     counts = F.create_map(
@@ -96,7 +103,6 @@ def dimension_table(
             eligible > 0,
             F.col("score"),
             counts.cast("map<string,bigint>"),
-            F.when(eligible == 0, "no roll-call votes ingested yet"),
         ),
         dim(
             2,
@@ -105,11 +111,10 @@ def dimension_table(
             F.lit(False),
             none,
             bills.cast("map<string,bigint>"),
-            F.when(sponsored == 0, "no bill sponsorships ingested yet"),
         ),
     ]
     rows += [
-        dim(3 + i, key, F.lit(False), F.lit(False), none, nothing, F.lit("source not wired yet"))
+        dim(3 + i, key, F.lit(False), F.lit(False), none, nothing)
         for i, key in enumerate(PENDING_DIMENSIONS)
     ]
     return base.select("person_id", F.inline(F.array(*rows)))
@@ -149,7 +154,7 @@ def composite_index(dimensions: DataFrame) -> DataFrame:
             F.map_from_entries(F.transform("shares", lambda d: F.struct(d["key"], d["share"]))).alias("weights_used"),
             F.when(
                 n < F.col("coverage_total"),
-                F.format_string("Index reflects %d of %d dimensions", n, F.col("coverage_total")),
+                F.format_string(INDEX_NOTE, n, F.col("coverage_total")),
             ).alias("note"),
         )
     )

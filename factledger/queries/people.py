@@ -66,7 +66,7 @@ def scorecard_dimensions(v):
     "actors votes sponsorships",
     f"""WITH {PART} SELECT a.person_id, score AS index_value, CASE WHEN score IS NULL THEN 0 ELSE 1 END::BIGINT AS coverage_scored,
       CAST(5 AS BIGINT) AS coverage_total, 'preliminary' AS label, CASE WHEN score IS NULL THEN '' ELSE 'participation' END AS included,
-      'Index reflects ' || CASE WHEN score IS NULL THEN 0 ELSE 1 END || ' of 5 dimensions' AS note
+      'Index reflects ' || CASE WHEN score IS NULL THEN 0 ELSE 1 END || ' of 5 dimensions; the rest await Phase 2 data sources.' AS note
     FROM actors a LEFT JOIN part2 USING (person_id)""",
 )
 def composite_index(v):

@@ -9,8 +9,13 @@ from factledger.operators.merge import merge_rows
 
 
 def write_by_person(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
-    """Files partitioned by person; a large person is spread over several files."""
-    writer = df.withColumn("pid", F.col("person_id")).write.mode("overwrite").partitionBy("pid")
+    """Files partitioned by person.
+
+    The rebalance puts a person's rows together, so tasks do not write one tiny
+    file per person each, and splits a person too large for one task.
+    """
+    placed = df.withColumn("pid", F.col("person_id")).hint("rebalance", "pid")
+    writer = placed.write.mode("overwrite").partitionBy("pid")
     writer.option("maxRecordsPerFile", rows_per_file).json(path)
 
 

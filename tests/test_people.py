@@ -36,7 +36,10 @@ def test_scorecard(spark):
     index = {r.person_id: r for r in scorecard.composite_index(dims).collect()}
     assert (index[1].index_value, index[1].coverage_scored, index[1].coverage_total) == (50.0, 1, 5)
     assert index[1].label == "preliminary" and index[1].weights_used == {"participation": 1.0}
-    assert index[1].note == "Index reflects 1 of 5 dimensions"
+    assert index[1].note == "Index reflects 1 of 5 dimensions; the rest await Phase 2 data sources."
+    assert one["participation"].pending_reason is None and one["integrity"].label_en == "Integrity & legal proceedings"
+    two = {r.key: r.pending_reason for r in dims.filter("person_id = 2").collect()}
+    assert two["participation"] == "no roll-call votes ingested yet"
     assert (index[2].index_value, index[2].included) == (None, [])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factledger.schemas import TABLES, split_sourced, split_vocabulary
 from factledger.sources import ingest, landed, mappers, sinks
 
-FEED = "https://feed.example/v4/KNS_Person"
+FEED = "https://feed.example/v4/Person"
 
 
 def write(path, payload):
