@@ -56,6 +56,7 @@ def directory_names(directory: DataFrame) -> DataFrame:
         F.coalesce("mk_individual_first_name", "mk_individual_first_name_eng", "FirstName").alias("first_name"),
         to_int(F.coalesce("vip_id", "mk_id", "Id")).alias("votes_id"),
         F.col("mk_individual_id").cast("string").alias("individual_id"),
+        (F.col("mk_individual_name").isNull() | F.col("mk_individual_first_name").isNull()).alias("fallback"),
         "pos",
     ).filter(F.col("votes_id").isNotNull())
 
@@ -67,7 +68,7 @@ def reconcile(people: DataFrame, directory: DataFrame, force: bool = False) -> t
     the people who could not be matched.
     """
     names = directory_names(directory)
-    hits = top_rows(names, ["first_name", "last_name"], ["pos"])
+    hits = top_rows(names, ["first_name", "last_name"], ["fallback", "pos"])  # native names are tried first
     held = to_int(F.col("external_ids")["votes_mk_id"])
     keyed = people.withColumns(
         {
@@ -76,7 +77,6 @@ def reconcile(people: DataFrame, directory: DataFrame, force: bool = False) -> t
             "_held": F.lit(None).cast("bigint") if force else held,
         }
     )
-    # the native-name match is tried first, the coalesced names are the fallback
     joined = keyed.join(
         hits.select(F.col("first_name").alias("_first"), F.col("last_name").alias("_last"), "votes_id"),
         ["_first", "_last"],

@@ -107,5 +107,5 @@ def stream_counts(v):
     def partial(df):
         return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
-    jobs.refresh_counts(_events(v), keys, partial, f"{base}/partials", f"{base}/checkpoint")
+    jobs.refresh_counts(_events(v), partial, f"{base}/partials", f"{base}/checkpoint")
     return jobs.running_totals(v.spark.read.parquet(f"{base}/partials"), keys, "n")

@@ -150,7 +150,7 @@ def rebuild_processed(outputs: DataFrame, key: str) -> DataFrame:
 
 
 def refresh_counts(
-    stream: DataFrame, keys: Sequence[str], partial: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> None:
     """Keep running counts: each batch stores its partial counts.
 

@@ -144,3 +144,19 @@ def test_verdict_leaderboard(spark):
     )
     got = [tuple(r) for r in adj.verdict_leaderboard(verdicts, statements, people).collect()]
     assert got == [("person-900", 1, "א", "p", 2), ("person-2", 2, "ב", "q", 1)]
+
+
+def test_considered_statistics_of_any_size(spark, rows):
+    verdicts, _ = adj.verify(claim(spark, "superlative_min", "תל אביב"), stats(spark, CITIES))
+    pairs = adj.considered_statistics(verdicts, stats(spark, CITIES))
+    assert rows(pairs) == sorted(((1, s[0]) for s in CITIES), key=repr)
+
+
+def test_claims_are_not_shuffled_when_the_catalog_is_small(spark):
+    claims = spark.range(100).selectExpr(
+        "id AS statement_id", "1L AS politician_id", "'rate' AS metric", "'city' AS dimension_type",
+        "'תל אביב' AS dimension_value", "'value' AS assertion", "58D AS claimed_value", "'manual' AS source_type",
+        "'u' AS source_url",
+    )
+    text = adj.match_statistics(claims, stats(spark, CITIES))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text

@@ -144,3 +144,26 @@ def test_with_entry(spark):
     df = spark.createDataFrame([({"a": "1", "k": "old"}, "new"), (None, "new"), ({"a": "1"}, None)], "m map<string,string>, v string")
     got = [r[0] for r in df.select(with_entry(F.col("m"), "k", F.col("v"))).collect()]
     assert got == [{"a": "1", "k": "new"}, {"k": "new"}, {"a": "1"}]
+
+
+def test_broadcast_needs_a_checked_size(spark):
+    from factledger.operators.joins import broadcast_if_small
+
+    facts = spark.range(1000).withColumn("k", F.col("id") % 10)
+    lookup = spark.range(10).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan(facts.join(broadcast_if_small(lookup, 10), "k"))
+        large = plan(facts.join(broadcast_if_small(lookup, 9), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
+
+
+def test_spread_leaves_wide_inputs_alone(spark):
+    from factledger.operators.layout import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    narrow, wide = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores)
+    assert spread(narrow, "id").rdd.getNumPartitions() == cores
+    assert spread(wide, "id") is wide

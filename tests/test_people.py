@@ -129,7 +129,8 @@ def test_reconcile(spark, rows):
             ("נתניהו", "בנימין", None, None, None, None, " 965 ", None, None, 90, 1),
             ("נתניהו", "בנימין", None, None, None, None, "966", None, None, 91, 2),
             ("b", "a", None, None, None, None, "7", None, None, 92, 3),
-            (None, None, "F", "E", None, None, None, "8", None, 93, 4),
+            (None, None, "F", "E", None, None, None, "9", None, 93, 4),
+            ("F", "E", None, None, None, None, None, "8", None, 94, 5),
         ],
         columns,
     )

@@ -78,7 +78,7 @@ def test_running_counts(spark, tmp_path, rows):
 
     for data in ([("a", 1, 0, True), ("b", 2, 0, True)], [("c", 1, 0, True)]):
         land(spark, src, "x", data)
-        jobs.refresh_counts(jobs.arriving(spark, str(src), SCHEMA), ["person_id"], partial, f"{base}/p", f"{base}/cp")
+        jobs.refresh_counts(jobs.arriving(spark, str(src), SCHEMA), partial, f"{base}/p", f"{base}/cp")
     totals = jobs.running_totals(spark.read.parquet(f"{base}/p"), ["person_id"], "n")
     assert rows(totals) == [(1, 2), (2, 1)]
 
