@@ -343,7 +343,7 @@ def _customers(v):
 @register(
     "reconcile_ids",
     "",
-    """WITH d AS (SELECT o_custkey, min(o_orderkey) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+    """WITH d AS (SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderstatus <> 'P'), min(o_orderkey)) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
     SELECT c_custkey AS person_id, CASE WHEN c_acctbal < 0 THEN '-5' ELSE CAST(v AS VARCHAR) END AS votes_id, '1' AS kept
     FROM customer LEFT JOIN d ON o_custkey = c_custkey""",
 )

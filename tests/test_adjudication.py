@@ -154,8 +154,8 @@ def test_considered_statistics_of_any_size(spark, rows):
 
 def test_claims_are_not_shuffled_when_the_catalog_is_small(spark):
     claims = spark.range(100).selectExpr(
-        "id AS statement_id", "1L AS politician_id", "'rate' AS metric", "'city' AS dimension_type",
-        "'תל אביב' AS dimension_value", "'value' AS assertion", "58D AS claimed_value", "'manual' AS source_type",
+        "id AS statement_id", "1L AS politician_id", "if(id < 90, 'rate', 'x') AS metric",
+        "if(id < 95, 'city', 'y') AS dimension_type", "if(id < 50, 'תל אביב', 'z') AS dimension_value", "'value' AS assertion", "58D AS claimed_value", "'manual' AS source_type",
         "'u' AS source_url",
     )
     text = adj.match_statistics(claims, stats(spark, CITIES))._jdf.queryExecution().executedPlan().toString()
