@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factledger.operators.joins import broadcast_if_small
 from factledger.session import cut_lineage
 
 
@@ -64,7 +65,8 @@ def numbered(
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key{i}_of_offset"))
     number = (F.col("_pos") - F.col("_first") + F.col("_offset") + F.lit(start)).cast("bigint")
-    return placed.join(offsets, same).withColumn(name, number).select(*df.columns, name)
+    # one offset per (group, partition): when that is few, the rows are not shuffled a second time
+    return placed.join(broadcast_if_small(offsets), same).withColumn(name, number).select(*df.columns, name)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
