@@ -111,7 +111,7 @@ def adjudication_prompts(
     claims: DataFrame, statistics: DataFrame, template: str, keywords: Keywords = CHECKED_TOPICS
 ) -> DataFrame:
     """Prompt per claim and statistics list of its topic; marks {claim}, {quote} and {stats}."""
-    lists = broadcast_if_small(stat_lists(statistics, keywords), 500)  # texts of up to 1000 lines
+    lists = broadcast_if_small(stat_lists(statistics, keywords))
     routed = claims.withColumn("topic_key", topic_key(F.col("topic"), keywords)).join(lists, "topic_key")
     prompt = F.lit(template)
     for mark, value in (("{claim}", "claim"), ("{quote}", "quote"), ("{stats}", "stat_lines")):

@@ -229,7 +229,7 @@ def tenure_trends(
     """
     matched = match_series(appointments, series).filter(F.col("key").isNotNull())
     long_enough = series.filter(F.size("points") >= 2).select("key", "label", "unit", "points")
-    rows = matched.join(broadcast_if_small(long_enough, 10_000), "key").withColumns(
+    rows = matched.join(broadcast_if_small(long_enough), "key").withColumns(
         {
             "first": trend_points(F.col("points"), start_year(F.col("start_date"))),
             "last": F.element_at("points", -1),

@@ -153,8 +153,8 @@ def test_broadcast_needs_a_checked_size(spark):
     lookup = spark.range(10).withColumnRenamed("id", "k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = plan(facts.join(broadcast_if_small(lookup, 10), "k"))
-        large = plan(facts.join(broadcast_if_small(lookup, 9), "k"))
+        small = plan(facts.join(broadcast_if_small(lookup, 10_000), "k"))
+        large = plan(facts.join(broadcast_if_small(lookup, 99), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
