@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, mixing, sharding, url_cascade
+from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, packing, sharding, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +66,91 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+@register(
+    "op4_line_dedup",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+      FROM documents
+    ), keyed AS (
+      SELECT doc_id, line, place, translate(trim(line, E' \t\n\x0b\x0c\r'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM lines
+    ), common AS (
+      SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    ), marked AS (
+      SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS dropped FROM keyed k LEFT JOIN common c USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return done.select(
+        "doc_id", "cleaned.n_lines", "cleaned.n_dropped", F.sha2("cleaned.text", 256).alias("kept_sha256")
+    )
+
+
+@register("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register(
+    "op7_line_cleaning",
+    r"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+    placed AS (
+      SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM words
+    ), windows AS (
+      SELECT doc_id, place, {'a': word, 'b': lead(word) OVER w, 'c': lead(word, 2) OVER w} AS win, lead(word, 2) OVER w AS third
+      FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+    ), again AS (
+      SELECT doc_id, place FROM windows WHERE third IS NOT NULL
+      QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+    ), covered AS (
+      SELECT doc_id, count(DISTINCT spot) AS n_repeat_words
+      FROM (SELECT doc_id, unnest([place, place + 1, place + 2]) AS spot FROM again) GROUP BY doc_id
+    ), lines AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS place
+      FROM docs
+    ), counted AS (
+      SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+        row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS repeats,
+        len(regexp_extract_all(line, '[#*$%&<>]')) AS symbols, len(regexp_extract_all(line, '[|>•»]')) AS separators,
+        len(regexp_extract_all(line, '[!?]{2}([\x20\x09-\x0D]|$)')) AS shouts,
+        regexp_matches(line, '[.!?…:;"”’'')\]][\x20\x09-\x0D]*$') AS ends,
+        regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|use cookies|enable javascript|click here|sign up|log in|subscribe to|share this|skip to content|back to top|read more') AS phrase
+      FROM lines
+    ), judged AS (
+      SELECT doc_id, count(*) FILTER (repeats) AS n_dup_lines,
+        sum(n) FILTER (repeats OR 2 * symbols >= n OR (separators >= 3 AND 3 * separators >= n)
+          OR (n < 4 AND NOT ends) OR 3 * shouts >= n OR (n <= 25 AND phrase)) AS lost
+      FROM counted WHERE n > 0 GROUP BY doc_id
+    ), figures AS (
+      SELECT w.doc_id, len(w.words)::BIGINT AS n_words, length(regexp_replace(w.text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(w.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(j.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+        coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(j.lost, 0) AS lost
+      FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN judged j USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+      NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= n_words AS kept
+    FROM figures
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_cleaning.clean_lines(documents(spark, sf_dir))
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return done.select("doc_id", *[f"cleaning.{f}" for f in figures])
+
+
 @register(
     "op8_mixing",
     r"""
