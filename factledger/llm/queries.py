@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, packing, sharding, url_cascade
+from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, sharding, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "op5_near_dedup",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), shingles AS (
+      SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+    ), sizes AS (
+      SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b
+      FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+      JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n
+      HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+    ), reach AS (
+      SELECT doc_id AS node, doc_id AS component FROM documents
+      UNION
+      SELECT l.b, r.component FROM reach r JOIN links l ON l.a = r.node
+    ), least AS (
+      SELECT node, min(component) AS component_id FROM reach GROUP BY node
+    )
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.node = d.doc_id
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 @register("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
