@@ -1,20 +1,59 @@
-"""A training corpus from documents: each stage applies one operator to what the stage before it kept."""
+"""A training corpus from documents: each stage applies one operator to what the stage before it kept.
+
+The stages in order: rows that the quality classifier rejects go; lines that many
+documents share stay in one document; one document of each near-duplicate group
+stays; sources are mixed to their target weights, which drops or repeats documents;
+the result is packed into token sequences. All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factledger.llm import mixing
+from factledger.llm import line_dedup, mixing, near_dedup, packing, rule_ensemble
 from factledger.llm.common import stored
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from their labels, does not reject."""
+    return rule_ensemble.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines they lose; ``n_chars`` follows the text."""
+    cleaned = line_dedup.dedup_lines(docs)
+    text = F.col("cleaned.text")
+    return cleaned.withColumns({"text": text, "n_chars": F.char_length(text).cast("bigint")}).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix; a document taken twice is there twice."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in the sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
+#: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
@@ -22,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

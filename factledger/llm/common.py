@@ -15,13 +15,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_BYTES = 16 << 20
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared folder and go on from the files.
 
     What follows reads the files, so a lost executor never repeats the work above.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

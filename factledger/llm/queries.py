@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, sharding, url_cascade
+from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, rule_ensemble, sharding, suffix_tree, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register("op1_rule_ensemble")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register(
     "op2_url_cascade",
     """
@@ -66,6 +71,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+@register("op3_suffix_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(documents(spark, sf_dir))
+
+
 @register(
     "op4_line_dedup",
     r"""
