@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from factledger.queries import register
-from factledger.session import new_folder
+from factledger.session import cut_lineage, new_folder
 from factledger.streaming import jobs
 
 
@@ -58,35 +60,67 @@ def stream_retry(v):
     return jobs.retry_keys(dead, done, "event_id").select("event_id")
 
 
+@register(
+    "stream_restart",
+    "",
+    """SELECT event_id, upper(event_type) AS kind, 1 AS input FROM events WHERE event_type <> 'error'
+    UNION ALL SELECT -event_id - 1, upper(event_type), 2 FROM events WHERE event_type <> 'error'""",
+)
+def stream_restart(v):
+    """A lost checkpoint: the next run meets old and new inputs; nothing is lost and nothing done twice."""
+    base = new_folder(v.spark, "restart")
+    events = v.table("events")
+
+    def shape(df):
+        return df.select("event_id", F.upper("event_type").alias("kind"), "input")
+
+    old = events.withColumn("input", F.lit(1))
+    new = old.unionByName(events.withColumns({"event_id": -F.col("event_id") - 1, "input": F.lit(2)}))
+    for run, rows in enumerate((old, new)):
+        rows.write.parquet(f"{base}/in{run}")
+        jobs.process_unseen(
+            jobs.arriving(v.spark, f"{base}/in{run}", rows.schema),
+            "event_id",
+            shape,
+            f"{base}/out",
+            f"{base}/processed",
+            f"{base}/checkpoint{run}",
+            failed=F.col("event_type") == "error",
+            dead_letters=f"{base}/dead",
+        )
+    return jobs.committed(v.spark.read.parquet(f"{base}/out"), v.spark.read.parquet(f"{base}/processed"))
+
+
 @register(
     "stream_discover",
     "",
     """WITH first AS (SELECT user_id, user_id || '/' || event_type AS item, min(event_id) AS event_id FROM events GROUP BY ALL)
-    SELECT user_id, item, event_id, rn <= 2 AS queued FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
-      FROM first)""",
+    SELECT user_id, item, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) + 1) // 2 AS round FROM first""",
 )
 def stream_discover(v):
-    """New items queued once, two per user and batch; the rest waits for the next batch."""
+    """New items queued once, two per user and batch; later calls drain what waits."""
     base = new_folder(v.spark, "discover")
-    found = _events(v).select(
-        "user_id", F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("item"), "event_id"
-    )
-    jobs.discover(
-        found, "item", "user_id", ["event_id"], 2, f"{base}/queue", f"{base}/waiting", f"{base}/checkpoint"
-    )
-    queue, waiting = v.spark.read.parquet(f"{base}/queue"), v.spark.read.parquet(f"{base}/waiting")
-    columns = ["user_id", "item", "event_id"]
-    return queue.select(*columns, F.lit(True).alias("queued")).unionByName(
-        waiting.select(*columns, F.lit(False).alias("queued"))
-    )
+    item = F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("item")
+    done = None
+    for number in itertools.count(1):
+        found = _events(v).select("user_id", item, "event_id")
+        jobs.discover(found, "item", "user_id", ["event_id"], 2, f"{base}/queue", f"{base}/found", f"{base}/checkpoint")
+        queue = v.spark.read.parquet(f"{base}/queue")
+        new = queue.select("user_id", "item", "event_id") if done is None else queue.join(done, "item", "left_anti")
+        new = new.select("user_id", "item", "event_id", F.lit(number).cast("bigint").alias("round"))
+        new = cut_lineage(new)
+        done = new if done is None else done.unionByName(new)
+        if jobs.waiting_items(v.spark, f"{base}/found", queue, "item").isEmpty():
+            return done
 
 
 @register("stream_dedup", "", "SELECT DISTINCT user_id || '/' || event_type AS item FROM events")
 def stream_dedup(v):
-    """Streaming duplicate removal into a Parquet sink."""
+    """Streaming duplicate removal into a Parquet sink; the state reaches back over the table's whole time."""
     base = new_folder(v.spark, "dedup")
-    items = _events(v).select(F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("item"))
-    jobs.write_stream(jobs.deduplicated(items, "item"), f"{base}/out", f"{base}/checkpoint")
+    item = F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("item")
+    items = _events(v).select(item, F.col("ts").cast("timestamp").alias("ts"))
+    jobs.write_stream(jobs.deduplicated(items, "item", "ts", "3660 days"), f"{base}/out", f"{base}/checkpoint")
     return v.spark.read.schema("item string").parquet(f"{base}/out")
 
 
@@ -107,5 +141,5 @@ def stream_counts(v):
     def partial(df):
         return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
-    jobs.refresh_counts(_events(v), partial, f"{base}/partials", f"{base}/checkpoint")
-    return jobs.running_totals(v.spark.read.parquet(f"{base}/partials"), keys, "n")
+    run = jobs.refresh_counts(_events(v), partial, f"{base}/partials", f"{base}/checkpoint")
+    return jobs.running_totals(v.spark.read.parquet(f"{base}/partials"), run, keys, "n")

@@ -7,12 +7,15 @@ folder, so a lost executor or a restarted driver continues where it stopped.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factledger.operators.joins import broadcast_if_small
 from factledger.operators.merge import not_in
 from factledger.operators.ranking import top_rows
 
@@ -25,41 +28,68 @@ def arriving(
     return reader.load(path)
 
 
-def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> None:
-    """Run ``step`` for every micro-batch that is available, then stop."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, in whatever file system it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run a checkpoint belongs to.
+
+    It lives in the checkpoint's folder: a restart finds it again, and a lost
+    checkpoint starts a run of another name, whose batches cannot touch what
+    earlier runs wrote.
+    """
+    path = f"{checkpoint}/run_id"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        spark.range(1).select(F.lit(f"r{uuid.uuid4().hex}").alias("value")).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
+def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, str, int], None]) -> int:
+    """Run ``step(batch, run, number)`` for every micro-batch that is available, then stop; gives their number."""
+    run = run_id(stream.sparkSession, checkpoint)
+    done = 0
+
+    def each(batch: DataFrame, number: int) -> None:
+        nonlocal done
+        step(batch, run, number)
+        done += 1
+
     query = (
-        stream.writeStream.foreachBatch(step)
+        stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return done
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None while nothing has been written."""
-    from pyspark.errors import AnalysisException
+    """The table at ``path``, or None while nothing has been written; a table that cannot be read is an error."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
 
+def append_batch(df: DataFrame, path: str, run: str, number: int) -> None:
+    """Write a batch into its run's own folder; a replayed batch overwrites itself."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch into its own folder; a replayed batch overwrites itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-
-def earlier_batches(
-    spark: SparkSession, path: str, batch_id: int, columns: Sequence[str], only_last: bool = False
-) -> DataFrame | None:
-    """Rows written by batches before this one (a replay must not see itself)."""
+def other_batches(spark: SparkSession, path: str, run: str, number: int) -> DataFrame | None:
+    """Rows of all batches of all runs but this one (a replay must not see itself)."""
     known = read_or_none(spark, path)
+    return None if known is None else known.filter(~((F.col("run") == run) & (F.col("batch") == number)))
+
+
+def unseen(rows: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` whose key is not known; the history is scanned for the batch's keys and not shuffled."""
     if known is None:
-        return None
-    wanted = F.col("batch") == batch_id - 1 if only_last else F.col("batch") < batch_id
-    return known.filter(wanted).select(*columns)
+        return rows
+    asked = broadcast_if_small(rows.select(F.col(key).alias("_asked")).distinct())
+    seen = known.select(key).join(asked, F.col(key).eqNullSafe(F.col("_asked")), "left_semi").distinct()
+    return not_in(rows, seen, [key])
 
 
 def process_unseen(
@@ -71,63 +101,80 @@ def process_unseen(
     checkpoint: str,
     failed: Column | None = None,
     dead_letters: str | None = None,
+    order: Sequence[str] = (),
 ) -> None:
-    """Transform each input once.
-
-    Inputs whose key is already in the processed table are skipped; rows for
-    which ``failed`` holds go to the dead letters instead and are not marked, so
-    :func:`retry_keys` brings them back.
+    """Transform each input once, also over restarts with a new checkpoint.
+
+    Inputs whose key is in the processed table of any run are skipped. Of a key's
+    rows in one batch a good one is chosen before a failed one, then by ``order``,
+    then by content; the choice is written once and all tables follow from it.
+    Rows for which ``failed`` holds go to the dead letters and are not marked, so
+    :func:`retry_keys` brings them back. The processed table is written last; what
+    a batch without it has left behind is not :func:`committed`.
     """
     spark = stream.sparkSession
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        known = earlier_batches(spark, processed, batch_id, [key])
-        fresh = batch if known is None else not_in(batch, known, [key])
-        fresh = fresh.dropDuplicates([key])
-        done = fresh if failed is None else fresh.filter(~F.coalesce(failed, F.lit(False)))
-        append_batch(transform(done), out, batch_id)
-        if failed is not None and dead_letters:
-            append_batch(fresh.filter(F.coalesce(failed, F.lit(False))), dead_letters, batch_id)
-        append_batch(done.select(key), processed, batch_id)
+    def step(batch: DataFrame, run: str, number: int) -> None:
+        flag = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
+        fresh = unseen(batch, other_batches(spark, processed, run, number), key)
+        marked = fresh.withColumn("_failed", flag)
+        chosen = top_rows(marked, [key], ["_failed", *order, F.xxhash64(*fresh.columns)])
+        choices = f"{checkpoint}/choices"
+        chosen.write.mode("overwrite").parquet(choices)
+        held = spark.read.schema(chosen.schema).parquet(choices)
+        done = held.filter(~F.col("_failed")).drop("_failed")
+        append_batch(transform(done), out, run, number)
+        if dead_letters:
+            append_batch(held.filter("_failed").drop("_failed"), dead_letters, run, number)
+        append_batch(done.select(key), processed, run, number)
 
     run_batches(stream, checkpoint, step)
 
 
+def committed(rows: DataFrame, processed: DataFrame) -> DataFrame:
+    """Rows of the batches that were finished, without the columns of their place."""
+    finished = broadcast_if_small(processed.select("run", "batch").distinct())
+    return rows.join(finished, ["run", "batch"], "left_semi").drop("run", "batch")
+
+
 def retry_keys(dead: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     """Failed inputs that have not been processed since."""
     return not_in(dead, processed, [key])
 
 
 def discover(
-    stream: DataFrame, key: str, group: str, order: Sequence[str], per_group: int, out: str, waiting: str, checkpoint: str
+    stream: DataFrame, key: str, group: str, order: Sequence[str], per_group: int, out: str, found: str, checkpoint: str
 ) -> None:
     """Queue newly found items once, at most ``per_group`` per group and batch.
 
-    Items beyond the quota are not lost: each batch writes them to ``waiting``
-    and the next batch takes them up again before anything new of that group.
+    Every item is written to ``found`` when it is first seen. What is found and not
+    queued is waiting; older items come first. A call for which nothing new has
+    arrived queues from the waiting items, so repeated calls drain them.
     """
     spark = stream.sparkSession
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        named = batch.filter(F.col(key).isNotNull()).withColumn("_age", F.lit(1))
-        held = earlier_batches(spark, waiting, batch_id, batch.columns, only_last=True)
-        if held is not None:
-            named = held.withColumn("_age", F.lit(0)).unionByName(named)
-        known = earlier_batches(spark, out, batch_id, [key])
-        fresh = named if known is None else not_in(named, known, [key])
-        first = top_rows(fresh, [key], ["_age", *order])
-        queued = top_rows(first, [group], ["_age", *order, key], per_group).drop("_age")
-        append_batch(queued, out, batch_id)
-        written = spark.read.parquet(f"{out}/batch={batch_id}").select(key)
-        append_batch(not_in(first.drop("_age"), written, [key]), waiting, batch_id)
+    def queue(run: str, number: int) -> None:
+        waiting = waiting_items(spark, found, other_batches(spark, out, run, number), key)
+        append_batch(top_rows(waiting, [group], ["_age", *order, key], per_group).drop("_age"), out, run, number)
 
-    run_batches(stream, checkpoint, step)
+    def step(batch: DataFrame, run: str, number: int) -> None:
+        fresh = unseen(batch.filter(F.col(key).isNotNull()), other_batches(spark, found, run, number), key)
+        first = top_rows(fresh, [key], [*order, F.xxhash64(*fresh.columns)])
+        append_batch(first.withColumn("_age", F.lit(time.time_ns())), found, run, number)
+        queue(run, number)
 
+    if not run_batches(stream, checkpoint, step) and path_exists(spark, found):
+        queue(f"r{uuid.uuid4().hex}", 0)
 
-def deduplicated(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Streaming duplicate removal with state; with an event time the state is bounded by ``delay``."""
-    if event_time is None:
-        return stream.dropDuplicates([key])
+
+def waiting_items(spark: SparkSession, found: str, queued: DataFrame | None, key: str) -> DataFrame:
+    """Items found and not queued yet, with ``_age``, the time they were found."""
+    known = spark.read.parquet(found).drop("run", "batch")
+    return known if queued is None else not_in(known, queued, [key])
+
+
+def deduplicated(stream: DataFrame, key: str, event_time: str, delay: str = "1 day") -> DataFrame:
+    """Streaming duplicate removal; keys are forgotten ``delay`` after their event time, which bounds the state."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -151,19 +198,21 @@ def rebuild_processed(outputs: DataFrame, key: str) -> DataFrame:
 
 def refresh_counts(
     stream: DataFrame, partial: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
-) -> None:
-    """Keep running counts: each batch stores its partial counts.
+) -> str:
+    """Keep running counts: each batch stores its partial counts. Gives the run the partials belong to.
 
     A batch is aggregated on its own and written to its own folder, so work per
-    batch depends on the batch, and a replay replaces its own partial.
+    batch depends on the batch, and a replay replaces its own partial. A run with a
+    new checkpoint counts everything anew, so totals are those of one run.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        append_batch(partial(batch), out, batch_id)
+    def step(batch: DataFrame, run: str, number: int) -> None:
+        append_batch(partial(batch), out, run, number)
 
     run_batches(stream, checkpoint, step)
+    return run_id(stream.sparkSession, checkpoint)
 
 
-def running_totals(partials: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """Totals over all partial counts written so far."""
-    return partials.groupBy(*keys).agg(F.sum(count).alias(count))
+def running_totals(partials: DataFrame, run: str, keys: Sequence[str], count: str) -> DataFrame:
+    """Totals over all partial counts a run has written so far."""
+    return partials.filter(F.col("run") == run).groupBy(*keys).agg(F.sum(count).alias(count))
