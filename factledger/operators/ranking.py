@@ -69,6 +69,30 @@ def numbered(
     return placed.join(broadcast_if_small(offsets), same).withColumn(name, number).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` up to and including each row, per group; a large group is spread over many tasks.
+
+    Rows are range partitioned by (keys, order) and written once. Windows run inside
+    (group, partition); one row per (group, partition) gives each its start.
+    """
+    placed = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(placed)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy(*keys, "_part").agg(F.sum(amount).alias("_held"))
+    starts = held.select(
+        *[F.col(k).alias(f"_key{i}_of_start") for i, k in enumerate(keys)],
+        F.col("_part").alias("_part_of_start"),
+        F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_start"),
+    )
+    same = F.col("_part") == F.col("_part_of_start")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}_of_start"))
+    summed = placed.withColumn("_sum", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    joined = summed.join(broadcast_if_small(starts), same)
+    return joined.withColumn(name, F.col("_sum") + F.col("_start")).select(*df.columns, name)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect configuration-sized rows; more than ``limit`` is an error, never a cut."""
     rows = df.limit(limit + 1).collect()

@@ -5,8 +5,8 @@ review queue is kept linear: every claim gets its exact number of conflicting
 claims and the lowest and highest of them. Reviewers open the partners of the
 claims they pick with :func:`partners_of`.
 
-All windows run over histogram cells (distinct values), whose number is bounded
-by the value scale and not by the number of claims.
+Counts run over histogram cells (distinct values). A person and metric with very
+many of them is spread over many tasks by range.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from factledger.constants import MIN_PERCENT_GAP, PERCENT_MARKS, PERCENT_PATTERN, SPOKEN_METRICS
 from factledger.functions.text import contains_any, strip
+from factledger.operators.ranking import running_total
+from factledger.session import cut_lineage
 
 GROUP = ["person_id", "metric"]
 
@@ -51,58 +53,68 @@ def percent_claims(segments: DataFrame, metrics: Sequence[tuple[str, str]] = SPO
     ).filter(F.col("metric").isNotNull() & F.col("value").isNotNull())
 
 
-def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits: int = 1) -> DataFrame:
-    """Per (person, metric, video, value): claims and exact number of conflicting claims.
+def _keyed(claims: DataFrame) -> DataFrame:
+    """Claims with a video key without nulls."""
+    return claims.withColumn("video", F.coalesce(F.col("video_id").cast("string"), F.lit("")))
 
-    ``digits`` is the number of decimals values carry. Far values are counted
-    with running sums over whole units; the two values exactly ``min_gap`` away
-    are judged on the doubles themselves.
-    """
-    unit = 10.0**digits
-    gap = round(min_gap * unit)
-    cells = _ticked(claims, digits).groupBy(*GROUP, "video", "tick").agg(F.count("*").alias("n"))
-    overall = cells.groupBy(*GROUP, "tick").agg(F.sum("n").alias("n"))
-
-    def far(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        group = Window.partitionBy(*keys)
-        run = group.orderBy("tick")
-        below = F.coalesce(F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, -gap - 1)), F.lit(0))
-        upto = F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, gap))
-        value = F.col("tick") / F.lit(unit)
-
-        def edge(step: int) -> Column:
-            there = F.coalesce(F.sum("n").over(run.rangeBetween(step, step)), F.lit(0))
-            other = (F.col("tick") + step) / F.lit(unit)
-            return F.when(F.abs(value - other) >= min_gap, there).otherwise(0)
-
-        above = F.sum("n").over(group) - upto
-        return df.withColumn(name, below + above + edge(-gap) + edge(gap)).drop("n")
-
-    in_all = far(overall, GROUP, "_all")
-    in_video = far(cells.withColumn("claims", F.col("n")), [*GROUP, "video"], "_own")
-    found = in_video.join(in_all, [*GROUP, "tick"])
-    return found.withColumn("conflicts", F.col("_all") - F.col("_own")).select(
-        *GROUP, "video", (F.col("tick") / F.lit(unit)).alias("value"), "tick", "claims", "conflicts"
-    )
 
+def _far(cells: DataFrame, keys: list[str], min_gap: float, margin: float, name: str) -> DataFrame:
+    """Per distinct value of a group the number of rows at least ``min_gap`` away.
 
-def _ticked(claims: DataFrame, digits: int) -> DataFrame:
-    """Claims with their value in whole units and a video key without nulls."""
-    return claims.withColumns(
-        {
-            "tick": F.round(F.col("value") * 10.0**digits).cast("bigint"),
-            "video": F.coalesce(F.col("video_id").cast("string"), F.lit("")),
-        }
+    Values beyond the gap by more than ``margin``, which covers all rounding, are
+    counted with running totals. The few values inside the margin are found by a
+    join on a fine grid and judged on the doubles themselves.
+    """
+    low, high = F.col("value") - (min_gap + margin), F.col("value") + (min_gap + margin)
+    none = F.lit(None).cast("double")
+    points = (
+        cells.select(*keys, F.col("value").alias("x"), F.lit(1).alias("kind"), "n", none.alias("of"))
+        .unionByName(cells.select(*keys, low.alias("x"), F.lit(2).alias("kind"), F.lit(0).alias("n"), F.col("value").alias("of")))
+        .unionByName(cells.select(*keys, high.alias("x"), F.lit(0).alias("kind"), F.lit(0).alias("n"), F.col("value").alias("of")))
+    )
+    upto = running_total(points, keys, ["x", "kind"], "n", "upto").filter("kind <> 1")
+    pair = upto.groupBy(*keys, F.col("of").alias("value")).agg(
+        F.max(F.when(F.col("kind") == 2, F.col("upto"))).alias("below"),
+        F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("not_above"),
+    )
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+    sure = pair.join(totals, keys).select(*keys, "value", (F.col("below") + F.col("total") - F.col("not_above")).alias("sure"))
+
+    grid = 4 * margin
+    spots = [F.floor((F.col("value") + side * min_gap) / grid) + step for side in (-1, 1) for step in (-1, 0, 1)]
+    asked = cells.select(*keys, "value", F.explode(F.array_distinct(F.array(*spots))).alias("spot"))
+    held = cells.select(*keys, F.col("value").alias("other"), F.col("n").alias("others"), F.floor(F.col("value") / grid).alias("spot"))
+    apart = F.abs(F.col("value") - F.col("other"))
+    inside = (F.col("other") > low) & (F.col("other") < high)
+    edge = asked.join(held, [*keys, "spot"]).filter((apart >= min_gap) & inside)
+    edges = edge.groupBy(*keys, "value").agg(F.sum("others").alias("edge"))
+    counted = sure.join(edges, [*keys, "value"], "left")
+    return counted.select(*keys, "value", (F.col("sure") + F.coalesce("edge", F.lit(0))).alias(name))
+
+
+def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
+    """Per (person, metric, video, value): claims and exact number of conflicting claims, whatever the values' decimals."""
+    keyed = _keyed(claims).filter(F.col("value").isNotNull())
+    cells = cut_lineage(keyed.groupBy(*GROUP, "video", "value").agg(F.count("*").alias("n")))
+    overall = cells.groupBy(*GROUP, "value").agg(F.sum("n").alias("n"))
+    largest = cells.agg(F.max(F.abs("value"))).first()[0] or 0.0
+    margin = max(largest, min_gap) * 2.0**-48
+    found = _far(cells, [*GROUP, "video"], min_gap, margin, "_own").join(
+        _far(overall, GROUP, min_gap, margin, "_all"), [*GROUP, "value"]
+    )
+    counted = found.withColumn("conflicts", F.col("_all") - F.col("_own"))
+    return counted.join(cells.withColumnRenamed("n", "claims"), [*GROUP, "video", "value"]).select(
+        *GROUP, "video", "value", "claims", "conflicts"
     )
 
 
-def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits: int = 1) -> DataFrame:
+def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Claims with at least one conflicting claim, its count and the extreme partners."""
-    cells = conflict_cells(claims, min_gap, digits).filter(F.col("conflicts") > 0)
-    ticked = _ticked(claims, digits)
+    cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
+    keyed = _keyed(claims)
     # cells are pre-aggregated; the claims themselves join on the fine key only
-    partners = cells.select(*GROUP, "video", "tick", "conflicts").join(_video_extremes(ticked), GROUP)
-    queue = ticked.join(partners, [*GROUP, "video", "tick"])
+    partners = cells.select(*GROUP, "video", "value", "conflicts").join(_video_extremes(keyed), GROUP)
+    queue = keyed.join(partners, [*GROUP, "video", "value"])
 
     def other(side: str) -> Column:
         own = F.col(f"{side}1.video") == F.col("video")
@@ -118,9 +130,9 @@ def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits:
     )
 
 
-def _video_extremes(ticked: DataFrame) -> DataFrame:
+def _video_extremes(keyed: DataFrame) -> DataFrame:
     """The two lowest and two highest videos of each group (by their own extreme value)."""
-    per_video = ticked.groupBy(*GROUP, "video").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    per_video = keyed.groupBy(*GROUP, "video").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     group = Window.partitionBy(*GROUP)
 
     def side(value: str, ascending: bool, name: str) -> DataFrame:
@@ -135,9 +147,9 @@ def _video_extremes(ticked: DataFrame) -> DataFrame:
     return side("lo", True, "low").join(side("hi", False, "high"), GROUP)
 
 
-def conflict_totals(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits: int = 1) -> DataFrame:
+def conflict_totals(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Candidate pairs and people per metric, most pairs first."""
-    cells = conflict_cells(claims, min_gap, digits).filter(F.col("conflicts") > 0)
+    cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
     per_person = cells.groupBy(*GROUP).agg(F.sum(F.col("claims") * F.col("conflicts")).alias("ends"))
     return (
         per_person.groupBy("metric")
@@ -146,9 +158,9 @@ def conflict_totals(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits:
     )
 
 
-def conflicting_people(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP, digits: int = 1) -> DataFrame:
+def conflicting_people(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Number of people with at least one candidate pair."""
-    cells = conflict_cells(claims, min_gap, digits).filter(F.col("conflicts") > 0)
+    cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
     return cells.agg(F.countDistinct("person_id").alias("people"))
 
 

@@ -111,7 +111,7 @@ PAIRS = """pairs AS (SELECT a.person_id, a.metric, a.start, a.value, b.value AS
 )
 def conflict_queue(v):
     """Every claim that disagrees with the person's own claim in another video."""
-    return conflicts.conflict_queue(v.number_claims(), digits=2)
+    return conflicts.conflict_queue(v.number_claims())
 
 
 @register(
@@ -122,14 +122,34 @@ def conflict_queue(v):
 )
 def conflict_totals(v):
     """Candidate pairs and people per metric."""
-    return conflicts.conflict_totals(v.number_claims(), digits=2)
+    return conflicts.conflict_totals(v.number_claims())
 
 
 @register(
     "conflicting_people", "number_claims", f"WITH {PAIRS} SELECT count(DISTINCT person_id) AS people FROM pairs"
 )
 def conflicting_people(v):
-    return conflicts.conflicting_people(v.number_claims(), digits=2)
+    return conflicts.conflicting_people(v.number_claims())
+
+
+@register(
+    "price_conflicts",
+    "",
+    """WITH c AS (SELECT l_suppkey AS person_id, l_returnflag AS metric, l_orderkey AS video_id,
+        l_extendedprice * (1 - l_discount) AS value FROM lineitem)
+    SELECT a.metric, CAST(count(*) / 2 AS BIGINT) AS pairs, count(DISTINCT a.person_id) AS people
+    FROM c a JOIN c b ON a.person_id = b.person_id AND a.metric = b.metric AND a.video_id <> b.video_id
+    WHERE abs(a.value - b.value) >= 3.0 GROUP BY a.metric""",
+)
+def price_conflicts(v):
+    """Pairs per metric among values of many decimals."""
+    claims = v.table("lineitem").select(
+        F.col("l_suppkey").alias("person_id"),
+        F.col("l_returnflag").alias("metric"),
+        F.col("l_orderkey").alias("video_id"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"),
+    )
+    return conflicts.conflict_totals(claims)
 
 
 @register(
@@ -157,12 +177,12 @@ def conflict_partners(v):
         WHERE contains(text, '%')),
       m AS (SELECT *, CASE WHEN regexp_matches(quote, 'und') THEN 'and' WHEN regexp_matches(quote, 'th.{0,6}er') THEN 'th' END AS metric,
         TRY_CAST(nullif(regexp_extract(quote, '(\d{1,3}(?:\.\d)?)\s*(?:%|percent)', 1), '') AS DOUBLE) AS value FROM q)
-    SELECT person_id, video_id, start, metric FROM m WHERE metric IS NOT NULL AND value IS NOT NULL""",
+    SELECT person_id, video_id, start, metric, value FROM m WHERE metric IS NOT NULL AND value IS NOT NULL""",
 )
 def percent_claims(v):
     """Segments with a percentage of a metric (few in the driver's corpus)."""
     metrics = [("und", "and"), ("th.{0,6}er", "th")]
-    return conflicts.percent_claims(v.segments(), metrics).select("person_id", "video_id", "start", "metric")
+    return conflicts.percent_claims(v.segments(), metrics).select("person_id", "video_id", "start", "metric", "value")
 
 
 # --- search --------------------------------------------------------------------------

@@ -68,6 +68,16 @@ def brute_pairs(claims, gap):
 CLAIMS = "person_id bigint, metric string, value double, video_id string, start bigint"
 
 
+def test_conflicts_of_any_decimals(spark):
+    cases = {"a": [10.04, 13.04, 13.02, 12.96], "b": [1.05, 4.04, 4.06], "c": [0.1 + 3.0, 0.1, 0.3, 3.3, 0.1 + 0.2, 1e9, 1e9 + 3]}
+    data = [(1, m, float(x), f"v{i}", i) for m, values in cases.items() for i, x in enumerate(values)]
+    claims = spark.createDataFrame(data, "person_id long, metric string, value double, video_id string, start long")
+    got = {(r.metric, r.start): r.conflicts for r in conflicts.conflict_queue(claims).collect()}
+    for m, values in cases.items():
+        for i, x in enumerate(values):
+            assert got.get((m, i), 0) == sum(abs(x - y) >= 3.0 for k, y in enumerate(values) if k != i)
+
+
 def test_conflicts_match_brute_force(spark):
     rng = random.Random(7)
     data = []
