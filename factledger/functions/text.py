@@ -97,12 +97,24 @@ def unit_label(unit: Column) -> Column:
 
 
 def transcript_parts(segments: Column, size: int = 14000) -> Column:
-    """Transcript text of an array of segments, cut into consecutive parts one prompt can carry.
+    """Transcript text of an array of segments, in consecutive parts one prompt can carry.
 
-    The first part is what a single prompt would show; the others carry the
-    rest, so no text is left unread. An empty transcript has one empty part.
+    Parts end at segment borders: a part takes segments while its text has at most
+    ``size`` characters. Only a single segment longer than that is a part on its
+    own, uncut. No text is left unread; an empty transcript has one empty part.
     """
     texts = F.transform(segments, lambda s: F.coalesce(s["text"], F.lit("")))
-    text = F.array_join(texts, " ")
-    last = F.greatest(F.ceil(F.length(text) / size) - 1, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def add(state: Column, text: Column) -> Column:
+        joined = F.concat(state["open"], F.lit(" "), text)
+        fits = F.char_length(joined) <= size
+        return F.when(state["open"].isNull(), F.struct(state["done"].alias("done"), text.alias("open"))).otherwise(
+            F.struct(
+                F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["open"])).alias("done"),
+                F.when(fits, joined).otherwise(text).alias("open"),
+            )
+        )
+
+    return F.aggregate(texts, start, add, lambda s: F.array_append(s["done"], F.coalesce(s["open"], F.lit(""))))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.operators.ranking import bounded_rows, top_rows
+from factledger.operators.contains import containing
+from factledger.operators.ranking import top_rows
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -116,17 +117,10 @@ def replace_tagged(
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def append_unnamed(roster: DataFrame, figures: DataFrame, name: str = "name", limit: int = 10_000) -> DataFrame:
-    """Append figures whose name is not contained in any roster name.
-
-    The figures are a hand-made list, collected under a checked bound; the
-    roster is scanned once and never broadcast.
-    """
-    names = sorted({r[0] for r in bounded_rows(figures.select(name).distinct(), limit, "figures") if r[0]})
-    wanted = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    present = (
-        roster.select(F.explode(F.filter(wanted, lambda n: F.col(name).contains(n))).alias(name)).distinct()
-    )
+def append_unnamed(roster: DataFrame, figures: DataFrame, name: str = "name") -> DataFrame:
+    """Append figures whose name is not contained in any roster name."""
+    named = figures.filter(F.col(name) != "")
+    present = containing(roster, name, named, name).select(F.col("word").alias(name)).distinct()
     return roster.unionByName(not_in(figures, present, [name]), allowMissingColumns=True)
 
 

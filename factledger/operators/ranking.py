@@ -92,10 +92,3 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amou
     joined = summed.join(broadcast_if_small(starts), same)
     return joined.withColumn(name, F.col("_sum") + F.col("_start")).select(*df.columns, name)
 
-
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect configuration-sized rows; more than ``limit`` is an error, never a cut."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows")
-    return rows

@@ -31,7 +31,6 @@ VERDICT_COLUMNS = [
     "metric",
     "dimension_type",
     "official_statistic_id",
-    "statistic_ids",
     "n_peers",
     "outcome",
     "confidence",
@@ -45,8 +44,6 @@ VERDICT_COLUMNS = [
     "review_status",
 ]
 
-INLINE_IDS = 100  # peer sets up to this size are listed in the verdict row itself
-
 Matcher = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -56,23 +53,12 @@ def peer_members(statistics: DataFrame) -> DataFrame:
     return numbered(statistics, ["value", "stat_id"], PEER_KEYS, name="place", start=0)
 
 
-def peer_sets(members: DataFrame, inline_ids: int = INLINE_IDS) -> DataFrame:
-    """One row per peer set: size, extremes and, for sets up to ``inline_ids``, the ids.
-
-    Larger sets keep their members in the statistics table itself, which is
-    already one row per (peer set, id); a verdict names its peer set, so
-    :func:`considered_statistics` gives the list whatever its size.
-    """
+def peer_sets(members: DataFrame) -> DataFrame:
+    """One row per peer set: its size and extremes."""
     row = F.struct("value", "stat_id")
-    first_ids = F.collect_list(F.when(F.col("place") < inline_ids, F.col("stat_id")))  # at most inline_ids
-    sets = members.groupBy(*PEER_KEYS).agg(
-        F.count("*").alias("n_peers"),
-        F.min(row).alias("lowest"),
-        F.max(row).alias("highest"),
-        F.sort_array(first_ids).alias("ids"),
+    return members.groupBy(*PEER_KEYS).agg(
+        F.count("*").alias("n_peers"), F.min(row).alias("lowest"), F.max(row).alias("highest")
     )
-    whole = F.when(F.col("n_peers") <= inline_ids, F.col("ids"))
-    return sets.withColumn("statistic_ids", whole).drop("ids")
 
 
 def dimension_lookup(members: DataFrame) -> DataFrame:
@@ -84,6 +70,15 @@ def dimension_lookup(members: DataFrame) -> DataFrame:
     )
 
 
+def considered_members(statistics: DataFrame) -> DataFrame:
+    """The statistics of every peer set in order: metric, dimension_type, place, stat_id.
+
+    Verdicts name their peer set, so this one table holds what each of them
+    considered, whatever the size of the sets.
+    """
+    return peer_members(statistics.select("stat_id", *PEER_KEYS, "value")).select(*PEER_KEYS, "place", "stat_id")
+
+
 def considered_statistics(verdicts: DataFrame, statistics: DataFrame) -> DataFrame:
     """(statement_id, stat_id) pairs: every statistic a verdict considered, one row each.
 
@@ -93,13 +88,13 @@ def considered_statistics(verdicts: DataFrame, statistics: DataFrame) -> DataFra
     return keys.join(statistics.select(*PEER_KEYS, "stat_id"), PEER_KEYS).select("statement_id", "stat_id")
 
 
-def match_statistics(claims: DataFrame, statistics: DataFrame, inline_ids: int = INLINE_IDS) -> DataFrame:
+def match_statistics(claims: DataFrame, statistics: DataFrame) -> DataFrame:
     """Attach to each claim its peer set and its own dimension's statistic.
 
     With both lookups broadcast the claims are not shuffled at all.
     """
     members = peer_members(statistics.select("stat_id", *PEER_KEYS, "dimension_value", "value", "source_url"))
-    sets = broadcast_if_small(peer_sets(members, inline_ids))
+    sets = broadcast_if_small(peer_sets(members))
     own = broadcast_if_small(dimension_lookup(members))
     return claims.join(sets, PEER_KEYS, "left").join(own, [*PEER_KEYS, "dimension_value"], "left")
 
@@ -158,9 +153,6 @@ def adjudicate(matched: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "n_peers": F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"),
-                "statistic_ids": F.when(F.col("_n").isNull(), F.array().cast("array<bigint>")).otherwise(
-                    F.col("statistic_ids")
-                ),
                 "outcome": outcome,
                 "confidence": round_half_even(F.col("_raw"), 4),
                 "numeric_gap": F.when(decided, F.col("_gap")),
@@ -253,8 +245,8 @@ def verify(
     adjudicator: Callable[[DataFrame], DataFrame] = adjudicate,
     threshold: float = PUBLISH_CONFIDENCE,
     transcription_sources: Iterable[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """Verdicts for all claims, and the rejected claims without a statement id."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verdicts for all claims, the rejected claims without a statement id, and the members of the peer sets."""
     usable = claims.filter(F.col("statement_id").isNotNull())
     rejects = claims.filter(F.col("statement_id").isNull()).withColumn(
         "reject_reason", F.lit("a verdict must be tied to a stored statement")
@@ -263,23 +255,21 @@ def verify(
     verdicts = publish_gate(drafts, threshold, transcription_sources).withColumn(
         "statement_url", F.col("source_url")
     )
-    return verdicts.select(*VERDICT_COLUMNS), rejects
+    return verdicts.select(*VERDICT_COLUMNS), rejects, considered_members(statistics)
 
 
-def verdict_leaderboard(verdicts: DataFrame, statements: DataFrame, people: DataFrame) -> DataFrame:
+def verdict_leaderboard(verdicts: DataFrame, people: DataFrame) -> DataFrame:
     """People by number of published statements that contradict official data.
 
     Counts are taken per person before the names are joined.
     """
+    from factledger.functions.text import person_slug
+
     counted = (
         verdicts.filter(F.col("published") & (F.col("outcome") == "inconsistent"))
-        .select("statement_id")
-        .join(statements.select("statement_id", "politician_id"), "statement_id")
         .groupBy("politician_id")
         .agg(F.count("*").alias("contradicted_count"))
     )
-    from factledger.functions.text import person_slug
-
     board = counted.join(people, counted["politician_id"] == people["person_id"])
     return board.select(
         person_slug(F.col("official_id"), F.col("person_id")).alias("slug"),

@@ -16,7 +16,7 @@ from factledger.constants import CHECKED_TOPICS, STAT_FIELDS
 from factledger.functions.numbers import float_text
 from factledger.functions.text import contains_any, first_matching, transcript_parts
 from factledger.operators.joins import broadcast_if_small
-from factledger.operators.ranking import numbered
+from factledger.operators.ranking import numbered, top_rows
 
 Keywords = Mapping[str, Sequence[str]]
 
@@ -116,7 +116,7 @@ def adjudication_prompts(
     prompt = F.lit(template)
     for mark, value in (("{claim}", "claim"), ("{quote}", "quote"), ("{stats}", "stat_lines")):
         prompt = F.replace(prompt, F.lit(mark), F.coalesce(F.col(value), F.lit("")))
-    return routed.withColumn("prompt", prompt).drop("stat_lines", "list_no")
+    return routed.withColumn("prompt", prompt).drop("stat_lines")
 
 
 def generate(prompts: DataFrame, gen: Callable[[str], str | None]) -> DataFrame:
@@ -161,7 +161,7 @@ def json_text(answer: Column) -> Column:
 
 
 CLAIM_LIST = "array<struct<quote:string,topic:string,claim:string,approx_seconds:int>>"
-VERDICT = "struct<outcome:string,stat_index:string,confidence:double,reason:string>"
+VERDICT = "struct<outcome:string,confidence:double,reason:string>"
 
 
 def parse_claims(answers: DataFrame) -> DataFrame:
@@ -175,10 +175,11 @@ def parse_claims(answers: DataFrame) -> DataFrame:
 
 
 def parse_verdicts(answers: DataFrame) -> DataFrame:
-    """Verdict fields; anything that is not an object is unverifiable, and a fractional index is no index."""
+    """Verdict fields; anything that is not an object is unverifiable, and only a JSON integer is an index."""
     text = json_text(F.col("answer"))
     verdict = F.when(F.ltrim(text).startswith("{"), F.from_json(text, VERDICT))
-    index = F.when(verdict["stat_index"].rlike(r"^-?\d+$"), verdict["stat_index"].try_cast("bigint"))
+    found = F.try_variant_get(F.try_parse_json(text), "$.stat_index", "variant")
+    index = F.when(F.schema_of_variant(found) == "BIGINT", F.try_variant_get(found, "$", "bigint"))
     return answers.select(
         *[c for c in answers.columns if c not in ("answer", "prompt", "topic_key")],
         F.coalesce(verdict["outcome"], F.lit("unverifiable")).alias("outcome"),
@@ -188,6 +189,17 @@ def parse_verdicts(answers: DataFrame) -> DataFrame:
     )
 
 
+def one_verdict(verdicts: DataFrame, claim: Sequence[str]) -> DataFrame:
+    """One verdict per claim whose statistics went over several lists.
+
+    A decisive verdict comes before an unverifiable one, then the more confident
+    one, then the one on the earlier list.
+    """
+    decisive = F.col("outcome").isin("contradicted", "consistent").cast("int")
+    order = [F.desc("_decisive"), F.desc_nulls_last("confidence"), "list_no"]
+    return top_rows(verdicts.withColumn("_decisive", decisive), claim, order).drop("_decisive", "list_no")
+
+
 def parse_segments(text: Column) -> Column:
     """Transcribed segments from model text, malformed rows skipped."""
     body = F.trim(text)
@@ -230,6 +242,6 @@ def fact_check(
     extracted = cut_lineage(generate(prompts, gen))
     failed = extracted.filter(F.col("answer").isNull()).drop("prompt", "answer")  # names the part to retry
     claims = parse_claims(extracted.filter(F.col("answer").isNotNull()).drop("part_no"))
-    judged = generate(adjudication_prompts(claims, statistics, adjudicate_template, keywords), gen)
-    verdicts = parse_verdicts(judged.filter(F.col("answer").isNotNull()))
+    judged = cut_lineage(generate(adjudication_prompts(claims, statistics, adjudicate_template, keywords), gen))
+    verdicts = one_verdict(parse_verdicts(judged.filter(F.col("answer").isNotNull())), claims.columns)
     return gate_findings(verdicts, statistics, keywords), failed

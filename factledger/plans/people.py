@@ -54,7 +54,7 @@ def directory_names(directory: DataFrame) -> DataFrame:
     return directory.select(
         F.coalesce("mk_individual_name", "mk_individual_name_eng", "LastName").alias("last_name"),
         F.coalesce("mk_individual_first_name", "mk_individual_first_name_eng", "FirstName").alias("first_name"),
-        to_int(F.coalesce("vip_id", "mk_id", "Id")).alias("votes_id"),
+        to_int(F.coalesce("vip_id", "mk_id", *[c for c in directory.columns if c in ("Id", "ID")])).alias("votes_id"),
         F.col("mk_individual_id").cast("string").alias("individual_id"),
         (F.col("mk_individual_name").isNull() | F.col("mk_individual_first_name").isNull()).alias("fallback"),
         "pos",

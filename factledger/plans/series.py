@@ -17,8 +17,10 @@ from factledger.constants import (
 from factledger.functions.casts import start_year, year_in
 from factledger.functions.numbers import percent_of_max, round_half_even
 from factledger.functions.text import person_name_key, short_org, unit_label
+from factledger.operators.contains import containing
 from factledger.operators.joins import broadcast_if_small
-from factledger.operators.ranking import bounded_rows, top_rows
+from factledger.operators.ranking import top_rows
+from factledger.session import cut_lineage
 
 
 def series_points(points: DataFrame, min_years: int = MIN_SERIES_YEARS) -> DataFrame:
@@ -192,21 +194,25 @@ def catalog_metrics(points: DataFrame) -> DataFrame:
 
 
 # --- tenure trends ------------------------------------------------------------------
-def match_series(appointments: DataFrame, series: DataFrame, limit: int = 10_000) -> DataFrame:
+def match_series(appointments: DataFrame, series: DataFrame) -> DataFrame:
     """First series, in declared order, one of whose keywords occurs in the position or ministry.
 
-    The keyword lists are a curated table, read under a checked bound and put
-    into one expression; the appointments are scanned once.
+    Distinct places are matched with the exploded keywords; the appointments
+    meet the few places that matched.
     """
-    rules = bounded_rows(series.select("pos", "key", "match"), limit, "series keywords")
-    chain = F.lit(None).cast("string")
-    place, office = F.coalesce("position", F.lit("")), F.coalesce("ministry", F.lit(""))
-    for rule in sorted(rules, key=lambda r: r["pos"], reverse=True):
-        hit = F.lit(False)
-        for word in rule["match"] or []:
-            hit = hit | place.contains(word) | office.contains(word)
-        chain = F.when(hit, F.lit(rule["key"])).otherwise(chain)
-    return appointments.withColumn("key", chain)
+    words = series.select("pos", "key", F.explode("match").alias("word")).filter("word IS NOT NULL")
+    named = appointments.select(
+        F.explode(F.array(F.coalesce("position", F.lit("")), F.coalesce("ministry", F.lit("")))).alias("place")
+    )
+    pairs = containing(named, "place", words, "word").join(words, "word")
+    first = top_rows(pairs, ["text"], ["pos", "key"]).select("text", F.struct("pos", "key").alias("first"))
+    first = cut_lineage(first)
+    own = appointments.withColumns(
+        {"_place": F.coalesce("position", F.lit("")), "_office": F.coalesce("ministry", F.lit(""))}
+    )
+    joined = own.join(first.select(F.col("text").alias("_place"), F.col("first").alias("_by_place")), "_place", "left")
+    joined = joined.join(first.select(F.col("text").alias("_office"), F.col("first").alias("_by_office")), "_office", "left")
+    return joined.select(*appointments.columns, F.least("_by_place", "_by_office")["key"].alias("key"))
 
 
 def trend_points(points: Column, year: Column) -> Column:

@@ -119,14 +119,46 @@ def verdict_rationale(v):
 @register(
     "verdict_statistic_ids",
     "statistics claims",
-    f"""WITH {VERDICTS} SELECT statement_id, coalesce(array_to_string(ids, ','), '') AS statistic_ids FROM verdict""",
+    f"""WITH {PEERS} SELECT statement_id, stat_id FROM claims JOIN peer USING (metric, dimension_type)""",
 )
 def verdict_statistic_ids(v):
-    """Considered statistics of every claim, inlined for small peer sets."""
-    drafts = adj.adjudicate(adj.match_statistics(v.claims(), v.statistics()))
-    return drafts.select(
-        "statement_id", F.array_join(F.col("statistic_ids").cast("array<string>"), ",").alias("statistic_ids")
+    """Every statistic each verdict considered, one row each."""
+    return adj.considered_statistics(_verdicts(v), v.statistics())
+
+
+@register(
+    "large_peer_set",
+    "",
+    """WITH p AS (SELECT p_partkey AS stat_id, p_retailprice AS value, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS place,
+        count(*) OVER () AS n FROM part), e AS (SELECT arg_min(stat_id, place) AS low FROM p)
+    SELECT place, stat_id, n AS n_peers, stat_id = low AS consistent FROM p, e""",
+)
+def large_peer_set(v):
+    """One peer set of all parts: its members in order, and the verdict on each as the lowest."""
+    stats = v.table("part").select(
+        F.col("p_partkey").alias("stat_id"),
+        F.lit("price").alias("metric"),
+        F.lit("part").alias("dimension_type"),
+        F.col("p_partkey").cast("string").alias("dimension_value"),
+        F.col("p_retailprice").alias("value"),
+        F.lit("https://prices").alias("source_url"),
+    )
+    claims = stats.select(
+        F.col("stat_id").alias("statement_id"),
+        F.lit(1).cast("bigint").alias("politician_id"),
+        "metric",
+        "dimension_type",
+        "dimension_value",
+        F.lit("superlative_min").alias("assertion"),
+        F.lit(None).cast("double").alias("claimed_value"),
+        F.lit("cbs").alias("source_type"),
+        "source_url",
+    )
+    verdicts, _, members = adj.verify(claims, stats)
+    held = verdicts.select(
+        F.col("statement_id").alias("stat_id"), "n_peers", (F.col("outcome") == "consistent").alias("consistent")
     )
+    return members.join(held, "stat_id").select("place", "stat_id", "n_peers", "consistent")
 
 
 def _verdicts(v):
@@ -180,8 +212,7 @@ def claim_verdicts(v):
 )
 def verdict_leaderboard(v):
     """People by published statements that contradict official data."""
-    claims = v.claims()
-    return adj.verdict_leaderboard(_verdicts(v), claims, v.people())
+    return adj.verdict_leaderboard(_verdicts(v), v.people())
 
 
 # --- evidence -----------------------------------------------------------------
@@ -241,6 +272,35 @@ def record_candidates(v):
     )
 
 
+@register(
+    "review_evidence",
+    "votes vote_events actions",
+    f"""WITH {EVIDENCE} SELECT person_id, evidence_kind, evidence_id, evidence_url, label, candidate_no, n_candidates
+    FROM ranked WHERE coalesce(evidence_url, '') <> ''""",
+)
+def review_evidence(v):
+    """The complete evidence list of every person, which all statements of the person share."""
+    evidence = ev.gather_evidence(v.votes(), v.vote_events(), v.actions())
+    return ev.ranked_evidence(evidence).select(
+        "person_id", "evidence_kind", "evidence_id", "evidence_url", "label", "candidate_no", "n_candidates"
+    )
+
+
+@register(
+    "review_statements",
+    "statements votes vote_events actions",
+    f"""WITH {EVIDENCE}, n AS (SELECT person_id, max(n_candidates) AS n FROM ranked GROUP BY person_id)
+    SELECT statement_id, person_id, coalesce(n, 0) AS n_candidates FROM statements LEFT JOIN n USING (person_id)""",
+)
+def review_statements(v):
+    """Every statement with the number of its review candidates."""
+    evidence = ev.ranked_evidence(ev.gather_evidence(v.votes(), v.vote_events(), v.actions()))
+    sizes = evidence.groupBy("person_id").agg(F.max("n_candidates").alias("n"))
+    return v.statements().join(sizes, "person_id", "left").select(
+        "statement_id", "person_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_candidates")
+    )
+
+
 @register(
     "record_candidates_next",
     "statements votes vote_events actions",
@@ -269,19 +329,31 @@ def evidence_union(v):
     )
 
 
-@register(
-    "nearest_evidence",
-    "",
-    """WITH q AS (SELECT label AS claim_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
-      s AS (SELECT CAST(claim_id AS BIGINT) AS claim_id, vec_id AS evidence_id,
+NEAREST = """s AS (SELECT claim_id, vec_id AS evidence_id,
         round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM q, embeddings)
     SELECT claim_id, evidence_id, similarity, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY claim_id
-      ORDER BY similarity DESC, evidence_id) AS INTEGER) AS place FROM s) WHERE place <= 10""",
-)
+      ORDER BY similarity DESC, evidence_id) AS INTEGER) AS place FROM s)"""
+
+
+@register("nearest_evidence", "", f"WITH q AS (SELECT vec_id AS claim_id, embedding AS qv FROM embeddings), {NEAREST} WHERE place <= 10")
 def nearest_evidence(v):
-    """Ten nearest vectors of the first vector of every label."""
+    """Ten nearest vectors of every vector."""
     e = v.table("embeddings")
-    claims = e.groupBy(F.col("label").cast("bigint").alias("claim_id")).agg(
-        F.min_by("embedding", "vec_id").alias("embedding")
-    )
+    claims = e.select(F.col("vec_id").alias("claim_id"), "embedding")
     return ev.nearest_evidence(claims, e.withColumnRenamed("vec_id", "evidence_id"), 10)
+
+
+@register(
+    "nearest_evidence_blocks",
+    "",
+    f"""WITH q AS (SELECT vec_id * 10 + k AS claim_id, embedding[k + 1:] || embedding[:k] AS qv
+      FROM embeddings, (SELECT unnest(range(10)) AS k)), {NEAREST} WHERE place <= 3""",
+)
+def nearest_evidence_blocks(v):
+    """More claims than one block holds: every vector, turned by 0 to 9 places."""
+    e = v.table("embeddings")
+    turned = F.concat(F.expr("slice(embedding, k + 1, 64)"), F.expr("slice(embedding, 1, k)")).alias("embedding")
+    claims = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select(
+        (F.col("vec_id") * 10 + F.col("k")).alias("claim_id"), turned
+    )
+    return ev.nearest_evidence(claims, e.withColumnRenamed("vec_id", "evidence_id"), 3)

@@ -323,9 +323,13 @@ def corpus_status(v):
 @register(
     "transcript_text",
     "",
-    """WITH t AS (SELECT doc_id AS video_id, replace(text, chr(10), ' ') AS whole FROM documents),
-      p AS (SELECT *, unnest(range(greatest(CAST(ceil(length(whole) / 14000) AS BIGINT), 1))) AS part_no FROM t)
-    SELECT video_id, CAST(part_no AS INTEGER) AS part_no, md5(substr(whole, part_no * 14000 + 1, 14000)) AS part_md5 FROM p""",
+    """WITH RECURSIVE s AS (SELECT doc_id AS video_id, unnest(lines) AS t, generate_subscripts(lines, 1) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+      w AS (SELECT video_id, CAST(1 AS BIGINT) AS i, 0 AS part_no, t AS part FROM s WHERE i = 1
+        UNION ALL SELECT w.video_id, s.i, CASE WHEN length(w.part) + 1 + length(s.t) <= 14000 THEN part_no ELSE part_no + 1 END,
+          CASE WHEN length(w.part) + 1 + length(s.t) <= 14000 THEN w.part || ' ' || s.t ELSE s.t END
+        FROM w JOIN s ON s.video_id = w.video_id AND s.i = w.i + 1)
+    SELECT video_id, CAST(part_no AS INTEGER) AS part_no, md5(arg_max(part, i)) AS part_md5 FROM w GROUP BY video_id, part_no""",
 )
 def transcript_text(v):
     """Whole transcript texts, cut into the parts one prompt carries."""

@@ -229,16 +229,25 @@ def _stats(v):
 
 
 def _checked_claims(v):
+    """Verdicts from JSON answers whose index is an integer, a text or a fraction."""
     o = v.table("orders")
-    return o.select(
-        F.col("o_orderkey").alias("claim_id"),
-        F.col("o_orderpriority").alias("topic"),
+    outcome = (
         F.when(F.col("o_orderstatus") == "F", "contradicted")
         .when(F.col("o_orderstatus") == "O", "consistent")
         .otherwise("unverifiable")
-        .alias("outcome"),
-        F.col("o_custkey").alias("stat_index"),
     )
+    key = F.col("o_custkey").cast("string")
+    index = (
+        F.when(F.col("o_orderkey") % 7 == 1, F.concat(F.lit('"'), key, F.lit('"')))
+        .when(F.col("o_orderkey") % 7 == 2, F.concat(key, F.lit(".5")))
+        .otherwise(key)
+    )
+    answers = o.select(
+        F.col("o_orderkey").alias("claim_id"),
+        F.col("o_orderpriority").alias("topic"),
+        F.format_string('```json\n{"outcome": "%s", "stat_index": %s, "confidence": 0.9}\n```', outcome, index).alias("answer"),
+    )
+    return factcheck.parse_verdicts(answers)
 
 
 @register("topic_routing", "", f"WITH {ROUTED} SELECT topic_key, pos, stat_index FROM routed")
@@ -251,12 +260,13 @@ def topic_routing(v):
     "finding_gate",
     "",
     f"""WITH {ROUTED}, c AS (SELECT o_orderkey AS claim_id, o_orderpriority AS topic,
-        CASE o_orderstatus WHEN 'F' THEN 'contradicted' WHEN 'O' THEN 'consistent' ELSE 'unverifiable' END AS outcome, o_custkey,
+        CASE o_orderstatus WHEN 'F' THEN 'contradicted' WHEN 'O' THEN 'consistent' ELSE 'unverifiable' END AS outcome,
+        CASE WHEN o_orderkey % 7 NOT IN (1, 2) THEN o_custkey END AS stat_no,
         CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'URGENT' WHEN contains(o_orderpriority, 'HIGH') THEN 'HIGH'
           WHEN contains(o_orderpriority, 'MEDIUM') THEN 'MEDIUM' WHEN contains(o_orderpriority, 'LOW') THEN 'LOW' END AS topic_key
       FROM orders)
     SELECT claim_id, topic, outcome, metric AS stat_metric, value AS stat_value, 'candidate' AS status
-    FROM c JOIN routed ON c.topic_key = routed.topic_key AND o_custkey = stat_index WHERE outcome <> 'unverifiable'""",
+    FROM c JOIN routed ON c.topic_key = routed.topic_key AND stat_no = stat_index WHERE outcome <> 'unverifiable'""",
 )
 def finding_gate(v):
     """Candidate findings: decisive verdicts whose index names a statistic of the claim's topic."""

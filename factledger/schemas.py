@@ -32,7 +32,7 @@ TABLES = {
     "contradictions": "statement_id bigint, person_id bigint, evidence_kind string, evidence_id bigint, "
     "statement_url string, evidence_url string, score double, status string, human_verdict string, rationale string, "
     "detector_version string, detected_at timestamp, reviewed_by string, reviewed_at timestamp",
-    "statistic_verdicts": "statement_id bigint, official_statistic_id bigint, statistic_ids array<bigint>, "
+    "statistic_verdicts": "statement_id bigint, official_statistic_id bigint, "
     "outcome string, confidence double, numeric_gap double, statement_url string, statistic_url string, "
     "rationale string, adjudicator_version string, published boolean, auto_published boolean, "
     "review_status string, reviewer string",

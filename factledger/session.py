@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +32,7 @@ def build_session(app: str = "factledger", master: str | None = None, **conf: st
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``.
-
-    Only a local master (tests, one machine) may fall back to a temporary
-    folder; a cluster without the setting is an error.
-    """
+    """The shared folder, from ``spark.checkpoint.dir``; a session without the setting is an error."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -47,11 +42,7 @@ def work_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="factledger-")
-    sc.setCheckpointDir(folder)
-    return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -10,7 +10,7 @@ from factledger.constants import TEMPLATE_DIMENSION
 from factledger.functions.casts import padded_member_key
 from factledger.functions.text import strip
 from factledger.operators.merge import not_in
-from factledger.operators.ranking import bounded_rows, top_rows
+from factledger.operators.ranking import top_rows
 
 PAGE = "value array<string>, `@odata.nextLink` string, `odata.nextLink` string"
 
@@ -112,8 +112,8 @@ def resource_path(spark: SparkSession, dataset: str, resource: str) -> str | Non
     """Path of a named resource in a dataset's ``datapackage.json``."""
     index = spark.read.schema("resources array<struct<name:string,path:string>>").option("multiLine", True)
     listed = index.json(f"{dataset}/datapackage.json").select(F.inline("resources"))
-    rows = bounded_rows(listed.filter(F.col("name") == resource).select("path"), 100, "datapackage resources")
-    return f"{dataset}/{rows[0]['path']}" if rows and rows[0]["path"] else None
+    row = listed.filter((F.col("name") == resource) & (F.col("path") != "")).select("path").first()
+    return f"{dataset}/{row['path']}" if row else None
 
 
 def read_dataset(spark: SparkSession, dataset: str, resource: str) -> DataFrame | None:

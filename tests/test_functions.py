@@ -102,9 +102,11 @@ def test_unit_label(spark):
 
 
 def test_transcript_parts_cover_the_whole_text(spark):
-    df = spark.createDataFrame([([("abcdef",), ("gh",), (None,)],), ([],)], "s array<struct<text:string>>")
+    df = spark.createDataFrame(
+        [([("abcdef",), ("gh",), (None,), ("i",)],), ([],), ([("a",), ("b",), ("cdef",)],)], "s array<struct<text:string>>"
+    )
     got = [r[0] for r in df.select(text.transcript_parts(F.col("s"), 4)).collect()]
-    assert got == [["abcd", "ef g", "h "], [""]]
+    assert got == [["abcdef", "gh ", "i"], [""], ["a b", "cdef"]]
 
 
 @settings(max_examples=5, deadline=None)

@@ -14,7 +14,7 @@ from factledger.operators.merge import (
     union_keys,
     with_entry,
 )
-from factledger.operators.ranking import bounded_rows, last_by, numbered, top_rows
+from factledger.operators.ranking import last_by, numbered, running_total, top_rows
 
 import pytest
 
@@ -68,12 +68,6 @@ def test_last_by(spark):
     assert sorted(map(tuple, last_by(df, ["k"], ["o"], ["v"]).collect())) == [(1, "b"), (2, "c")]
 
 
-def test_bounded_rows_refuses_instead_of_cutting(spark):
-    with pytest.raises(ValueError):
-        bounded_rows(spark.range(11), 10, "rows")
-    assert len(bounded_rows(spark.range(10), 10, "rows")) == 10
-
-
 def test_merge_rules(spark, rows):
     stored = spark.createDataFrame(
         [(1, "a", "name", "x"), (None, "b", "n2", "y"), (3, "c", "n3", "z")], "k int, v string, nm string, ids string"
@@ -167,3 +161,20 @@ def test_spread_leaves_wide_inputs_alone(spark):
     narrow, wide = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores)
     assert spread(narrow, "id").rdd.getNumPartitions() == cores
     assert spread(wide, "id") is wide
+
+
+def test_running_total_spreads_a_group(spark):
+    df = spark.range(0, 5000, 1, 8).select((F.col("id") % 10 == 9).alias("k"), (F.col("id") * 7 % 5000).alias("at"), F.lit(2).alias("n"))
+    got = running_total(df, ["k"], ["at"], "n", "upto").collect()
+    for k in (True, False):
+        own = sorted((r["at"], r["upto"]) for r in got if r["k"] == k)
+        assert [u for _, u in own] == [2 * (i + 1) for i in range(len(own))]
+
+
+def test_containing(spark, rows):
+    from factledger.operators.contains import containing
+
+    texts = spark.createDataFrame([("abcdef",), ("xyz",), ("",), (None,), ("abc",)], "t string")
+    words = spark.createDataFrame([("abcd",), ("z",), ("",), ("ef",), ("abcx",), (None,)], "w string")
+    wanted = [(t, w) for t in ("abcdef", "xyz", "", "abc") for w in ("abcd", "z", "", "ef", "abcx") if w in t]
+    assert rows(containing(texts, "t", words, "w")) == sorted(wanted, key=repr)

@@ -269,3 +269,27 @@ def test_embedding_provider(spark):
     df = spark.createDataFrame([("abc",), (None,)], "text string")
     out = evidence.embed_with(provider)(df).collect()
     assert [list(r.embedding) for r in out] == [[3.0, 1.0], [0.0, 1.0]]
+
+
+def test_only_json_integers_are_indexes(spark):
+    answers = ['{"outcome": "consistent", "stat_index": %s}' % x for x in ("1", '"1"', "1.5", "null", "true", "[1]", "-1")]
+    df = spark.createDataFrame(list(enumerate([*answers, "no json", "[1]"])), "i int, answer string")
+    got = {r.i: r.stat_index for r in factcheck.parse_verdicts(df).collect()}
+    assert got == {0: 1, 1: None, 2: None, 3: None, 4: None, 5: None, 6: -1, 7: None, 8: None}
+
+
+def test_one_verdict_per_claim(spark):
+    rows = [(1, "unverifiable", 0.99, 0), (1, "consistent", 0.6, 1), (1, "contradicted", 0.9, 2), (1, "consistent", 0.9, 3), (2, "unverifiable", None, 0)]
+    df = spark.createDataFrame(rows, "claim int, outcome string, confidence double, list_no int")
+    got = sorted(tuple(r) for r in factcheck.one_verdict(df, ["claim"]).collect())
+    assert got == [(1, "contradicted", 0.9), (2, "unverifiable", None)]
+
+
+def test_nearest_evidence_in_blocks(spark):
+    rng = __import__("numpy").random.default_rng(2)
+    vectors = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(60)]
+    e = spark.createDataFrame(vectors, "evidence_id bigint, embedding array<float>").repartition(3)
+    c = e.withColumnRenamed("evidence_id", "claim_id")
+    whole, blocks = (sorted(map(tuple, evidence.nearest_evidence(c, e, 3, block=b).collect())) for b in (4096, 7))
+    assert whole == blocks and len(whole) == 180
+    assert evidence.nearest_evidence(c.limit(0), e, 3).count() == 0
