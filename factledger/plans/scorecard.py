@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +24,10 @@ def stance_counts(votes: DataFrame) -> DataFrame:
     return votes.groupBy("person_id", "stance").agg(F.count("*").alias("n"))
 
 
-def participation(votes: DataFrame) -> DataFrame:
-    """Votes cast out of votes eligible (unknown stances do not count), for all people at once."""
+def participation(votes: DataFrame, *extra: str) -> DataFrame:
+    """Votes cast out of votes eligible (unknown stances do not count), for all people at once; ``extra``: ``votes``."""
     counts = votes.groupBy("person_id").agg(
-        *[F.count_if(F.col("stance") == s).alias(f"n_{s}") for s in VOTE_STANCES]
+        F.count("*").alias("votes"), *[F.count_if(F.col("stance") == s).alias(f"n_{s}") for s in VOTE_STANCES]
     )
     cast = sum((F.col(f"n_{s}") for s in CAST_STANCES), F.lit(0))
     eligible = F.col("eligible")
@@ -43,6 +43,7 @@ def participation(votes: DataFrame) -> DataFrame:
         "eligible",
         F.when(eligible > 0, round_half_even(F.col("cast") / eligible * 100, 1)).alias("score"),
         shares.alias("by_stance"),
+        *extra,
     )
 
 
@@ -53,16 +54,16 @@ def legislative_activity(sponsorships: DataFrame) -> DataFrame:
     )
 
 
-def dimension_table(
+def dimension_lists(
     people: DataFrame,
     votes: DataFrame,
     sponsorships: DataFrame,
     weights: Mapping[str, float] = DIMENSION_WEIGHTS,
 ) -> DataFrame:
-    """Long table: one row per person and dimension, scored or pending."""
+    """Per person: the numbers of votes and sponsorships, and all dimensions, scored or pending, as one list."""
     base = (
         people.select("person_id")
-        .join(participation(votes), "person_id", "left")
+        .join(participation(votes, "votes"), "person_id", "left")
         .join(legislative_activity(sponsorships), "person_id", "left")
     )
     eligible = F.coalesce("eligible", F.lit(0))
@@ -117,7 +118,29 @@ def dimension_table(
         dim(3 + i, key, F.lit(False), F.lit(False), none, nothing)
         for i, key in enumerate(PENDING_DIMENSIONS)
     ]
-    return base.select("person_id", F.inline(F.array(*rows)))
+    return base.select(
+        "person_id",
+        F.coalesce("votes", zero).cast("bigint").alias("votes"),
+        sponsored.cast("bigint").alias("bills"),
+        F.array(*rows).alias("dimensions"),
+    )
+
+
+def dimension_table(
+    people: DataFrame,
+    votes: DataFrame,
+    sponsorships: DataFrame,
+    weights: Mapping[str, float] = DIMENSION_WEIGHTS,
+) -> DataFrame:
+    """Long table: one row per person and dimension."""
+    return dimension_lists(people, votes, sponsorships, weights).select("person_id", F.inline("dimensions"))
+
+
+def scorecards(lists: DataFrame) -> DataFrame:
+    """Per person of :func:`dimension_lists` the index over the list, without another grouping."""
+    used = F.filter("dimensions", lambda d: d["available"] & d["scorable"] & d["score"].isNotNull())
+    rows = lists.select("*", F.size("dimensions").cast("bigint").alias("coverage_total"), used.alias("used"))
+    return _indexed(rows, lists.columns)
 
 
 def composite_index(dimensions: DataFrame) -> DataFrame:
@@ -130,6 +153,11 @@ def composite_index(dimensions: DataFrame) -> DataFrame:
         F.count("*").alias("coverage_total"),
         F.sort_array(F.collect_list(F.when(used, F.struct("dimension_no", "key", "score", "weight")))).alias("used"),
     )
+    return _indexed(per_person, ["person_id"])
+
+
+def _indexed(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The index from ``used``, the dimensions that count, in order."""
     n = F.size("used")
     total = F.aggregate("used", F.lit(0.0), lambda acc, d: acc + d["weight"])
     share = F.transform(
@@ -142,10 +170,10 @@ def composite_index(dimensions: DataFrame) -> DataFrame:
     )
     value = F.aggregate("shares", F.lit(0.0), lambda acc, d: acc + d["score"] * d["share"])
     return (
-        per_person.withColumn("total", total)
+        rows.withColumn("total", total)
         .withColumn("shares", share)
         .select(
-            "person_id",
+            *kept,
             F.when(n > 0, round_half_even(value, 1)).alias("index_value"),
             n.cast("bigint").alias("coverage_scored"),
             "coverage_total",

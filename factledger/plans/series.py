@@ -42,8 +42,8 @@ def series_points(points: DataFrame, min_years: int = MIN_SERIES_YEARS) -> DataF
     return yearly.join(enough.select("metric"), "metric", "left_semi")
 
 
-def series_headers(points: DataFrame) -> DataFrame:
-    """Unit, note and the first two distinct sources per metric."""
+def series_headers(points: DataFrame, source_count: int = 2, note_chars: int = 240) -> DataFrame:
+    """Unit, whole note, its display form of ``note_chars`` characters, and the first ``source_count`` distinct sources."""
     blank = F.lit("")
     heads = points.groupBy("metric").agg(
         F.min_by(F.struct("unit", "notes"), "pos").alias("first"),
@@ -53,20 +53,27 @@ def series_headers(points: DataFrame) -> DataFrame:
         "metric", F.coalesce("source_org", blank).alias("full_org"), F.col("source_url").alias("url"), "pos"
     )
     distinct = sourced.groupBy("metric", "full_org", "url").agg(F.min("pos").alias("pos"))
-    two = top_rows(distinct, ["metric"], ["pos"], 2)
+    two = top_rows(distinct, ["metric"], ["pos"], source_count)
     source = F.struct("pos", short_org(F.col("full_org")).alias("org"), "url")
     sources = two.groupBy("metric").agg(F.sort_array(F.collect_list(source)).alias("s"))
     note = F.coalesce(F.nullif(F.col("last.notes"), blank), F.nullif(F.col("first.notes"), blank), blank)
     return heads.join(sources, "metric", "left").select(
         "metric",
         unit_label(F.coalesce(F.col("first.unit"), blank)).alias("unit"),
-        F.left(note, F.lit(240)).alias("note"),
+        note.alias("note"),
+        F.left(note, F.lit(note_chars)).alias("note_display"),
         F.transform("s", lambda x: F.struct(x["org"].alias("org"), x["url"].alias("url"))).alias("sources"),
     )
 
 
-def build_series(points: DataFrame, min_years: int = MIN_SERIES_YEARS) -> DataFrame:
-    """One row per exported series, points sorted by year (years have four digits, so the array is bounded)."""
+def build_series(points: DataFrame, min_years: int = MIN_SERIES_YEARS, include: DataFrame | None = None) -> DataFrame:
+    """One row per exported series, points sorted by year (years have four digits, so the array is bounded).
+
+    ``include`` (metric, label, category) chooses the metrics and names them.
+    """
+    if include is not None:
+        points = points.join(include.select("metric"), "metric", "left_semi")
+        return build_series(points, min_years).join(include.select("metric", "label", "category"), "metric")
     yearly = series_points(points, min_years)
     arrays = yearly.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("year", "value"))).alias("points"))
     return arrays.join(series_headers(points), "metric")

@@ -168,14 +168,16 @@ def sponsorship_page(v):
 @register(
     "child_counts",
     "actors votes sponsorships statements actions",
-    """SELECT a.person_id, (SELECT count(*) FROM sponsorships x WHERE x.person_id = a.person_id) AS bills_count,
+    """SELECT a.person_id, (SELECT count(DISTINCT l_returnflag) FROM lineitem x WHERE x.l_suppkey = a.person_id) AS roles_count,
+      (SELECT count(*) FROM sponsorships x WHERE x.person_id = a.person_id) AS bills_count,
       (SELECT count(*) FROM votes x WHERE x.person_id = a.person_id) AS votes_count,
       (SELECT count(*) FROM statements x WHERE x.person_id = a.person_id) AS statements_count,
       (SELECT count(*) FROM actions x WHERE x.person_id = a.person_id) AS actions_count FROM actors a""",
 )
 def child_counts(v):
     """Related records per person."""
-    children = {"bills": v.sponsorships(), "votes": v.votes(), "statements": v.statements(), "actions": v.actions()}
+    roles = v.table("lineitem").select(F.col("l_suppkey").alias("person_id"), "l_returnflag").distinct()
+    children = {"roles": roles, "bills": v.sponsorships(), "votes": v.votes(), "statements": v.statements(), "actions": v.actions()}
     return listings.child_counts(v.actors().select("person_id"), children)
 
 
@@ -246,35 +248,73 @@ def directory_filter(v):
     "person_profiles",
     "actors votes vote_events sponsorships bills",
     f"""WITH {PART}, {SAMPLE}, {RECENT},
-      b AS (SELECT person_id, string_agg(bill_id, ',' ORDER BY bill_no) AS bills FROM sample GROUP BY person_id),
-      r AS (SELECT person_id, string_agg(stance, ',' ORDER BY recent_no) AS stances FROM recent GROUP BY person_id)
-    SELECT 'person-' || a.person_id AS slug, a.person_id, score AS index_value, coalesce("cast",0) + coalesce(absent,0) AS eligible,
-      bills, stances FROM actors a LEFT JOIN part2 USING (person_id) LEFT JOIN b USING (person_id) LEFT JOIN r USING (person_id)""",
+      b AS (SELECT person_id, string_agg(bill_id || ':' || name || ':' || is_lead_initiator, ',' ORDER BY bill_no) AS bills
+        FROM sample GROUP BY person_id),
+      r AS (SELECT person_id, string_agg(stance || ':' || coalesce(event_title, '') || ':' || source_url, ',' ORDER BY recent_no) AS recent
+        FROM recent GROUP BY person_id),
+      n AS (SELECT person_id, count(*) AS votes_count FROM votes GROUP BY person_id),
+      o AS (SELECT l_suppkey AS person_id, count(*) AS roles_count FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem) GROUP BY 1)
+    SELECT 'person-' || a.person_id AS slug, a.person_id, a.name AS full_name, party, score AS index_value,
+      CASE WHEN score IS NULL THEN '' ELSE 'participation=1.0' END AS weights_used,
+      coalesce(roles_count, 0) AS roles_count, coalesce(bills_sponsored, 0) AS bills_count, coalesce(votes_count, 0) AS votes_count,
+      'participation computed over ' || coalesce(votes_count, 0) || ' ingested votes' AS votes_note,
+      'participation=' || (coalesce("cast", 0) + coalesce(absent, 0) > 0) || ',legislative_activity=' || (coalesce(bills_sponsored, 0) > 0)
+        || ',integrity=false,promise_keeping=false,financial_conflict=false' AS dimensions,
+      'Index reflects ' || CASE WHEN score IS NULL THEN 0 ELSE 1 END || ' of 5 dimensions; the rest await Phase 2 data sources.' AS notes,
+      coalesce(bills, '') AS bills, coalesce(recent, '') AS recent_votes, 'votes' AS sources
+    FROM actors a LEFT JOIN part2 USING (person_id) LEFT JOIN leg USING (person_id) LEFT JOIN n USING (person_id)
+      LEFT JOIN o USING (person_id) LEFT JOIN b USING (person_id) LEFT JOIN r USING (person_id)""",
 )
 def person_profiles(v):
-    """Profile documents with counts, index, sample bills and recent votes."""
-    votes, sponsorships = v.votes(), v.sponsorships()
-    counts = scorecard.participation(votes).select("person_id", "eligible")
-    index = scorecard.composite_index(_dimensions(v)).select("person_id", "index_value")
-    docs = sinks.person_profiles(
-        v.actors(),
-        counts,
-        index,
-        listings.sample_bills(sponsorships, v.bills()),
-        listings.recent_votes(votes, v.vote_events()),
+    """Whole profile documents; their nested parts are written out as text to be compared."""
+    none = F.lit(None).cast("string")
+    people = v.actors().select(
+        "person_id",
+        F.col("person_id").alias("official_id"),
+        F.col("name").alias("full_name"),
+        none.alias("first_name"),
+        none.alias("last_name"),
+        F.lit(True).alias("is_current"),
+        "party",
+        none.alias("source_url"),
     )
-    # the nested arrays start with their rank, so they are in rank order
-    bill_ids = listings.sample_bills(sponsorships, v.bills()).groupBy("person_id").agg(
-        F.sort_array(F.collect_list(F.struct("bill_no", "bill_id"))).alias("b")
+    roles = v.table("lineitem").select(F.col("l_suppkey").alias("person_id"), "l_returnflag").distinct()
+    docs = sinks.person_profiles(
+        people,
+        roles,
+        v.votes(),
+        v.vote_events(),
+        v.sponsorships(),
+        v.bills(),
+        F.lit("2026-01-01T00:00:00Z"),
+        {"votes": "https://rollcall.example/"},
     )
-    out = docs.join(bill_ids, "person_id", "left")
-    return out.select(
+
+    def text(column, *parts):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[p(x) for p in parts])), ",")
+
+    return docs.select(
         "slug",
         "person_id",
-        "index_value",
-        F.coalesce("eligible", F.lit(0)).alias("eligible"),
-        F.array_join(F.transform("b", lambda b: b["bill_id"].cast("string")), ",").alias("bills"),
-        F.array_join(F.transform("recent_votes", lambda r: r["stance"]), ",").alias("stances"),
+        "politician.full_name",
+        "politician.party",
+        F.col("scorecard.index.value").alias("index_value"),
+        F.array_join(
+            F.transform(F.map_entries("scorecard.index.weights_used"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","
+        ).alias("weights_used"),
+        F.col("counts.roles").alias("roles_count"),
+        F.col("counts.bills").alias("bills_count"),
+        F.col("counts.votes").alias("votes_count"),
+        F.col("votes_ingested_note").alias("votes_note"),
+        F.array_join(
+            F.transform("scorecard.dimensions", lambda d: F.concat(d["key"], F.lit("="), d["available"].cast("string"))), ","
+        ).alias("dimensions"),
+        F.array_join("scorecard.notes", ",").alias("notes"),
+        text("sample_bills", lambda b: b["bill_id"], lambda b: b["name"], lambda b: b["is_lead_initiator"].cast("string")).alias("bills"),
+        text("recent_votes", lambda r: r["stance"], lambda r: F.coalesce(r["event_title"], F.lit("")), lambda r: r["source_url"]).alias(
+            "recent_votes"
+        ),
+        F.array_join(F.map_keys("sources"), ",").alias("sources"),
     )
 
 

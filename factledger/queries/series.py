@@ -33,8 +33,8 @@ def series_points(v):
     s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY pos) AS rn FROM s) WHERE rn <= 2),
     s3 AS (SELECT metric, string_agg(split_part(split_part(source_org, ' — ', 1), ' (', 1) || '|' || source_url, ';' ORDER BY pos) AS sources
       FROM s2 GROUP BY metric),
-    h AS (SELECT metric, arg_min(unit, pos) AS unit, left(arg_max(notes, pos), 240) AS note FROM data_points GROUP BY metric)
-    SELECT metric, points, CASE unit WHEN 'count' THEN 'מספר מוחלט לשנה' ELSE unit END AS unit, note, sources
+    h AS (SELECT metric, arg_min(unit, pos) AS unit, arg_max(notes, pos) AS note FROM data_points GROUP BY metric)
+    SELECT metric, points, CASE unit WHEN 'count' THEN 'מספר מוחלט לשנה' ELSE unit END AS unit, note, left(note, 240) AS note_display, sources
     FROM a JOIN h USING (metric) LEFT JOIN s3 USING (metric)""",
 )
 def catalog_series(v):
@@ -45,10 +45,32 @@ def catalog_series(v):
         F.array_join(F.transform("points", lambda p: F.concat(p["year"], F.lit("="), p["value"])), ";").alias("points"),
         "unit",
         "note",
+        "note_display",
         F.array_join(F.transform("sources", lambda s: F.concat(s["org"], F.lit("|"), s["url"])), ";").alias("sources"),
     )
 
 
+@register(
+    "series_export",
+    "data_points",
+    f"""WITH {DATED}, a AS (SELECT metric, string_agg(year || '=' || value, ';' ORDER BY year) AS points FROM points GROUP BY metric),
+      i AS (SELECT DISTINCT 'price_' || lower(p_brand) AS metric, p_brand AS label,
+        CASE WHEN p_brand LIKE '%1' OR p_brand LIKE '%2' THEN 'low' ELSE 'high' END AS category FROM part WHERE p_brand NOT LIKE '%5')
+    SELECT metric, label, category, points FROM a JOIN i USING (metric)""",
+)
+def series_export(v):
+    """Series of the chosen metrics with the caller's label and category."""
+    brand = F.col("p_brand")
+    include = v.table("part").filter(~brand.endswith("5")).select(
+        F.concat(F.lit("price_"), F.lower(brand)).alias("metric"),
+        brand.alias("label"),
+        F.when(brand.endswith("1") | brand.endswith("2"), "low").otherwise("high").alias("category"),
+    )
+    out = sr.build_series(cut_lineage(v.data_points()), include=include.distinct())
+    text = F.transform("points", lambda p: F.concat(p["year"], F.lit("="), p["value"]))
+    return out.select("metric", "label", "category", F.array_join(text, ";").alias("points"))
+
+
 MATCHED = "m AS (SELECT a.*, string_split(position, ' ')[-1] AS key FROM appointments a)"
 
 
