@@ -240,7 +240,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
-@register("op9_sharding")
+@register(
+    "op9_sharding",
+    r"""
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c
+        WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS tab
+    ), bytes AS (
+      SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b
+      FROM documents
+    ), sums AS (
+      SELECT doc_id, key, size::BIGINT AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]),
+        4294967295), 4294967295)::BIGINT AS text_crc32,
+        list_transform(range(17), lambda i: md5(key || '#' || i)[1:13]) AS draws
+      FROM bytes, crc
+    ), placed AS (
+      SELECT *, list_position(draws[1:16], list_max(draws[1:16])) - 1 AS shard, list_position(draws, list_max(draws)) - 1 AS grown
+      FROM sums
+    )
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+      row_number() OVER (PARTITION BY shard ORDER BY md5(key || '#' || text_crc32 || '#' || size)[1:3],
+        doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+      grown::INTEGER AS grown_shard
+    FROM placed
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
