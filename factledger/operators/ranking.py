@@ -69,6 +69,12 @@ def numbered(
     return placed.join(broadcast_if_small(offsets), same).withColumn(name, number).select(*df.columns, name)
 
 
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """An ordered listing with each row's place in it, from 1."""
+    placed = cut_lineage(df.withColumn("_listed", F.monotonically_increasing_id()))
+    return numbered(placed, ["_listed"], name=name).drop("_listed")
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` up to and including each row, per group; a large group is spread over many tasks.
 

@@ -281,21 +281,28 @@ def post_index(posts: DataFrame) -> DataFrame:
 def corpus_status(
     interviews: DataFrame, findings: DataFrame, activity: DataFrame, now: Column, within: int = ACTIVE_WITHIN_SECONDS
 ) -> DataFrame:
-    """One row: corpus size, finding counters, and whether the harvest is active.
+    """One row: corpus size, finding counters, and whether the harvest is active, in one aggregate over the three tables.
 
     ``activity`` has a timestamp column ``ts``; ``now`` is the reference time.
     """
-    from factledger.plans.review import finding_counts
-
-    last = activity.agg(F.max("ts")).scalar()
-    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last.cast("timestamp"))
-    counters = finding_counts(findings)
-    out = interviews.agg(
-        F.count("*").alias("transcripts"), F.countDistinct("person_id").alias("people_with_interviews")
+    rows = (
+        interviews.select(F.lit("interview").alias("kind"), "person_id")
+        .unionByName(findings.select(F.lit("finding").alias("kind"), "outcome", "status"), allowMissingColumns=True)
+        .unionByName(activity.select(F.lit("activity").alias("kind"), "ts"), allowMissingColumns=True)
+    )
+    out = rows.agg(
+        F.count_if(F.col("kind") == "interview").alias("transcripts"),
+        F.countDistinct("person_id").alias("people_with_interviews"),
+        F.count_if(F.col("kind") == "finding").alias("total"),
+        F.count_if(F.col("outcome") == "contradicted").alias("contradicted"),
+        F.count_if(F.col("outcome") == "consistent").alias("consistent"),
+        F.count_if(F.col("status") == "confirmed").alias("confirmed"),
+        F.max("ts").alias("_last"),
     )
-    return out.withColumns({c: counters.select(c).scalar() for c in counters.columns}).withColumns(
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("_last").cast("timestamp"))
+    return out.withColumns(
         {
             "last_activity_min": round_half_even(age / 60, 1),
             "active": F.coalesce(age < within, F.lit(False)),
         }
-    )
+    ).drop("_last")

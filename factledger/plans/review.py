@@ -25,15 +25,20 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     )
 
 
+def finding_digest() -> Column:
+    """A digest of person, video and quote, so that whole quotes are no shuffle keys; null differs from empty."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*FINDING_KEY)), 256))
+
+
 def merge_findings(stored: DataFrame, new: DataFrame, retracted: DataFrame) -> DataFrame:
     """Stored findings plus the confirmed new ones that are neither stored nor retracted.
 
     Keys compare null-safe; among new rows with one key the first (by ``pos``)
     is kept. Ids continue from the highest stored one.
     """
-    known = union_keys(stored.select(*FINDING_KEY), retracted.select(*FINDING_KEY))
-    fresh = top_rows(new.filter(F.col("status") == "confirmed"), FINDING_KEY, ["pos"])
-    fresh = not_in(fresh, known, FINDING_KEY).withColumns(
+    known = union_keys(*[f.select(finding_digest().alias("_key")) for f in (stored, retracted)])
+    confirmed = new.filter(F.col("status") == "confirmed").withColumn("_key", finding_digest())
+    fresh = not_in(top_rows(confirmed, ["_key"], ["pos"]), known, ["_key"]).withColumns(
         {
             "url": F.concat(F.lit(WATCH_URL), F.coalesce(F.col("video_id").cast("string"), F.lit("None"))),
             "id": F.lit(None).cast("string"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factledger.operators.ranking import with_position
 from factledger.plans import adjudication as adj
 from factledger.plans import evidence as ev
 from factledger.queries import register
@@ -206,13 +207,14 @@ def claim_verdicts(v):
 @register(
     "verdict_leaderboard",
     "statistics claims people",
-    f"""WITH {VERDICTS} SELECT 'person-' || p.person_id AS slug, p.person_id, full_name, party,
-      count(*) AS contradicted_count FROM gated g JOIN people p ON p.person_id = g.politician_id
-    WHERE published AND outcome = 'inconsistent' GROUP BY ALL""",
+    f"""WITH {VERDICTS}, board AS (SELECT 'person-' || p.person_id AS slug, p.person_id, full_name, party,
+        count(*) AS contradicted_count FROM gated g JOIN people p ON p.person_id = g.politician_id
+      WHERE published AND outcome = 'inconsistent' GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY contradicted_count DESC, person_id) AS position FROM board""",
 )
 def verdict_leaderboard(v):
     """People by published statements that contradict official data."""
-    return adj.verdict_leaderboard(_verdicts(v), v.people())
+    return with_position(adj.verdict_leaderboard(_verdicts(v), v.people()))
 
 
 # --- evidence -----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factledger.functions.text import transcript_parts
 from factledger.operators.merge import union_first
+from factledger.operators.ranking import with_position
 from factledger.plans import conflicts, corpus, listings
 from factledger.queries import register
 
@@ -58,14 +59,14 @@ def topic_edges(v):
       CASE WHEN key IS NULL THEN '' ELSE 'https://s.example/' || key END AS source_url, keyword,
       coalesce(people, 0) AS people,
       CAST(floor(coalesce(people, 0) / greatest(1, max(coalesce(people, 0)) OVER ()) * 100 + 0.5) AS INTEGER) AS bar,
-      CAST(topic_no AS INTEGER) AS topic_no
+      CAST(topic_no AS INTEGER) AS topic_no, row_number() OVER (ORDER BY coalesce(people, 0) DESC, topic_no) AS position
     FROM t LEFT JOIN n USING (topic) LEFT JOIN series ON key = topic""",
 )
 def topic_summary(v):
     """Topics with their official series and number of people, silent topics included."""
     from factledger.plans.series import latest_points
 
-    return corpus.topic_summary(_edges(v), latest_points(v.series()), TOPICS)
+    return with_position(corpus.topic_summary(_edges(v), latest_points(v.series()), TOPICS))
 
 
 @register(
@@ -91,9 +92,9 @@ def ranking_claims(v):
     return corpus.ranking_claims(v.segments(), v.posts(), RANK, TOPIC)
 
 
-@register("claims_by_source", "segments posts", f"WITH {RANKED} SELECT source, count(*) AS n FROM ranked GROUP BY 1")
+@register("claims_by_source", "segments posts", f"WITH {RANKED} SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS position FROM ranked GROUP BY 1")
 def claims_by_source(v):
-    return corpus.count_by(corpus.ranking_claims(v.segments(), v.posts(), RANK, TOPIC), "source")
+    return with_position(corpus.count_by(corpus.ranking_claims(v.segments(), v.posts(), RANK, TOPIC), "source"))
 
 
 # --- conflicting numbers ---------------------------------------------------------
@@ -117,12 +118,12 @@ def conflict_queue(v):
 @register(
     "conflict_totals",
     "number_claims",
-    f"""WITH {PAIRS} SELECT metric, CAST(count(*) / 2 AS BIGINT) AS pairs, count(DISTINCT person_id) AS people
-    FROM pairs GROUP BY metric""",
+    f"""WITH {PAIRS} SELECT metric, CAST(count(*) / 2 AS BIGINT) AS pairs, count(DISTINCT person_id) AS people,
+      row_number() OVER (ORDER BY count(*) DESC, metric) AS position FROM pairs GROUP BY metric""",
 )
 def conflict_totals(v):
     """Candidate pairs and people per metric."""
-    return conflicts.conflict_totals(v.number_claims())
+    return with_position(conflicts.conflict_totals(v.number_claims()))
 
 
 @register(
@@ -241,13 +242,14 @@ def person_hits(v):
 @register(
     "person_index",
     "actors interviews",
-    """SELECT a.person_id, a.name, a.party, count(video_id) AS interview_count,
-      CAST(coalesce(sum(n_segments), 0) AS BIGINT) AS segment_count FROM actors a LEFT JOIN interviews USING (person_id)
-    GROUP BY a.person_id, a.name, a.party""",
+    """SELECT *, row_number() OVER (ORDER BY interview_count DESC, name, person_id) AS position FROM (
+      SELECT a.person_id, a.name, a.party, count(video_id) AS interview_count,
+        CAST(coalesce(sum(n_segments), 0) AS BIGINT) AS segment_count FROM actors a LEFT JOIN interviews USING (person_id)
+      GROUP BY a.person_id, a.name, a.party)""",
 )
 def person_index(v):
     """Every roster person with interview and segment counts."""
-    return corpus.person_index(v.actors(), v.interviews())
+    return with_position(corpus.person_index(v.actors(), v.interviews()))
 
 
 @register(
@@ -267,10 +269,11 @@ def index_totals(v):
     "interview_cards",
     "interviews",
     """SELECT person_id, video_id, title, published_at, CAST(floor(duration_sec / 60 + 0.5) AS INTEGER) AS minutes,
-      CAST(n_segments AS INTEGER) AS segment_count FROM interviews""",
+      CAST(n_segments AS INTEGER) AS segment_count,
+      row_number() OVER (ORDER BY person_id, coalesce(published_at, '') DESC, video_id) AS position FROM interviews""",
 )
 def interview_cards(v):
-    return corpus.interview_cards(v.interviews())
+    return with_position(corpus.interview_cards(v.interviews()))
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factledger.operators.merge import union_keys
+from factledger.operators.ranking import with_position
 from factledger.plans import factcheck, listings, review
 from factledger.queries import register
 
@@ -137,10 +138,11 @@ def _board(v):
     return review.findings_leaderboard(v.findings(), v.actors().withColumn("pos", F.col("person_id")))
 
 
-@register("findings_leaderboard", "findings actors", f"WITH {BOARD} SELECT * FROM board")
+@register("findings_leaderboard", "findings actors", f"""WITH {BOARD}
+    SELECT *, row_number() OVER (ORDER BY contradicted_count DESC, slug) AS position FROM board""")
 def findings_leaderboard(v):
     """People by human-published contradicted findings."""
-    return _board(v)
+    return with_position(_board(v))
 
 
 @register(
@@ -185,11 +187,13 @@ def profile_findings(v):
 @register(
     "public_findings",
     "findings",
-    "SELECT id, pos, outcome FROM findings WHERE status = 'confirmed'",
+    """SELECT id, pos, outcome, row_number() OVER (ORDER BY CASE outcome WHEN 'contradicted' THEN 0 ELSE 1 END, pos) AS position
+    FROM findings WHERE status = 'confirmed'""",
 )
 def public_findings(v):
     """The public subset, contradictions first."""
-    return review.contradictions_first(review.public_findings(v.findings())).select("id", "pos", "outcome")
+    listed = review.contradictions_first(review.public_findings(v.findings())).select("id", "pos", "outcome")
+    return with_position(listed)
 
 
 @register(
@@ -345,11 +349,12 @@ def processed_union(v):
     "role_cards",
     "appointments",
     """SELECT person_id, pos, position, count(*) OVER c AS role_count, min(pos) OVER c AS card_pos,
-      bool_or(contains(position, 'gear')) OVER c AS charted FROM appointments WINDOW c AS (PARTITION BY person_id)""",
+      bool_or(contains(position, 'gear')) OVER c AS charted FROM appointments WINDOW c AS (PARTITION BY person_id)
+    """.join(["SELECT *, row_number() OVER (ORDER BY charted DESC, card_pos, person_id, pos) AS place FROM (", ")"]),
 )
 def role_cards(v):
     """The roles of every person, grouped into cards."""
     a = v.appointments()
     charted = a.filter(F.col("position").contains("gear"))
     out = listings.role_cards(a, charted)
-    return out.select("person_id", "pos", "position", "role_count", "card_pos", "charted")
+    return with_position(out.select("person_id", "pos", "position", "role_count", "card_pos", "charted"), "place")

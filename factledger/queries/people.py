@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factledger import schemas
 from factledger.operators.merge import append_unnamed
+from factledger.operators.ranking import with_position
 from factledger.plans import listings, people, scorecard
 from factledger.queries import register
 from factledger.sources import sinks
@@ -226,10 +227,10 @@ def recent_votes(v):
 @register(
     "party_sizes",
     "people",
-    """SELECT party, count(*) AS members FROM people GROUP BY party""",
+    """SELECT party, count(*) AS members, row_number() OVER (ORDER BY count(*) DESC, party) AS position FROM people GROUP BY party""",
 )
 def party_sizes(v):
-    return listings.party_sizes(v.people())
+    return with_position(listings.party_sizes(v.people()))
 
 
 @register(

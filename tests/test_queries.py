@@ -53,7 +53,7 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["slug", "person_id", "full_name", "party", "contradicted_count"]
+    assert df.columns == ["slug", "person_id", "full_name", "party", "contradicted_count", "position"]
     assert df.count() > 0
 
 
