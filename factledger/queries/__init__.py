@@ -29,4 +29,4 @@ def register(name: str, needs: str = "", sql: str | None = None):
 
 
 def load_all() -> None:
-    from factledger.queries import claims, corpus, findings, graphs, incremental, ingest, people, series  # noqa: F401
+    from factledger.queries import claims, corpus, files, findings, graphs, incremental, ingest, people, series  # noqa: F401
