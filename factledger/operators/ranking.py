@@ -70,9 +70,20 @@ def numbered(
 
 
 def with_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """An ordered listing with each row's place in it, from 1."""
+    """An ordered listing with each row's place in it, from 1.
+
+    A sort leaves its partitions in order, so a row's place is its place in the
+    partition plus the rows of the partitions before; there is one such start per
+    partition.
+    """
     placed = cut_lineage(df.withColumn("_listed", F.monotonically_increasing_id()))
-    return numbered(placed, ["_listed"], name=name).drop("_listed")
+    placed = placed.withColumn("_part", F.shiftright("_listed", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy("_part").agg(F.count("*").alias("_held"))
+    starts = held.select("_part", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.col("_listed").bitwiseAND((1 << 33) - 1)
+    joined = placed.join(F.broadcast(starts), "_part")
+    return joined.withColumn(name, (inside + F.col("_start") + 1).cast("bigint")).select(*df.columns, name)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, name: str) -> DataFrame:
