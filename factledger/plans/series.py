@@ -85,10 +85,16 @@ def series_from_map(table: DataFrame) -> DataFrame:
     return pairs.select("pos", F.col("entry.key").alias("key"), "entry.value.*")
 
 
-def portfolio_points(series: DataFrame, metrics: Mapping[str, str] = PORTFOLIO_METRICS) -> DataFrame:
-    """Catalog points of the portfolio series that belong to a checked topic, tagged ``from_portfolio``."""
-    names = F.create_map(*[F.lit(x) for pair in metrics.items() for x in pair])
-    rows = series.withColumn("metric", names[F.col("key")]).filter(F.col("metric").isNotNull())
+def portfolio_points(series: DataFrame, metrics: Mapping[str, str] | Column = PORTFOLIO_METRICS) -> DataFrame:
+    """Catalog points of the portfolio series that belong to a checked topic, tagged ``from_portfolio``.
+
+    ``metrics`` names the metric of each series: a map from its key, or a column that is null for other series.
+    """
+    if isinstance(metrics, Column):
+        named = metrics
+    else:
+        named = F.create_map(*[F.lit(x) for pair in metrics.items() for x in pair])[F.col("key")]
+    rows = series.withColumn("metric", named).filter(F.col("metric").isNotNull())
     source = F.get(F.col("sources"), 0)
     blank = F.lit("")
     rows = rows.select(

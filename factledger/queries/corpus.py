@@ -298,11 +298,11 @@ def post_index(v):
     "latest_posts",
     "posts",
     """SELECT person_id, pos, url, CAST(rn AS INTEGER) AS post_no FROM (SELECT *, row_number() OVER (PARTITION BY person_id
-      ORDER BY pos) AS rn FROM posts) WHERE rn <= 3""",
+      ORDER BY pos) AS rn FROM posts) WHERE rn <= 15""",
 )
 def latest_posts(v):
-    """The first posts of every profile (three here)."""
-    return listings.latest_posts(v.posts(), 3).select("person_id", "pos", "url", "post_no")
+    """The first fifteen posts of every profile."""
+    return listings.latest_posts(v.posts(), 15).select("person_id", "pos", "url", "post_no")
 
 
 @register(

@@ -50,13 +50,16 @@ RELATED = """related AS (SELECT DISTINCT o_custkey AS person_key, s_name AS rela
 @register(
     "graph_related",
     "",
-    """SELECT o_custkey AS person_key, s_name AS name, o_orderpriority AS relation, max(o_orderkey) AS at FROM lineitem
+    """SELECT o_custkey AS person_key, s_name AS name, o_orderpriority AS relation,
+      coalesce(max(o_orderkey) FILTER (o_orderkey % 2 = 1), max(o_orderkey)) AS at FROM lineitem
     JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""",
 )
 def graph_related(v):
     """RELATED_TO edges merged by (person, name, relation), latest provenance kept."""
     new = _related(v)
-    return graph.upsert_edges(new.limit(0), new, ["person_key", "name", "relation"], ["at"])
+    keys, odd = ["person_key", "name", "relation"], F.col("at") % 2 == 1
+    stored = graph.upsert_edges(new.limit(0), new.filter(~odd), keys, ["at"])
+    return graph.upsert_edges(stored, new.filter(odd), keys, ["at"])
 
 
 @register("graph_owned", "", f"WITH {RELATED} SELECT relative AS name, rel_type, registration_id FROM owned")
@@ -124,7 +127,8 @@ def graph_duplicate_keys(v):
 @register(
     "graph_award_edges",
     "",
-    "SELECT CAST(c_nationkey AS VARCHAR) AS registration_id, c_mktsegment AS tender_id, max(c_custkey) AS at FROM customer GROUP BY ALL",
+    "SELECT CAST(c_nationkey AS VARCHAR) AS registration_id, c_mktsegment AS tender_id, "
+    "coalesce(max(c_custkey) FILTER (c_custkey % 2 = 1), max(c_custkey)) AS at FROM customer GROUP BY ALL",
 )
 def graph_award_edges(v):
     """AWARDED edges merged by (company, tender)."""
@@ -133,7 +137,9 @@ def graph_award_edges(v):
         F.col("c_mktsegment").alias("tender_id"),
         F.col("c_custkey").alias("at"),
     )
-    return graph.upsert_edges(new.limit(0), new, ["registration_id", "tender_id"], ["at"])
+    keys, odd = ["registration_id", "tender_id"], F.col("at") % 2 == 1
+    stored = graph.upsert_edges(new.limit(0), new.filter(~odd), keys, ["at"])
+    return graph.upsert_edges(stored, new.filter(odd), keys, ["at"])
 
 
 @register(

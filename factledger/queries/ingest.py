@@ -96,14 +96,14 @@ def upsert_people(v):
     )
 
 
-def _roles(v, flag: str):
-    rows = v.table("lineitem").filter(F.col("l_returnflag") == flag)
-    return rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("d")).select(
+def _roles(v, *flags: str):
+    rows = v.table("lineitem").filter(F.col("l_returnflag").isin(*flags))
+    return rows.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.min("l_shipdate").alias("d")).select(
         F.to_json(
             F.struct(
                 F.col("l_suppkey").alias("PersonID"),
                 F.concat(F.col("l_partkey").cast("string"), F.lit(".0")).alias("PositionID"),
-                F.concat(F.lit("role "), F.lit(flag)).alias("DutyDesc"),
+                F.concat(F.lit("role "), "l_returnflag").alias("DutyDesc"),
                 F.concat(F.to_date("d").cast("string"), F.lit("T00:30:00+02:00")).alias("StartDate"),
                 F.concat(F.lit("/Date("), F.unix_date(F.to_date("d")).cast("bigint") * 86400000, F.lit("+0200)/")).alias(
                     "FinishDate"
@@ -120,11 +120,11 @@ def _roles(v, flag: str):
     """WITH a AS (SELECT l_suppkey AS person_id, l_partkey AS position_id, 'role ' || l_returnflag AS position_desc,
         strftime(min(l_shipdate), '%Y-%m-%d') AS start_date, l_returnflag AS f FROM lineitem GROUP BY ALL)
     SELECT person_id, position_id, position_desc, start_date, start_date AS finish_date, true AS is_current FROM a
-    JOIN supplier ON s_suppkey = person_id WHERE f = CASE WHEN s_acctbal >= 5000 THEN 'R' ELSE 'A' END""",
+    JOIN supplier ON s_suppkey = person_id WHERE (s_acctbal >= 5000) = (f = 'R')""",
 )
 def roles_snapshot(v):
     """Roles replaced for everyone whose positions were fetched; the others keep theirs."""
-    stored = mappers.map_roles(_stamped(_roles(v, "A"), T0, "Role"))
+    stored = mappers.map_roles(_stamped(_roles(v, "A", "N"), T0, "Role"))
     new = mappers.map_roles(_stamped(_roles(v, "R"), T1, "Role"))
     s = v.table("supplier")
     fetched = s.filter(F.col("s_acctbal") >= 5000).select(F.col("s_suppkey").alias("person_id"))
@@ -198,7 +198,9 @@ def upsert_sponsorships(v):
     """Latest sponsorship per (person, bill) of known bills."""
     new = _initiations(v)
     bills = v.table("part").filter(F.col("p_type") != "PROMO").select(F.col("p_partkey").alias("bill_id"))
-    out, _ = ingest.ingest_sponsorships(new.limit(0), new, bills)
+    lead = F.coalesce("is_initiator", F.lit(False))
+    stored, _ = ingest.ingest_sponsorships(new.limit(0), new.filter(~lead), bills)
+    out, _ = ingest.ingest_sponsorships(stored, new.filter(lead), bills)
     return out.select("person_id", "bill_id", "is_initiator", "ordinal")
 
 
@@ -270,7 +272,9 @@ def upsert_votes(v):
     )
     stamped = _stamped(landed.roll_call(ids, rows), T0, "Rollcall").withColumn("fetched_at", F.col("at"))
     new = mappers.map_votes(stamped)
-    return ingest.ingest_votes(new.limit(0), new).select("person_id", "event_id", "stance")
+    early = F.col("fetched_at") <= F.timestamp_seconds(F.lit(3))
+    stored = ingest.ingest_votes(new.limit(0), new.filter(early))
+    return ingest.ingest_votes(stored, new.filter(~early)).select("person_id", "event_id", "stance")
 
 
 @register(

@@ -168,8 +168,7 @@ PORTFOLIO_METRICS = {"ring": "price_brand#1", "bolt": "units_bolt", "gear": "uni
 )
 def portfolio_points(v):
     """Series points as catalog rows."""
-    keys = ("plate", "rod", "ring", "bolt", "gear", "gizmo", "anvil", "widget")
-    out = sr.portfolio_points(v.series(), {k: f"units_{k}" for k in keys})
+    out = sr.portfolio_points(v.series(), F.concat(F.lit("units_"), "key"))
     return out.select("metric", "dimension_type", "dimension_value", "value", "source_org", "confirm_quote")
 
 
