@@ -23,7 +23,7 @@ ordinary text. Only the id and the text column are read.
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -37,18 +37,22 @@ CLASSES = 64
 SPLIT_BELOW = 8
 WORKERS = 256
 END = 0
-CACHED = 400_000
+CACHED = 1_000_000
+MARKS = ".,;:!?#*$%&|"
 SLICE_CHARS = 1 << 20
 TYPE = "array<struct<start: long, ids: binary, doc_tokens: long>>"
-_UNSAFE = re.compile(r" (?:\s|\Z)")  # a space not directly before a word: the parts are then not independent
+#: A space before another white space: the parts around it are not independent.
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_UNSAFE = [" " + blank for blank in _BLANKS]
 
 
 class WordTokens:
-    """Token ids of texts as little-endian 32-bit bytes, with the ids of frequent words kept.
+    """Token ids of texts as little-endian 32-bit bytes, with the ids of words seen before kept.
 
-    The tokenizer splits text before each space that precedes a word and never
-    merges across such a split, so the parts are encoded apart and looked up when
-    seen again. Other texts are encoded whole.
+    The tokenizer splits text before each space that precedes a word, and between
+    letters and a run of punctuation, and never merges across such a split. So a text
+    is looked up word by word, and a new word of letters goes to the tokenizer's
+    merges at once. Whatever else there is goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -57,33 +61,58 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(others)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word of letters, with the space before it if any."""
+        seen = word.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.merge(seen)]).tobytes()
+
+    def fresh(self, new: set[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        for part in new:
+            core = part.rstrip(MARKS)
+            if core.removeprefix(" ").isalpha():
+                mark = part[len(core) :]
+                if mark not in self.marks:
+                    if len(self.marks) >= CACHED:
+                        self.marks.clear()
+                    self.marks[mark] = self.encode([mark])[0]
+                out[part] = (self.known.get(core) or self.word(core)) + self.marks[mark]
+            else:
+                rest.append(part)
+        for i in range(0, len(rest), 1024):
+            out.update(zip(rest[i : i + 1024], self.encode(rest[i : i + 1024]), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
+        new: set[str] = set()
+        known = self.known
         for text in texts:
-            if _UNSAFE.search(text):
+            if text.endswith(" ") or "\0" in text or any(pair in text for pair in _UNSAFE):
                 parts.append(None)
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + w for w in rest]])
-        new = list({w for p in parts if p is not None for w in p if w not in self.known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 1024):
-            fresh.update(zip(new[i : i + 1024], self.encode(new[i : i + 1024]), strict=True))
-        whole = self.encode([t for t, p in zip(texts, parts, strict=True) if p is None])
-        if len(self.known) < CACHED:
-            self.known.update(fresh)
-            get = self.known.__getitem__
+                continue
+            parts.append(text.replace(" ", "\0 ").split("\0"))
+            new.update(set(parts[-1]).difference(known))
+        fresh = self.fresh(new)
+        if len(known) < CACHED:
+            known.update(fresh)
+            get = known.__getitem__
         else:
-            known = self.known
             get = lambda w: known[w] if w in known else fresh[w]
-        others = iter(whole)
-        return [next(others) if p is None else b"".join(map(get, p)) for p in parts]
+        whole = iter(self.encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
 
 
 _tokenizers: dict[str, WordTokens] = {}
