@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm.common import SPACE, row_bytes, small_batches, stored
+from factledger.operators.joins import broadcast_if_small
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -256,8 +257,8 @@ class LineIndex:
 
     def drops(self, refs: DataFrame) -> DataFrame:
         """Per document of ``refs`` the keys it loses."""
-        decided = self.shared.join(self.passing(refs), "key", "left_semi").select("key", "keeper")
-        lost = refs.join(decided, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        decided = stored(self.shared.join(self.passing(refs), "key", "left_semi").select("key", "keeper"), "decided-lines")
+        lost = refs.join(broadcast_if_small(decided), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
     def clean(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
