@@ -221,7 +221,8 @@ class LineIndex:
     def _changed(self, change: DataFrame) -> LineIndex:
         """Append reference counts; only keys whose counts changed are counted again."""
         refs = self.refs.unionByName(change)
-        touched = change.select("key").distinct()
+        # written, so that a join with the counts meets two plain shuffles, of which Spark splits a hot key's side
+        touched = stored(change.select("key").distinct(), "touched-lines")
         now = shared_keys(refs.join(touched, "key", "left_semi"), self.min_docs)
         before = self.shared.join(touched, "key", "left_semi")
         shared = stored(self.shared.join(touched, "key", "left_anti").unionByName(now), "shared-lines")
