@@ -10,11 +10,21 @@ stays. A state's distribution discounts its counts and hands the rest to its par
 so every state sums to one. A token is scored at the state of the longest suffix of
 the words before it.
 
-Counting is distributed: words, then per depth (state, next token) pairs, combined
-in the workers before they are shuffled. Thresholds are shares of all tokens, so
-that at most ``1 / share`` words, contexts and successors can reach them: this bounds
-what the driver gathers and sends to the workers, at any corpus size. All other
-words, however many, meet their counts in a join.
+Floors are counts, the same at any corpus size: a context needs ``MIN_CONTEXT``, a
+successor ``MIN_ENTRY`` occurrences. All words, contexts and successors are Spark
+tables under 64-bit digests: a text is stored as the digests of its words, the
+digest of several words is the exclusive or of theirs, turned by their age. Per
+depth, (context, next word) pairs are counted and met with their context's total
+and with the probability one level up by joins.
+
+Scoring is a sum of looked-up figures: a word adds its logarithm at the root, a
+state that stays adds the logarithm of what it leaves to its parent, and a successor
+that the state has counted adds the difference to its true probability. The most
+frequent ``CACHED`` keys are sent to the workers, all others meet their figures in
+a join; a bitmap of fixed size spares keys that have none the way there. Both only
+save work: no bound of theirs changes a result.
+
+``learn`` gives the same model in memory, for small corpora.
 
 Defined results: a null or empty text is one end token; unseen tokens have count 0;
 repeated rows count, and are scored, as often as they occur; without training rows
@@ -24,10 +34,12 @@ text column are read.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -39,17 +51,21 @@ from factledger.llm.common import fold, row_bytes, small_batches, stored
 
 END = ""
 ADD = 0.1
-WORD_SHARE = 1e-6
-CONTEXT_SHARE = 2e-5
+WORD_SHARE = 1e-8
 MIN_CONTEXT = 16
-ENTRY_SHARE = 1e-6
 MIN_ENTRY = 2
 DEPTH = 3
 DISCOUNT = 0.75
 PENALTY = 2.0
 FLUSH = 1 << 22
 ENCODED = "struct<codes: binary, rare: array<string>, n_tokens: long>"
-PARTS = "struct<base: double, score: double>"
+CACHED = 500_000
+COMMON = 20_000  # keys that a join sends to all tasks
+BITS = 26
+CHUNK = 18
+DIGESTS = 500_000
+TURN = 11
+SUMS = "struct<known: bigint, base: double, score: double, others: array<bigint>>"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -226,7 +242,6 @@ def _grow(tree: SuffixTree, level: Level, encoded: DataFrame, context_min: float
     sent = spark.sparkContext.broadcast(tree)
     pairs = encoded.select("codes").mapInPandas(_pairs(sent), "key bigint, n bigint")
     counted = stored(pairs.groupBy("key").agg(F.sum("n").alias("n")), "successors")
-    # at most 1 / share of either can reach its bound
     totals = counted.groupBy(F.floor(F.col("key") / size).alias("s")).agg(F.sum("n").alias("n")).toPandas()
     kept = counted.filter((F.col("n") >= entry_min) & (F.col("key") % size < size - 1)).toPandas().sort_values("key")
     level.totals = np.ones(len(level.keys))
@@ -250,13 +265,12 @@ def learn(
     n: np.ndarray,
     totals: tuple[int, int],
     depth: int = DEPTH,
-    context_share: float = CONTEXT_SHARE,
-    entry_share: float = ENTRY_SHARE,
+    context_min: int = MIN_CONTEXT,
+    entry_min: int = MIN_ENTRY,
     penalty: float = PENALTY,
 ) -> SuffixTree:
-    """Grow the tree from the encoded training texts."""
+    """Grow the tree in memory from the encoded training texts."""
     tree = SuffixTree(words, n, *totals)
-    context_min, entry_min = max(MIN_CONTEXT, context_share * totals[0]), max(MIN_ENTRY, entry_share * totals[0])
     first = np.asarray([i for i, w in enumerate(words) if n[i] >= context_min and w != END], np.int64)
     level = Level(first.astype(np.uint64), first[:, None])
     while len(level.keys) and len(tree.levels) < depth:
@@ -265,74 +279,279 @@ def learn(
     return tree
 
 
-def _scorer(tree: Broadcast):
-    def score(rows: pd.Series) -> pd.DataFrame:
-        """Base and model log10 probability; of words that are not frequent, only what the states above the root add."""
-        model = tree.value
-        codes, place, starts = _joined(rows)
-        p = base = model.root()[codes]
-        for level, state in zip(model.levels, model.walk(codes, place), strict=True):
-            p = model.deeper(level, state, codes, p)
-        logs = np.log10(np.stack([base, p])) if len(codes) else np.zeros((2, 0))
-        sums = np.add.reduceat(logs, starts, axis=1) if len(codes) else np.zeros((2, len(rows)))
-        return pd.DataFrame({"base": sums[0], "score": sums[1]})
+class _Digests(dict):
+    """64-bit digests of words, kept between the batches of a worker."""
 
-    return F.pandas_udf(score, PARTS)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= DIGESTS:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return out
+
+
+_digests = _Digests()
+
+
+def digests(text: str | None) -> np.ndarray:
+    """Digests of a text's tokens."""
+    found = [*row_bytes(text).lower().split(), END.encode()]
+    return np.fromiter(map(_digests.__getitem__, found), np.int64, len(found))
+
+
+def _digested(texts: pd.Series) -> pd.Series:
+    return pd.Series([digests(t).tobytes() for t in texts])
+
+
+def _append(contexts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """Digests of contexts with one more word."""
+    old = contexts.view(np.uint64)
+    return ((old << np.uint64(TURN)) | (old >> np.uint64(64 - TURN))).view(np.int64) ^ nexts
+
+
+def _appended(context: str, following: str) -> Column:
+    turned = F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN))
+    return turned.bitwiseXOR(F.col(following))
+
+
+def _texts(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of several texts after another, each token's place in its text, and the texts' starts."""
+    lengths = rows.str.len().to_numpy(np.int64) // 8
+    starts = np.cumsum(lengths) - lengths
+    codes = np.frombuffer(b"".join(rows), np.int64)
+    return codes, np.arange(len(codes)) - np.repeat(starts, lengths), starts
+
+
+def _last(codes: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Digests of the last one, two, up to ``length`` tokens at every token; a text's first tokens have fewer."""
+    keys = codes
+    for k in range(length):
+        if k:
+            keys = np.concatenate([codes[:1], _append(keys[:-1], codes[1:])])
+        yield keys
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit per slot that a ``key`` falls on."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << CHUNK, bool)
+        bits[rows["slot"].to_numpy(np.int64) & ((1 << CHUNK) - 1)] = True
+        chunk = rows["slot"].iloc[0] >> CHUNK
+        return pd.DataFrame({"chunk": [chunk], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slots = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot")).distinct()
+    parts = slots.groupBy(F.shiftright("slot", CHUNK)).applyInPandas(build, "chunk bigint, bits binary")
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    size = 1 << (CHUNK - 3)
+    for row in parts.toLocalIterator():
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
-def _base(n: Column, whole: float) -> Column:
-    return F.log10((F.coalesce(n, F.lit(0)) + F.lit(ADD)) / F.lit(whole))
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slots = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, word_share: float = WORD_SHARE, **settings) -> DataFrame:
+def _free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of what is stored: it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _counter(depth: int, candidates: Broadcast | None):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of (context of ``depth`` words, next token), combined over what a task reads."""
+        held: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            key, context, suffix = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            out = pd.DataFrame({"key": key, "context": context[at], "suffix": suffix[at], "n": n})
+            return out.sort_values("context") if depth else out
+
+        for batch in batches:
+            codes, place, _ = _texts(batch["codes"])
+            if depth:
+                *_, keys = _last(codes, depth)
+                here = np.flatnonzero(place >= depth)
+                here = here[_marked(candidates.value, keys[here - 1])]
+                held.append((_append(keys[here - 1], codes[here]), keys[here - 1], keys[here]))
+            else:
+                held.append((codes, codes, codes))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    return count
+
+
+def _counted(encoded: DataFrame, depth: int, candidates: Broadcast | None = None) -> DataFrame:
+    """Counts of ``depth`` + 1 tokens in a row: key, context (without the newest), suffix (without the oldest), n."""
+    pairs = encoded.select("codes").mapInPandas(_counter(depth, candidates), "key bigint, context bigint, suffix bigint, n bigint")
+    n = F.sum("n").alias("n")
+    if depth == 0:
+        return pairs.groupBy("key").agg(n)
+    if depth == 1:  # the suffix is the next word, so the key need not travel
+        return pairs.groupBy("context", "suffix").agg(n).select(_appended("context", "suffix").alias("key"), "context", "suffix", "n")
+    return pairs.groupBy("key", "context", "suffix").agg(n)
+
+
+def _floor(table: DataFrame, most: int) -> int:
+    """A count that at most ``most`` rows reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    seen, out = 0, None
+    for row in table.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        seen += row["rows"]
+        if seen > most:
+            break
+        out = row["least"]
+    return (1 << 62) if out is None else out
+
+
+def _meet(rows: DataFrame, table: DataFrame, on: str, least: float) -> DataFrame:
+    """Join with a table of one row per ``on``; its common keys (``_n`` from ``least`` on) are sent to the rows."""
+    columns = rows.columns
+    sent = F.broadcast(table.filter(F.col("_n") >= least))
+    tried = rows.join(sent, on, "left")
+    others = tried.filter("_n IS NULL").select(*columns).join(table.filter(F.col("_n") < least), on)
+    return tried.filter("_n IS NOT NULL").unionByName(others).drop("_n")
+
+
+def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, share: float, context_min: int, entry_min: int, penalty: float) -> DataFrame:
+    """The learned model: rows of key, n, base and score (a key may have several), to be added up over the last 1, 2, ... tokens at every token."""
+    sc = encoded.sparkSession.sparkContext
+    root = (F.col("n") + ADD) / F.lit(whole)
+    known = F.log10(root) - F.lit(float(np.log10(ADD / whole)))
+    figures = [words.select("key", "n", known.alias("base"), known.alias("score"))]
+    shorter = words.select("key", "n", root.alias("p"))  # probabilities one level up
+    contexts = words.select("key", "n", F.lit(None).cast("bigint").alias("suffix")).filter(F.col("n") >= context_min)
+    found = []
+    for level in range(1, depth + 1):
+        if contexts.isEmpty():
+            break
+        sent = sc.broadcast(_bitmap(contexts))
+        pairs = stored(_counted(encoded, level, sent).filter(F.col("n") >= entry_min), "pairs", compression="zstd")
+        above = shorter.select(F.col("key").alias("suffix"), F.col("n").alias("_n"), "p")
+        met = _meet(pairs, above, "suffix", max(share, _floor(shorter, COMMON)))
+        n = F.col("n").cast("double")
+        sums = met.groupBy(F.col("context").alias("key")).agg(
+            F.sum(n - DISCOUNT).alias("own"),
+            F.sum("n").alias("followed"),
+            F.count("*").alias("successors"),
+            F.sum(n * (F.log(n) - F.log("p"))).alias("gain"),
+        )
+        gain = F.col("gain") - F.col("followed") * F.log(F.col("n")) - penalty * F.col("successors")
+        states = contexts.join(sums, "key").select("key", "n", "suffix", (1 - F.col("own") / F.col("n")).alias("rest"), (gain > 0).alias("passed"))
+        states = stored(states, "states", compression="zstd")
+        above = states.select(F.col("key").alias("context"), F.col("n").alias("_n"), F.col("n").alias("total"), "rest")
+        p = (n - DISCOUNT) / F.col("total") + F.col("rest") * F.col("p")
+        more = F.log10(p / F.col("p")) - F.log10("rest")
+        entries = _meet(met, above, "context", max(share, _floor(states, COMMON)))
+        entries = stored(entries.select("key", "context", "n", p.alias("p"), more.alias("more")), "successors", compression="zstd")
+        found.append((states, entries))
+        _free(encoded.sparkSession)
+        shorter = entries.select("key", "n", "p")
+        contexts = pairs.select("key", "n", "suffix").filter(F.col("n") >= context_min)
+    longer = None
+    for states, entries in reversed(found):
+        stays = states.filter("passed").select("key")
+        if longer is not None:
+            stays = stays.unionByName(longer).distinct()
+        staying = stored(states.join(stays, "key", "left_semi"), "staying", compression="zstd")
+        longer = staying.select(F.col("suffix").alias("key"))
+        none = F.lit(0.0).alias("base")
+        figures.append(staying.select("key", "n", none, F.log10("rest").alias("score")))
+        above = staying.select(F.col("key").alias("context"), F.col("n").alias("_n"))
+        kept = _meet(entries, above, "context", max(share, _floor(staying, COMMON)))
+        kept = stored(kept.select("key", "n", F.col("more").alias("score")), "staying-successors", compression="zstd")
+        figures.append(kept.select("key", "n", none, "score"))
+    out = figures[0]
+    for more in figures[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _adder(cached: Broadcast, marks: Broadcast, depth: int):
+    def add(rows: pd.Series) -> pd.DataFrame:
+        """Sums of the cached figures per text, and the keys that may have others."""
+        keys, base, score = cached.value
+        codes, place, starts = _texts(rows)
+        sums = np.zeros((3, len(codes)))
+        others, owners = [], []
+        text = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(codes))))
+        for k, wanted in enumerate(_last(codes, depth + 1)):
+            here = np.flatnonzero(place >= k)
+            here = here[_marked(marks.value, wanted[here])]
+            at = _find(keys, wanted[here])
+            hit = here[at >= 0]
+            at, miss = at[at >= 0], here[at < 0]
+            sums[0, hit] += base[at] > 0
+            sums[1, hit] += base[at]
+            sums[2, hit] += score[at]
+            others.append(wanted[miss])
+            owners.append(text[miss])
+        sums = np.add.reduceat(sums, starts, axis=1) if len(codes) else np.zeros((3, len(rows)))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(1, len(rows)))
+        split = np.split(np.concatenate(others)[order], cuts) if len(rows) else []
+        return pd.DataFrame({"known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2], "others": list(split)})
+
+    return F.pandas_udf(add, SUMS)
+
+
+def score_documents(
+    docs: DataFrame,
+    folds: int = 10,
+    depth: int = DEPTH,
+    word_share: float = WORD_SHARE,
+    context_min: int = MIN_CONTEXT,
+    entry_min: int = MIN_ENTRY,
+    penalty: float = PENALTY,
+) -> DataFrame:
     """Learn from all rows but the held-out fold, and score all rows.
 
+    Keys are sent to the workers from ``word_share`` of the training tokens on, at most ``CACHED``.
     Gives doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
-    counts = stored(word_counts(rows.filter("NOT held_out")), "word-counts")
-    distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.pandas_udf(_digested, "binary")("text").alias("codes"))
+    encoded = stored(rows.withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
+    training = encoded.filter("NOT held_out")
+    words = stored(_counted(training, 0), "word-counts", compression="zstd")
+    distinct, total = words.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
-    frequent = F.col("n") >= word_share * total
-    top = counts.filter(frequent).orderBy(F.desc("n"), "word").toPandas()  # at most 1 / word_share
-    words, n = top["word"].tolist(), top["n"].to_numpy(float)
-
-    sent = spark.sparkContext.broadcast(words)
-    encoded = rows.withColumn("e", _encoder(sent)("text")).select("doc_id", "held_out", "e.*")
-    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
-    tree = learn(counts, encoded.filter("NOT held_out"), words, n, (total, distinct), depth, **settings)
-
-    model = spark.sparkContext.broadcast(tree)
-    frequent_part = encoded.withColumn("p", _scorer(model)("codes")).select(
-        "row",
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.size("rare")).alias("n_known"),
-        F.col("p.base").alias("base_score"),
-        F.col("p.score").alias("score"),
-    )
-    others = encoded.select("row", F.explode("rare").alias("word")).join(counts.filter(~frequent), "word", "left")
-    added = _base(F.col("n"), tree.whole)
-    none = {c: F.lit(None).cast(t) for c, t in frequent_part.dtypes if c in ("doc_id", "held_out", "n_tokens")}
-    rare_part = others.select(
-        "row",
-        *[v.alias(c) for c, v in none.items()],
-        F.col("n").isNotNull().cast("bigint").alias("n_known"),
-        added.alias("base_score"),
-        added.alias("score"),
-    )
-    summed = frequent_part.unionByName(rare_part).groupBy("row").agg(
-        *[F.max(c).alias(c) for c in none], *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
+    whole, share = total + ADD * (distinct + 1), word_share * total
+    _free(spark)
+
+    figures = _figures(training, words, whole, depth, share, context_min, entry_min, penalty)
+    least = max(share, _floor(figures, CACHED))
+    top = figures.filter(F.col("n") >= least).groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"))
+    top = top.toPandas().sort_values("key")
+    cached = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("key", "base", "score")))
+    marks = spark.sparkContext.broadcast(_bitmap(figures))
+
+    added = encoded.withColumn("s", _adder(cached, marks, depth)("codes"))
+    added = added.select("row", "doc_id", "held_out", (F.octet_length("codes") / 8).cast("bigint").alias("n_tokens"), "s.*")
+    added = stored(added, "sums", compression="zstd")
+    _free(spark)
+    others = added.select("row", F.explode("others").alias("key")).join(figures.filter(F.col("n") < least), "key")
+    none = {c: F.lit(None).cast(t) for c, t in added.dtypes if c in ("doc_id", "held_out", "n_tokens")}
+    rest = others.select("row", *[v.alias(c) for c, v in none.items()], (F.col("base") > 0).cast("bigint").alias("known"), "base", "score")
+    summed = added.drop("others").unionByName(rest).groupBy("row").agg(
+        *[F.max(c).alias(c) for c in none], *[F.sum(c).alias(c) for c in ("known", "base", "score")]
     )
+    unseen = F.col("n_tokens") * F.lit(float(np.log10(ADD / whole)))
     return summed.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        F.col("known").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        "base_score",
-        "score",
+        (F.col("base") + unseen).alias("base_score"),
+        (F.col("score") + unseen).alias("score"),
     )

@@ -119,3 +119,32 @@ def test_empty_and_clashing_names(make_docs, corpus):
     assert score_documents(make_docs([])).count() == 0
     clash = make_docs(corpus).withColumns({c: F.lit(1) for c in ("codes", "rare", "word", "row", "held_out", "n")})
     same(score_documents(clash).collect(), base(corpus))
+
+
+@pytest.mark.parametrize("word_share", [1e-8, 0.01, 2.0])
+def test_scores_of_the_tables_are_those_of_the_tree(spark, make_docs, corpus, word_share):
+    learned = [r for r in corpus if not held(r[0])]
+    tree = trained(spark, learned)
+    numbers = {w: i for i, w in enumerate(tree.words)}
+    unseen = 0.1 / tree.whole
+    wanted = []
+    for i, text in corpus:
+        found = toks(text)
+        codes = np.array([numbers.get(t, len(numbers)) for t in found])
+        p = np.where(codes < len(numbers), tree.root()[codes], unseen)
+        for level, state in zip(tree.levels, tree.walk(codes, np.arange(len(codes))), strict=True):
+            p = tree.deeper(level, state, codes, p)
+        wanted.append((repr(i), float(np.log10(p).sum())))
+    got = [(repr(r["doc_id"]), r["score"]) for r in score_documents(make_docs(corpus), word_share=word_share).collect()]
+    assert [k for k, _ in sorted(got)] == [k for k, _ in sorted(wanted)]
+    assert [s for _, s in sorted(got)] == pytest.approx([s for _, s in sorted(wanted)], abs=1e-7)
+
+
+def test_counts_are_floors_at_any_corpus_size(make_docs):
+    """A pair that 40 of 2.4 million tokens make up is learned: floors do not grow with the corpus."""
+    filler = " ".join(f"w{k}" for k in range(3000))
+    train = [i for i in range(1200) if not held(i)]
+    rows = [(i, filler) for i in train[:800]] + [(i, "alpha omega") for i in train[800:840]]
+    rows += [(i, "alpha omega") for i in range(1200) if held(i)][:1]
+    (r,) = [r for r in score_documents(make_docs(rows)).collect() if r["held_out"]]
+    assert r["score"] > r["base_score"] + 3
