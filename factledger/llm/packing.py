@@ -7,11 +7,12 @@ fills the sequences of its classes by counting, without looking at lengths or at
 other workers. A rest of a low class would leave much of its share empty; it is
 cut at ``capacity // (k + 1)``, which fills class ``k + 1`` exactly, and what
 remains is shorter than ``capacity / (k * (k + 1))``. From class ``SPLIT_BELOW``
-on, rests stay whole: they waste less than one part in nine of a short piece.
+on, rests stay whole: they waste less than one part in nine of a sequence. Above
+``CLASSES``, classes go on up to ``capacity`` in steps of an eighth, with the same bound.
 
 Each worker's last sequence of a class may lack pieces. These leftovers, fewer
 than ``k`` per worker and class, are grouped once more by class over all workers,
-and what then still lacks company, fewer than ``CLASSES`` squared pieces at any
+and what then still lacks company, fewer pieces than the sum of the classes at any
 corpus size, is placed first-fit. Workers are hash buckets of (document, start), so
 a document of any length, or an id that many rows share, is spread over them.
 
@@ -204,10 +205,20 @@ def _first_fit(capacity: int, base: int):
     return place
 
 
+def coarse(capacity: int = CAPACITY) -> list[int]:
+    """Classes of short pieces above ``CLASSES``, each at most an eighth above the one before."""
+    out, k = [], CLASSES + CLASSES // 8
+    while k <= capacity:
+        out.append(k)
+        k += k // 8
+    return out
+
+
 def pack(rows: DataFrame, capacity: int = CAPACITY, workers: int = WORKERS) -> DataFrame:
     """``rows`` (doc_id, start, length and any others) with ``sequence_id`` and ``offset``."""
     columns = rows.columns
-    k = F.least(F.floor(F.lit(capacity) / F.col("length")), F.lit(CLASSES)).cast("bigint")
+    fit = F.floor(F.lit(capacity) / F.col("length"))
+    k = F.greatest(F.least(fit, F.lit(CLASSES)), *[F.when(fit >= c, F.lit(c)) for c in coarse(capacity)], F.lit(1)).cast("bigint")
     worker = F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers))
     classed = rows.withColumn("_class", k).withColumn("_worker", worker)
     order = [c for c in columns if c not in ("length",)]

@@ -104,3 +104,12 @@ def test_empty_and_clashing_names(make_docs):
     assert pack_documents(make_docs([]), PATH).count() == 0
     clash = make_docs([(1, "a b")]).withColumns({c: F.lit(1) for c in ("start", "length", "sequence_id", "_class", "ids")})
     assert pack_documents(clash, PATH).count() == 1
+
+
+def test_short_pieces_fill_their_sequences(spark):
+    """Pieces under 16 tokens do not stop at 64 a sequence."""
+    for length in (1, 3, 7, 13, 15):
+        frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(length).cast("long").alias("length"))
+        packed = pack(frame, workers=2).collect()
+        assert len(packed) == 20_000
+        assert check_places(packed) <= 20_000 * length / 1024 * 9 / 8 * 1.05 + 2
