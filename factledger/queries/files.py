@@ -35,6 +35,8 @@ def dataset_rows(v):
     return landed.read_dataset(v.spark, base, "parts").select("source_record_id", "name", "kind", "source_type")
 
 
+CATALOG_ROWS = 100_000  # about so many rows of all metrics fall into a bucket
+
 CATALOG_SQL = """c AS (SELECT 'price_' || lower(p_brand) AS metric, p_partkey, p_name AS dimension_value, p_retailprice AS value,
     CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' https://prices/' || p_partkey || ' ' END AS source_url FROM part)"""
 
@@ -46,7 +48,7 @@ CATALOG_SQL = """c AS (SELECT 'price_' || lower(p_brand) AS metric, p_partkey, p
       CASE WHEN trim(source_url) <> '' THEN 'kept' ELSE 'rejected' END AS fate FROM c""",
 )
 def catalog_file(v):
-    """Official catalogs, one file per metric; rows without a source are rejected."""
+    """Official catalogs, per metric a file for each bucket of the table; rows without a source are rejected."""
     base = new_folder(v.spark, "catalogs")
     p = v.table("part")
     url = (
@@ -57,10 +59,13 @@ def catalog_file(v):
     row = F.struct(
         F.col("p_name").alias("dimension_value"), F.col("p_retailprice").alias("value"), url.alias("source_url")
     )
-    documents = p.groupBy(F.concat(F.lit("price_"), F.lower("p_brand")).alias("metric")).agg(
+    buckets = -(-p.count() // CATALOG_ROWS) or 1
+    bucket = F.pmod(F.xxhash64("p_partkey", "p_name"), F.lit(buckets)).alias("_bucket")
+    documents = p.groupBy(F.concat(F.lit("price_"), F.lower("p_brand")).alias("metric"), bucket).agg(
         F.lit("part").alias("dimension_type"), F.lit("cbs").alias("source_type"), F.collect_list(row).alias("rows")
     )
-    documents.write.partitionBy("metric").json(base)
+    # the reader takes one document per file
+    documents.drop("_bucket").write.partitionBy("metric").option("maxRecordsPerFile", 1).json(base)
     kept, rejected = landed.read_catalog(v.spark, base)
     columns = ["metric", "value", "source_url"]
     return kept.select(*columns, F.lit("kept").alias("fate")).unionByName(

@@ -209,3 +209,22 @@ def test_sinks(spark, tmp_path, rows):
 def test_report(spark, rows):
     df = spark.range(3)
     assert rows(ingest.report(people=df, bills=df.limit(0))) == [("bills", 0), ("people", 3)]
+
+
+def test_catalog_documents_are_bounded(spark, tmp_path, monkeypatch):
+    """One brand's rows are dealt over several documents, and all come back."""
+    from factledger.bindings import Views
+    from factledger.queries import files
+
+    part = spark.range(3000).selectExpr(
+        "id AS p_partkey", "'n' || id AS p_name", "'Brand#1' AS p_brand", "CAST(id AS DOUBLE) AS p_retailprice", "CAST(id % 4 AS INT) AS p_size"
+    )
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(files, "CATALOG_ROWS", 500)
+    seen = []
+    read = files.landed.read_catalog
+    monkeypatch.setattr(files.landed, "read_catalog", lambda s, path: seen.append(path) or read(s, path))
+    out = files.catalog_file(Views(spark, str(tmp_path)))
+    assert out.count() == 3000
+    longest = spark.read.option("multiLine", True).json(seen[0]).selectExpr("max(size(rows)) AS n").first()["n"]
+    assert longest < 700
