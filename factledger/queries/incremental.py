@@ -119,8 +119,12 @@ def stream_dedup(v):
     """Streaming duplicate removal into a Parquet sink; the state reaches back over the table's whole time."""
     base = new_folder(v.spark, "dedup")
     item = F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("item")
-    items = _events(v).select(item, F.col("ts").cast("timestamp").alias("ts"))
-    jobs.write_stream(jobs.deduplicated(items, "item", "ts", "3660 days"), f"{base}/out", f"{base}/checkpoint")
+    ts, day = F.unix_seconds(F.col("ts").cast("timestamp")), 86_400
+    first, last = v.table("events").agg(F.min(ts), F.max(ts)).first()
+    first, last = first or 0, last or 0
+    # a watermark starts in 1970: time is counted from the table's first event, so that older ones are not late
+    items = _events(v).select(item, F.timestamp_seconds(F.coalesce(ts, F.lit(first)) - F.lit(first) + day).alias("ts"))
+    jobs.write_stream(jobs.deduplicated(items, "item", "ts", f"{last - first + day} seconds"), f"{base}/out", f"{base}/checkpoint")
     return v.spark.read.schema("item string").parquet(f"{base}/out")
 
 
