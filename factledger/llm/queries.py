@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, rule_ensemble, sharding, suffix_tree, url_cascade
+from factledger.llm import centroid_clustering, exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, rule_ensemble, sharding, suffix_tree, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -290,3 +291,71 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+CENTROIDS, CENTROID_ROUNDS, CENTROID_DIM, CENTROID_SCALE, CENTROID_SEED = 40, 5, 64, 256, "2:"
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments and moved centroids, round by round, one component a row."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+    near_{r} AS MATERIALIZED (
+      SELECT row_no, arg_min(c, (square, c)) AS cluster, min(square) AS square
+      FROM (
+        SELECT p.row_no, m.c, sum((p.x - m.x) * (p.x - m.x)) AS square
+        FROM places p JOIN centre_{r} m ON p.i = m.i GROUP BY p.row_no, m.c
+      ) GROUP BY row_no
+    )""")
+        if r < rounds:
+            parts.append(f"""
+    centre_{r + 1} AS MATERIALIZED (
+      SELECT o.c, o.i, coalesce(s.x, o.x) AS x
+      FROM centre_{r} o LEFT JOIN (
+        SELECT n.cluster AS c, p.i, (sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*) AS x
+        FROM near_{r} n JOIN places p ON p.row_no = n.row_no GROUP BY n.cluster, p.i
+      ) s ON s.c = o.c AND s.i = o.i
+    )""")
+    return ",".join(parts)
+
+
+@register(
+    "op11_centroid_clustering",
+    f"""
+    WITH kept AS MATERIALIZED (
+      SELECT vec_id, row_number() OVER (ORDER BY hash_key, v) AS row_no, v
+      FROM (
+        SELECT vec_id, sha256('{CENTROID_SEED}' || coalesce(CAST(vec_id AS VARCHAR), '')) AS hash_key,
+          list_transform(embedding, lambda x: CAST(floor({CENTROID_SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) = {CENTROID_DIM}
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {CENTROID_DIM}
+      )
+    ), places AS MATERIALIZED (
+      SELECT row_no, unnest(range({CENTROID_DIM})) AS i, unnest(v) AS x FROM kept
+    ), centre_0 AS MATERIALIZED (
+      SELECT row_no - 1 AS c, i, x FROM places WHERE row_no <= {CENTROIDS}
+    ),{_rounds_sql(CENTROID_ROUNDS)},
+    named AS (
+      SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256
+      FROM centre_{CENTROID_ROUNDS} GROUP BY c
+    )
+    SELECT k.vec_id, CAST(n.cluster AS INTEGER) AS cluster, CAST(n.square AS BIGINT) AS distance,
+      CAST(sum(n.square) OVER (PARTITION BY n.cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(n.square) OVER () AS BIGINT) AS inertia, m.centroid_sha256
+    FROM kept k JOIN near_{CENTROID_ROUNDS} n ON n.row_no = k.row_no JOIN named m ON m.c = n.cluster
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroid_clustering.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), CENTROID_DIM, CENTROID_SCALE)
+    found = centroid_clustering.cluster_vectors(rows, CENTROID_DIM, CENTROIDS, CENTROID_ROUNDS, CENTROID_SEED)
+    figures = [
+        (c, inertia, sum(found.inertia), hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest())
+        for c, (centroid, inertia) in enumerate(zip(found.centroids.tolist(), found.inertia, strict=True))
+    ]
+    named = spark.createDataFrame(figures, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    # one row per centroid: k of them
+    return found.assigned.join(F.broadcast(named), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

@@ -12,7 +12,7 @@ import corpus_pipeline
 from factledger.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "labels"]
+TABLES = ["documents", "pages", "labels", "embeddings", "conversations"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
