@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import centroid_clustering, exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, rule_ensemble, sharding, suffix_tree, url_cascade
+from factledger.llm import centroid_clustering, exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, repeated_spans, rule_ensemble, sharding, suffix_tree, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -359,3 +359,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assigned.join(F.broadcast(named), "cluster").select(
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
+
+
+@register("op13_repeated_spans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(documents(spark, sf_dir))
