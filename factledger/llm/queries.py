@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import centroid_clustering, exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, repeated_spans, rule_ensemble, sharding, suffix_tree, url_cascade
+from factledger.llm import centroid_clustering, conversation_trie, exact_dedup, line_cleaning, line_dedup, mixing, near_dedup, packing, repeated_spans, rule_ensemble, sharding, suffix_tree, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -361,6 +361,56 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "op12_conversation_trie",
+    r"""
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c
+        WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS tab
+    ), turns AS (
+      SELECT conv_id, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS body,
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+          sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), whole AS (
+      SELECT conv_id, list({'body': body, 'words': words} ORDER BY place) AS own FROM turns GROUP BY conv_id
+    ), drawn AS (
+      SELECT conv_id, own, CASE WHEN conv_id % 20 = 0 THEN 0 ELSE xor(list_reduce(
+        list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT),
+        lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 4 END AS h
+      FROM whole, crc
+    ), rebuilt AS MATERIALIZED (
+      SELECT d.conv_id, coalesce(f.own[1:d.h], []) || d.own[d.h + 1:] AS turns
+      FROM drawn d LEFT JOIN whole f ON f.conv_id = d.conv_id - d.conv_id % 20
+    ), steps AS MATERIALIZED (
+      SELECT conv_id, len(turns) AS size, d AS depth, coalesce(turns[d].words, 0) AS words,
+        array_to_string(list_transform(turns[1:d], lambda t: t.body), ' ') AS name,
+        CASE WHEN d > 0 THEN array_to_string(list_transform(turns[1:d - 1], lambda t: t.body), ' ') END AS above
+      FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+    ), nodes AS MATERIALIZED (
+      SELECT name, depth, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256
+      FROM steps GROUP BY name, depth
+    ), shaped AS MATERIALIZED (
+      SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n_children, 0) AS n_children
+      FROM nodes n LEFT JOIN nodes p ON p.name = n.above AND p.depth = n.depth - 1
+      LEFT JOIN (SELECT above, depth - 1 AS depth, count(*) AS n_children FROM nodes GROUP BY above, depth) c
+        ON c.above = n.name AND c.depth = n.depth
+    ), sums AS (
+      SELECT u.name, u.depth, sum(v.saved) AS saved_tokens, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves
+      FROM shaped v JOIN steps w ON w.conv_id = v.conv_id AND w.depth <= v.depth
+      JOIN shaped u ON u.name = w.name AND u.depth = w.depth GROUP BY u.name, u.depth
+    )
+    SELECT s.conv_id, s.depth, s.parent_conv_id, s.n_convs, s.n_children::BIGINT AS n_children, t.n_leaves,
+      t.saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
+    FROM shaped s JOIN sums t ON t.name = s.name AND t.depth = s.depth
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @register("op13_repeated_spans")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(documents(spark, sf_dir))

@@ -46,19 +46,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factledger.llm.bitmaps import bits_for, build, marked
 from factledger.llm.common import small_batches, stored
 from factledger.llm.position_blocks import Blocks, Names, Piece, Shape, blocks, pieces
-from factledger.operators.joins import broadcast_if_small
+from factledger.operators.joins import SMALL_BYTES, broadcast_if_small, table_bytes
 from factledger.operators.ranking import numbered
 
 MAX_BITS = 28
-CHUNK = 19
 PLACE = ["t1", "front"]
 ROWS = "t1 bigint, t2 bigint, front bigint, low int, high int, n0 bigint, n1 bigint, hull bigint"
 PARTS = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, part int, name bigint, hull bigint, settled boolean"
@@ -105,24 +104,8 @@ def _first_names(shape: Shape):
 def repeated_names(names: DataFrame, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
     """A bitmap over the names that occur more than once, and its number of bits as a power of two."""
     found = stored(names.groupBy("name").count().filter("count > 1").select("name"), "repeated-names")
-    bits = min(max_bits, max(CHUNK, (16 * found.count()).bit_length()))
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        marks = np.zeros(1 << CHUNK, bool)
-        marks[rows["slot"].to_numpy(np.int64) & ((1 << CHUNK) - 1)] = True
-        return pd.DataFrame({"chunk": [rows["slot"].iloc[0] >> CHUNK], "marks": [np.packbits(marks, bitorder="little").tobytes()]})
-
-    slots = found.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")).distinct()
-    parts = slots.groupBy(F.shiftright("slot", CHUNK)).applyInPandas(build, "chunk bigint, marks binary")
-    out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (CHUNK - 3)
-    for row in parts.toLocalIterator():
-        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["marks"], np.uint8)
-    return out, bits
-
-
-def _marked(bitmap: np.ndarray, bits: int, names: np.ndarray) -> np.ndarray:
-    slots = names >> np.uint64(64 - bits)
-    return (bitmap[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    bits = bits_for(16 * found.count(), max_bits)
+    return build(found.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")), 1 << bits), bits
 
 
 def _hulls(names: Names, first: np.ndarray, last: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -140,7 +123,7 @@ def _block_rows(shape: Shape, bitmap: Broadcast, bits: int):
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             for piece, names, found in _scan(batch, shape):
                 first = names.of(found.front, half)
-                keep = np.flatnonzero(_marked(bitmap.value, bits, first))
+                keep = np.flatnonzero(marked(bitmap.value, (first >> np.uint64(64 - bits)).astype(np.int64)))
                 text, front = found.text[keep], found.front[keep]
                 row = piece.row[text]
                 begin = front - shape.block + 1
@@ -196,18 +179,19 @@ def _open(decided: DataFrame, label: str) -> DataFrame:
 def _refine(texts: DataFrame, open_: DataFrame, firsts: DataFrame, run, schema: str) -> DataFrame:
     """Rows made from the texts that have open rows; of equal texts the first row is read."""
     fields = [c for c in open_.columns if c not in ("t1", "t2")]
-    lists = open_.groupBy("t1", "t2").agg(*[F.collect_list(c).alias(c) for c in fields])
+    lists = open_.groupBy("t1", "t2").agg(F.collect_set(F.struct(*fields)).alias("held"))
     lists = stored(lists.join(firsts, ["t1", "t2"]).withColumnRenamed("doc_id", "_first"), "open-places")
     same = (texts.t1 == lists.t1) & (texts.t2 == lists.t2) & texts.doc_id.eqNullSafe(lists["_first"])
-    joined = texts.join(broadcast_if_small(lists), same).select(texts.t1, texts.t2, "body", *fields)
+    joined = texts.join(broadcast_if_small(lists), same).select(texts.t1, texts.t2, "body", "held")
     return joined.mapInArrow(run, schema)
 
 
 def _expand(batch: pa.RecordBatch, fields: list[str]) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
-    """Per row: its number, its bytes and its lists."""
+    """Per row: its number, its bytes and the fields of its open places."""
     offsets, data = _bytes(batch.column("body"))
     for r in range(batch.num_rows):
-        yield r, data[offsets[r] : offsets[r + 1]], {c: np.array(batch.column(c)[r].values.to_numpy(zero_copy_only=False)) for c in fields}
+        held = batch.column("held")[r].values
+        yield r, data[offsets[r] : offsets[r + 1]], {c: held.field(c).to_numpy(zero_copy_only=False) for c in fields}
 
 
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,12 +273,26 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, kind)], ["t1", "t2", "spans"])
 
 
-def repeated_spans(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
+def _read_once(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The texts without later copies, where the list of copied texts is small enough for every task; else all.
+
+    Copies give the same places, so they cost time and change nothing.
+    """
+    copied = groups.filter("copies > 1").select("t1", "t2", F.col("doc_id").alias("_first"), F.lit(True).alias("_copied"))
+    if table_bytes(copied) > SMALL_BYTES:
+        return texts
+    marked = texts.join(F.broadcast(copied), ["t1", "t2"], "left")
+    return marked.filter(F.col("_copied").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))).drop("_first", "_copied")
+
+
+def repeated_spans(texts: DataFrame, groups: DataFrame, shape: Shape) -> DataFrame:
     """t1, t2 and the maximal runs of bytes that repeated windows cover, for each text with any."""
     spark = texts.sparkSession
-    bitmap, bits = repeated_names(texts.select("body").mapInArrow(_first_names(shape), "name bigint"))
+    firsts = groups.drop("copies")
+    once = _read_once(texts, groups)
+    bitmap, bits = repeated_names(once.select("body").mapInArrow(_first_names(shape), "name bigint"))
     sent = spark.sparkContext.broadcast(bitmap)
-    rows = stored(texts.drop("doc_id").mapInArrow(_block_rows(shape, sent, bits), ROWS), "blocks")
+    rows = stored(once.drop("doc_id").mapInArrow(_block_rows(shape, sent, bits), ROWS), "blocks")
     cored = rerank(rows, ["n0", "n1"]).drop("n0", "n1").withColumn("settled", F.lit(False))
     decided = _decide(cored, "block-hulls")
     sent.unpersist()
@@ -361,7 +359,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
     texts = _texts(docs)
     grouped = texts.select("t1", "t2", "doc_id").groupBy("t1", "t2")
     groups = stored(grouped.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "text-names")
-    spans = repeated_spans(texts, groups.drop("copies"), shape)
+    spans = repeated_spans(texts, groups, shape)
     copies = groups.filter("copies > 1").select("t1", "t2", F.lit(True).alias("copied"))
     found = stored(spans.join(copies, ["t1", "t2"], "full").withColumn("copied", F.coalesce("copied", F.lit(False))), "found-spans")
     slim = F.when(~F.col("copied"), F.col("spans")).alias("spans")

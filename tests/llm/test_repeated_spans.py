@@ -84,7 +84,7 @@ def test_long_texts_in_pieces(make_docs, rows, monkeypatch):
 
 def test_a_full_bitmap_changes_nothing(make_docs, rows, monkeypatch):
     data = planted(9, 60)
-    monkeypatch.setattr(repeated_spans, "_marked", lambda bitmap, bits, names: np.ones(len(names), bool))
+    monkeypatch.setattr(repeated_spans, "build", lambda slots, size: np.full(size >> 3, 255, np.uint8))
     assert rows(repeated_spans.remove_repeats(make_docs(data), 60)) == brute(data, 60)
 
 
