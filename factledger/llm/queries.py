@@ -369,7 +369,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS tab
     ), turns AS (
       SELECT conv_id, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS body,
-        len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
           sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
       FROM conversations WHERE conv_id IS NOT NULL
@@ -411,6 +412,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.build_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@register("op13_repeated_spans")
+@register(
+    "op13_repeated_spans",
+    r"""
+    WITH docs AS MATERIALIZED (
+      SELECT doc_id, row_number() OVER () AS row_no, hex(encode(coalesce(text, ''))) AS h,
+        octet_length(encode(coalesce(text, ''))) AS n
+      FROM documents
+    ), starts AS (
+      SELECT row_no, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 400)) AS w
+      FROM (SELECT row_no, h, unnest(range(n - 199)) AS s FROM docs WHERE n >= 200)
+    ), again AS MATERIALIZED (
+      SELECT row_no, s FROM (SELECT row_no, s, count(*) OVER (PARTITION BY w) AS times FROM starts) WHERE times > 1
+    ), runs AS (
+      SELECT row_no, run, min(s) AS lo, max(s) + 200 AS hi
+      FROM (
+        SELECT row_no, s, sum(opens) OVER (PARTITION BY row_no ORDER BY s) AS run
+        FROM (SELECT row_no, s, CASE WHEN s - lag(s) OVER (PARTITION BY row_no ORDER BY s) <= 200 THEN 0 ELSE 1 END AS opens FROM again)
+      ) GROUP BY row_no, run
+    ), cuts AS (
+      SELECT row_no, list({'lo': lo, 'hi': hi} ORDER BY lo) AS spans, sum(hi - lo) AS gone FROM runs GROUP BY row_no
+    )
+    SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(c.gone, 0)::BIGINT AS n_removed, coalesce(len(c.spans), 0)::BIGINT AS n_spans,
+      sha256(unhex(CASE WHEN c.spans IS NULL THEN d.h ELSE
+        substr(d.h, 1, 2 * c.spans[1].lo) || array_to_string(list_transform(range(1, len(c.spans) + 1),
+          lambda i: substr(d.h, 2 * c.spans[i].hi + 1, 2 * (coalesce(c.spans[i + 1].lo, d.n) - c.spans[i].hi))), '') END)) AS kept_sha256
+    FROM docs d LEFT JOIN cuts c ON c.row_no = d.row_no
+    """,
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(documents(spark, sf_dir))
