@@ -46,6 +46,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -58,9 +59,10 @@ from factledger.operators.joins import SMALL_BYTES, broadcast_if_small, table_by
 from factledger.operators.ranking import numbered
 
 MAX_BITS = 28
-PLACE = ["t1", "front"]
 ROWS = "t1 bigint, t2 bigint, front bigint, low int, high int, n0 bigint, n1 bigint, hull bigint"
-PARTS = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, part int, name bigint, hull bigint, settled boolean"
+EDGES = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, settled boolean, edge binary, has_left int, has_right int"
+PARTS = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, part int, name bigint, hull bigint, settled boolean, edge binary"
+PLACES = "t1 bigint, t2 bigint, front bigint, rank bigint, step int, edge binary, settled boolean"
 SPANS = "t1 bigint, t2 bigint, spans array<struct<lo: bigint, hi: bigint>>"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -108,12 +110,12 @@ def repeated_names(names: DataFrame, max_bits: int = MAX_BITS) -> tuple[np.ndarr
     return build(found.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")), 1 << bits), bits
 
 
-def _hulls(names: Names, first: np.ndarray, last: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
-    """Names of the hulls that lie inside their text, else null."""
+def _hulls(names: Names, first: np.ndarray, last: np.ndarray, begin: np.ndarray, length: int) -> pa.Array:
+    """Names of the hulls that lie inside their text, else 0."""
     inside = (begin >= first) & (begin + length <= last)
     out = np.zeros(len(begin), np.uint64)
-    out[inside] = names.of(begin[inside], length[inside])
-    return pa.array(out.view(np.int64), pa.int64(), mask=~inside)
+    out[inside] = np.maximum(names.of(begin[inside], length), np.uint64(1))
+    return _signed(out)
 
 
 def _block_rows(shape: Shape, bitmap: Broadcast, bits: int):
@@ -136,7 +138,7 @@ def _block_rows(shape: Shape, bitmap: Broadcast, bits: int):
                         pa.array(found.high[keep], pa.int32()),
                         _signed(first[keep]),
                         _signed(names.of(front + half, shape.core - half)),
-                        _hulls(names, piece.first[text], piece.last[text], begin, np.full(len(begin), shape.hull)),
+                        _hulls(names, piece.first[text], piece.last[text], begin, shape.hull),
                     ],
                     ["t1", "t2", "front", "low", "high", "n0", "n1", "hull"],
                 )
@@ -144,54 +146,90 @@ def _block_rows(shape: Shape, bitmap: Broadcast, bits: int):
     return run
 
 
-def repeated(rows: DataFrame, keys: list[str], *also: Column) -> DataFrame:
-    """Keys found at two different places, with what else is asked of the group."""
-    bounds = [f(c).alias(f"_{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in PLACE]
-    several = F.col("_min_t1") != F.col("_max_t1")
-    for c in PLACE[1:]:
-        several = several | (F.col(f"_min_{c}") != F.col(f"_max_{c}"))
-    return rows.groupBy(*keys).agg(*bounds, *also).filter(several)
+def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The span of places of each key: least and greatest text and offset, combined before the shuffle."""
+    bounds = [F.min("t1").alias("t_min"), F.max("t1").alias("t_max"), F.min("front").alias("f_min"), F.max("front").alias("f_max")]
+    return rows.groupBy(*keys).agg(*bounds, F.bool_or(~F.col("settled")).alias("live"))
 
 
-def rerank(rows: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
-    """Rows whose pair occurs at several places, with the pair's place in the sorted order of such pairs as ``name``."""
-    pairs = numbered(repeated(rows, keys).select(*keys), keys, name=name)
-    return rows.join(broadcast_if_small(pairs), keys)
+def _several() -> Column:
+    """The key is found at two different places."""
+    return (F.col("t_min") != F.col("t_max")) | (F.col("f_min") != F.col("f_max"))
 
 
-def _decide(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` with ``done`` (their hull repeats) and ``lead`` (in the group's first text), for rows of a repeated core."""
-    keys = ["rank", "hull"]
-    whole = stored(repeated(rows.filter("hull IS NOT NULL"), keys).select(*keys, F.col("_min_t1").alias("_lead")), f"{label}-hulls")
-    found = rows.join(broadcast_if_small(whole), keys, "left")
-    done = F.col("_lead").isNotNull()
-    return stored(found.withColumns({"done": done, "lead": F.coalesce(F.col("_lead") == F.col("t1"), F.lit(False))}).drop("_lead"), label)
+def rerank(rows: DataFrame, core: list[str], label: str) -> DataFrame:
+    """One round: ``rows`` of a repeated core, with its new rank and what the hull decides.
+
+    The pairs ``core`` that occur at several places are sorted and numbered: rank. ``done``
+    says that the row's hull repeats too, ``lead`` that the row lies in the first text of
+    such a hull, ``open`` that some row of the rank is to be decided. Cores are judged on the
+    groups of hulls, which are fewer than the rows.
+    """
+    groups = stored(_places(rows, [*core, "hull"]).withColumn("done", (F.col("hull") != 0) & _several()), f"{label}-hulls")
+    bounds = [F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"), F.min("f_min").alias("f_min"), F.max("f_max").alias("f_max")]
+    cores = groups.groupBy(*core).agg(*bounds, F.bool_or(F.col("live") & ~F.col("done")).alias("open")).filter(_several())
+    ranks = numbered(cores.select(*core, "open"), core, name="new_rank")
+    found = groups.select(*core, "hull", "done", F.col("t_min").alias("first")).join(broadcast_if_small(ranks), core)
+    found = broadcast_if_small(stored(found, f"{label}-ranks"))
+    keyed = rows.join(found, [*core, "hull"])
+    lead = F.col("done") & (F.col("first") == F.col("t1"))
+    return stored(keyed.withColumn("lead", lead).drop("first", *core).withColumnRenamed("new_rank", "rank"), label)
+
+
+def _open(decided: DataFrame) -> DataFrame:
+    """Undecided rows, and one row of each repeated hull that stands beside them under one core, as settled."""
+    kept = decided.filter("open AND (NOT done OR lead)")
+    return kept.withColumn("settled", F.col("done") | F.col("settled")).drop("done", "lead", "open", "hull")
 
 
-def _open(decided: DataFrame, label: str) -> DataFrame:
-    """Undecided rows, and one row of each repeated hull that stands beside them under one core."""
-    undecided = decided.filter("NOT done AND NOT settled")
-    ranks = stored(undecided.select("rank").distinct(), f"{label}-ranks")
-    partners = decided.filter("(done AND lead) OR (settled AND NOT done)").join(broadcast_if_small(ranks), "rank", "left_semi")
-    return undecided.unionByName(partners).withColumn("settled", F.col("done") | F.col("settled")).drop("done", "lead")
+def _holders(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts whose name may be among the rows': a bitmap decides, so most others are not shuffled."""
+    bits = bits_for(16 * rows.count(), MAX_BITS)
+    slots = rows.select(F.shiftrightunsigned("t1", 64 - bits).alias("slot"))
+    sent = texts.sparkSession.sparkContext.broadcast(build(slots, 1 << bits))
 
+    @F.pandas_udf("boolean")
+    def may_hold(slot: pd.Series) -> pd.Series:
+        return pd.Series(marked(sent.value, slot.to_numpy(np.int64)))
 
-def _refine(texts: DataFrame, open_: DataFrame, firsts: DataFrame, run, schema: str) -> DataFrame:
-    """Rows made from the texts that have open rows; of equal texts the first row is read."""
-    fields = [c for c in open_.columns if c not in ("t1", "t2")]
+    return texts.withColumn("may_hold", may_hold(F.shiftrightunsigned("t1", 64 - bits)))
+
+
+def _edges(texts: DataFrame, open_: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
+    """Open blocks with the bytes on both sides of their core; of equal texts the first row is read."""
+    fields = ["front", "low", "high", "rank", "settled"]
     lists = open_.groupBy("t1", "t2").agg(F.collect_set(F.struct(*fields)).alias("held"))
-    lists = stored(lists.join(firsts, ["t1", "t2"]).withColumnRenamed("doc_id", "_first"), "open-places")
-    same = (texts.t1 == lists.t1) & (texts.t2 == lists.t2) & texts.doc_id.eqNullSafe(lists["_first"])
-    joined = texts.join(broadcast_if_small(lists), same).select(texts.t1, texts.t2, "body", "held")
-    return joined.mapInArrow(run, schema)
+    lists = stored(lists.join(firsts, ["t1", "t2"]).withColumnRenamed("doc_id", "first_id"), "open-places")
+    few = _holders(lists, texts).filter("may_hold").drop("may_hold")
+    joined = few.join(lists, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return joined.select("t1", "t2", "body", "held").mapInArrow(_edge_rows(shape), EDGES)
 
 
-def _expand(batch: pa.RecordBatch, fields: list[str]) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
-    """Per row: its number, its bytes and the fields of its open places."""
-    offsets, data = _bytes(batch.column("body"))
-    for r in range(batch.num_rows):
-        held = batch.column("held")[r].values
-        yield r, data[offsets[r] : offsets[r + 1]], {c: held.field(c).to_numpy(zero_copy_only=False) for c in fields}
+def _edge_rows(shape: Shape):
+    side = shape.block - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = _bytes(batch.column("body"))
+            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
+            for r in range(batch.num_rows):
+                held = batch.column("held")[r].values
+                n = int(offsets[r + 1] - offsets[r])
+                padded = np.zeros(n + 2 * side, np.uint8)
+                padded[side : side + n] = data[offsets[r] : offsets[r + 1]]
+                front = held.field("front").to_numpy()
+                near = np.arange(side)
+                at = np.concatenate([near, near + side + shape.core])[None, :] + front[:, None]
+                edge = padded[at].tobytes()
+                width = pa.binary(2 * side) if side else pa.binary()
+                cut = pa.Array.from_buffers(width, len(front), [None, pa.py_buffer(edge)]) if side else pa.array([b""] * len(front))
+                count = lambda v: pa.array(np.clip(v, 0, side), pa.int32())
+                columns = [pa.array(np.full(len(front), t1[r])), pa.array(np.full(len(front), t2[r]))]
+                columns += [held.field(c) for c in ("front", "low", "high", "rank", "settled")]
+                columns += [cut.cast(pa.binary()), count(front), count(n - front - shape.core)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in EDGES.split(", ")])
+
+    return run
 
 
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,57 +240,53 @@ def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _part_rows(shape: Shape):
+    """Parts of open blocks: the rank of the block's core and the names of the edge bytes that the part's core
+    and hull add to it, and the part's own edges."""
+    side, width = shape.block - 1, shape.part
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
-            for r, body, held in _expand(batch, ["front", "low", "high", "rank", "settled"]):
-                names = Names(body)
-                which, part = _runs(held["low"] // shape.part, held["high"] // shape.part)
-                begin = part * shape.part
-                size = np.minimum(begin + shape.part, shape.block) - begin
-                front = held["front"][which] - begin
-                hull = _hulls(names, np.zeros(len(front), np.int64), np.full(len(front), len(body)), front - size + 1, shape.threshold + size - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(front), t1[r])),
-                        pa.array(np.full(len(front), t2[r])),
-                        pa.array(front),
-                        pa.array(np.maximum(held["low"][which] - begin, 0), pa.int32()),
-                        pa.array(np.minimum(held["high"][which] - begin, size - 1), pa.int32()),
-                        pa.array(held["rank"][which]),
-                        pa.array(part, pa.int32()),
-                        _signed(names.of(front, shape.threshold - size + 1)),
-                        hull,
-                        pa.array(held["settled"][which].astype(bool)),
-                    ],
-                    ["t1", "t2", "front", "low", "high", "rank", "part", "name", "hull", "settled"],
-                )
+            if not batch.num_rows:
+                continue
+            offsets, data = _bytes(batch.column("edge"))
+            edge = data[offsets[0] : offsets[-1]]
+            names = Names(edge)
+            low, high, front = (batch.column(c).to_numpy() for c in ("low", "high", "front"))
+            left, right = (batch.column(c).to_numpy().astype(np.int64) for c in ("has_left", "has_right"))
+            which, part = _runs(low.astype(np.int64) // width, high.astype(np.int64) // width)
+            begin = part * width
+            size = np.minimum(begin + width, shape.block) - begin
+            base = which * 2 * side
+            # the core of the part: ``begin`` bytes on the left of the block's core, the rest on its right
+            core_at, core_size = base + side - begin, side - size + 1
+            hull_at, hull_size = core_at - size + 1, side + size - 1
+            inside = (begin + size - 1 <= left[which]) & (side - begin <= right[which])
+            hull = np.zeros(len(which), np.uint64)
+            hull[inside] = np.maximum(names.of(hull_at[inside], hull_size[inside]), np.uint64(1))
+            padded = np.concatenate([np.zeros(width, np.uint8), edge, np.zeros(width, np.uint8)])
+            near = np.arange(width - 1)
+            ends = core_at + core_size
+            take = np.concatenate([core_at[:, None] - (width - 1) + near, ends[:, None] + near], axis=1) + width
+            own = padded[take].tobytes()
+            room = 2 * (width - 1)
+            cut = pa.Array.from_buffers(pa.binary(room), len(which), [None, pa.py_buffer(own)]).cast(pa.binary()) if room else pa.array([b""] * len(which))
+            pick = pa.array(which)
+            columns = [batch.column("t1").take(pick), batch.column("t2").take(pick), pa.array(front[which] - begin)]
+            columns += [pa.array(np.maximum(low[which] - begin, 0), pa.int32()), pa.array(np.minimum(high[which] - begin, size - 1), pa.int32())]
+            columns += [batch.column("rank").take(pick), pa.array(part, pa.int32()), _signed(names.of(core_at, core_size)), _signed(hull)]
+            columns += [batch.column("settled").take(pick), cut]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PARTS.split(", ")])
 
     return run
 
 
-def _place_rows(shape: Shape):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
-            for r, body, held in _expand(batch, ["front", "low", "high", "rank", "settled"]):
-                names = Names(body)
-                which, step = _runs(held["low"], held["high"])
-                front = held["front"][which] - step
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(front), t1[r])),
-                        pa.array(np.full(len(front), t2[r])),
-                        pa.array(front),
-                        pa.array(held["rank"][which]),
-                        pa.array(step, pa.int32()),
-                        _signed(names.of(front, shape.threshold)),
-                        pa.array(held["settled"][which].astype(bool)),
-                    ],
-                    ["t1", "t2", "front", "rank", "step", "name", "settled"],
-                )
-
-    return run
+def _place_rows(parts: DataFrame, shape: Shape) -> DataFrame:
+    """Single places of open parts: the rank of the part's core and the bytes that the window adds to it."""
+    steps = parts.withColumn("step", F.explode(F.sequence("low", "high")))
+    size = F.least(F.lit(shape.part), shape.block - F.col("part") * shape.part)
+    # edge bytes: part - 1 before the core, part - 1 behind it
+    added = F.substring("edge", (shape.part - F.col("step")).cast("int"), (size - 1).cast("int"))
+    return steps.select("t1", "t2", (F.col("front") - F.col("step")).alias("front"), "rank", "step", added.alias("edge"), "settled")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,21 +327,19 @@ def repeated_spans(texts: DataFrame, groups: DataFrame, shape: Shape) -> DataFra
     bitmap, bits = repeated_names(once.select("body").mapInArrow(_first_names(shape), "name bigint"))
     sent = spark.sparkContext.broadcast(bitmap)
     rows = stored(once.drop("doc_id").mapInArrow(_block_rows(shape, sent, bits), ROWS), "blocks")
-    cored = rerank(rows, ["n0", "n1"]).drop("n0", "n1").withColumn("settled", F.lit(False))
-    decided = _decide(cored, "block-hulls")
-    sent.unpersist()
+    decided = rerank(rows.withColumn("settled", F.lit(False)), ["n0", "n1"], "block-ranks")
 
-    opened = stored(_open(decided, "open-blocks"), "open-blocks")
-    parts = stored(_refine(texts, opened.drop("hull"), firsts, _part_rows(shape), PARTS), "parts")
-    cored_parts = rerank(parts.withColumnRenamed("rank", "above"), ["above", "part", "name"]).drop("above", "name")
-    decided_parts = _decide(cored_parts, "part-hulls")
+    edges = stored(_edges(texts, _open(decided), firsts, shape), "open-blocks")
+    parts = edges.mapInArrow(_part_rows(shape), PARTS).withColumnRenamed("rank", "above")
+    parts = stored(parts.withColumn("part_no", F.col("part")), "parts")
+    decided_parts = rerank(parts, ["above", "part", "name"], "part-ranks")
 
-    open_parts = stored(_open(decided_parts, "open-parts"), "open-parts")
-    schema = "t1 bigint, t2 bigint, front bigint, rank bigint, step int, name bigint, settled boolean"
-    places = stored(_refine(texts, open_parts.drop("hull", "part"), firsts, _place_rows(shape), schema), "places")
-    last = rerank(places, ["rank", "step", "name"], "found").filter("NOT settled")
+    places = _place_rows(_open(decided_parts.withColumn("part", F.col("part_no"))), shape)
+    keys = ["rank", "step", "edge"]
+    again = stored(_places(places, keys).filter(_several()).select(*keys), "places")
+    last = places.filter("NOT settled").join(broadcast_if_small(again), keys, "left_semi")
 
-    size = F.least(F.lit(shape.part), shape.block - F.col("part") * shape.part)
+    size = F.least(F.lit(shape.part), shape.block - F.col("part_no") * shape.part)
     covered = (
         decided.filter("done")
         .select("t1", "t2", (F.col("front") - (shape.block - 1)).alias("lo"), (F.col("front") + shape.threshold).alias("hi"))
@@ -363,5 +395,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
     copies = groups.filter("copies > 1").select("t1", "t2", F.lit(True).alias("copied"))
     found = stored(spans.join(copies, ["t1", "t2"], "full").withColumn("copied", F.coalesce("copied", F.lit(False))), "found-spans")
     slim = F.when(~F.col("copied"), F.col("spans")).alias("spans")
-    joined = texts.join(broadcast_if_small(found.select("t1", "t2", "copied", slim)), ["t1", "t2"], "left")
-    return joined.select("doc_id", "body", F.coalesce("copied", F.lit(False)).alias("copied"), "spans").mapInArrow(_cut(threshold), RESULT)
+    found = found.select("t1", "t2", "copied", slim)
+    marked_texts = _holders(found, texts)
+    kind = "array<struct<lo: bigint, hi: bigint>>"
+    others = marked_texts.filter("NOT may_hold").select("doc_id", "body", F.lit(False).alias("copied"), F.lit(None).cast(kind).alias("spans"))
+    holding = marked_texts.filter("may_hold").join(broadcast_if_small(found), ["t1", "t2"], "left")
+    holding = holding.select("doc_id", "body", F.coalesce("copied", F.lit(False)).alias("copied"), "spans")
+    return holding.unionByName(others).mapInArrow(_cut(threshold), RESULT)
