@@ -6,13 +6,17 @@ claims and the lowest and highest of them. Reviewers open the partners of the
 claims they pick with :func:`partners_of`.
 
 Counts run over histogram cells (distinct values). A person and metric with very
-many of them is spread over many tasks by range.
+many of them is spread over many tasks by range. Whether two numbers conflict is
+judged on the doubles themselves; each value's nearest conflicting doubles are found
+exactly, so no tolerance and no other person's value plays a part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,60 +58,98 @@ def percent_claims(segments: DataFrame, metrics: Sequence[tuple[str, str]] = SPO
 
 
 def _keyed(claims: DataFrame) -> DataFrame:
-    """Claims with a video key without nulls."""
-    return claims.withColumn("video", F.coalesce(F.col("video_id").cast("string"), F.lit("")))
+    """Claims with a number and a video key without nulls; null and NaN values agree and disagree with nothing."""
+    number = F.col("value").cast("double")
+    kept = claims.filter(number.isNotNull() & ~F.isnan(number))
+    return kept.withColumn("video", F.coalesce(F.col("video_id").cast("string"), F.lit("")))
 
 
-def _far(cells: DataFrame, keys: list[str], min_gap: float, margin: float, name: str) -> DataFrame:
-    """Per distinct value of a group the number of rows at least ``min_gap`` away.
+def _ordinals(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order, one apart for neighbouring doubles."""
+    bits = x.view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
 
-    Values beyond the gap by more than ``margin``, which covers all rounding, are
-    counted with running totals. The few values inside the margin are found by a
-    join on a fine grid and judged on the doubles themselves.
+
+def _doubles(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 0, np.int64(-(2**63)) - n, n).view(np.float64)
+
+
+def nearest_apart(values: np.ndarray, gap: float) -> np.ndarray:
+    """For each value the greatest double at least ``gap`` below it, as the subtraction of doubles judges; NaN if none.
+
+    The rounded difference never grows with the smaller number, so the doubles that
+    are far enough form one stretch from minus infinity up, and its end is found by
+    halving, exactly, whatever the magnitudes.
+    """
+    far = lambda at: values - at >= gap
+    with np.errstate(invalid="ignore", over="ignore"):
+        low, high = _ordinals(np.full_like(values, -np.inf)), _ordinals(values)
+        some = far(np.full_like(values, -np.inf))
+        for _ in range(64):
+            # the mean without overflow
+            middle = (low >> 1) + (high >> 1) + (low & high & 1)
+            good = far(_doubles(middle))
+            low, high = np.where(good, middle, low), np.where(good, high, middle)
+    return np.where(some, _doubles(low), np.nan)
+
+
+def _bounds(min_gap: float):
+    """``low`` and ``high``: the nearest doubles that conflict with a value from below and above; null if none."""
+
+    @F.pandas_udf("low double, high double")
+    def bounds(value: pd.Series) -> pd.DataFrame:
+        v = value.to_numpy("float64")
+        found = pd.DataFrame({"low": nearest_apart(v, min_gap), "high": -nearest_apart(-v, min_gap)})
+        return found.astype(object).where(found.notna(), None)
+
+    return bounds
+
+
+def _far(cells: DataFrame, keys: list[str], min_gap: float, name: str) -> DataFrame:
+    """Per distinct value of a group the number of rows at least ``min_gap`` away, by one running total.
+
+    Every value asks at two exact places: how many rows lie up to ``low``, and how many
+    below ``high``. Values sort between the two kinds of questions of one place.
     """
-    low, high = F.col("value") - (min_gap + margin), F.col("value") + (min_gap + margin)
-    none = F.lit(None).cast("double")
-    points = (
-        cells.select(*keys, F.col("value").alias("x"), F.lit(1).alias("kind"), "n", none.alias("of"))
-        .unionByName(cells.select(*keys, low.alias("x"), F.lit(2).alias("kind"), F.lit(0).alias("n"), F.col("value").alias("of")))
-        .unionByName(cells.select(*keys, high.alias("x"), F.lit(0).alias("kind"), F.lit(0).alias("n"), F.col("value").alias("of")))
+    asked = cells.withColumn("at", _bounds(min_gap)("value"))
+    asks = F.array(
+        F.struct(F.col("value").alias("x"), F.lit(1).alias("kind"), F.col("n").alias("n")),
+        F.struct(F.col("at.low").alias("x"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("n")),
+        F.struct(F.col("at.high").alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n")),
     )
+    points = asked.select(*keys, "value", F.explode(asks).alias("p")).select(*keys, "value", "p.*").filter("x IS NOT NULL")
     upto = running_total(points, keys, ["x", "kind"], "n", "upto").filter("kind <> 1")
-    pair = upto.groupBy(*keys, F.col("of").alias("value")).agg(
+    pair = upto.groupBy(*keys, "value").agg(
         F.max(F.when(F.col("kind") == 2, F.col("upto"))).alias("below"),
-        F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("not_above"),
+        F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("under_high"),
     )
     totals = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
-    sure = pair.join(totals, keys).select(*keys, "value", (F.col("below") + F.col("total") - F.col("not_above")).alias("sure"))
-
-    grid = 4 * margin
-    spots = [F.floor((F.col("value") + side * min_gap) / grid) + step for side in (-1, 1) for step in (-1, 0, 1)]
-    asked = cells.select(*keys, "value", F.explode(F.array_distinct(F.array(*spots))).alias("spot"))
-    held = cells.select(*keys, F.col("value").alias("other"), F.col("n").alias("others"), F.floor(F.col("value") / grid).alias("spot"))
-    apart = F.abs(F.col("value") - F.col("other"))
-    inside = (F.col("other") > low) & (F.col("other") < high)
-    edge = asked.join(held, [*keys, "spot"]).filter((apart >= min_gap) & inside)
-    edges = edge.groupBy(*keys, "value").agg(F.sum("others").alias("edge"))
-    counted = sure.join(edges, [*keys, "value"], "left")
-    return counted.select(*keys, "value", (F.col("sure") + F.coalesce("edge", F.lit(0))).alias(name))
+    above = F.col("total") - F.coalesce("under_high", F.col("total"))
+    return pair.join(totals, keys).select(*keys, "value", (F.coalesce("below", F.lit(0)) + above).alias(name))
 
 
 def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
-    """Per (person, metric, video, value): claims and exact number of conflicting claims, whatever the values' decimals."""
-    keyed = _keyed(claims).filter(F.col("value").isNotNull())
+    """Per (person, metric, video, value): claims and exact number of conflicting claims, whatever the values' size or decimals."""
+    if not min_gap > 0:
+        raise ValueError("the gap must be positive")
+    keyed = _keyed(claims).withColumn("value", F.col("value").cast("double"))
     cells = cut_lineage(keyed.groupBy(*GROUP, "video", "value").agg(F.count("*").alias("n")))
     overall = cells.groupBy(*GROUP, "value").agg(F.sum("n").alias("n"))
-    largest = cells.agg(F.max(F.abs("value"))).first()[0] or 0.0
-    margin = max(largest, min_gap) * 2.0**-48
-    found = _far(cells, [*GROUP, "video"], min_gap, margin, "_own").join(
-        _far(overall, GROUP, min_gap, margin, "_all"), [*GROUP, "value"]
-    )
-    counted = found.withColumn("conflicts", F.col("_all") - F.col("_own"))
-    return counted.join(cells.withColumnRenamed("n", "claims"), [*GROUP, "video", "value"]).select(
-        *GROUP, "video", "value", "claims", "conflicts"
+    # most videos state one number a metric, or numbers that agree: these have no conflict inside the video
+    wide = cells.groupBy(*GROUP, "video").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wide = wide.filter(apart(F.col("hi"), F.col("lo"), min_gap)).drop("lo", "hi")
+    inside = _far(cells.join(wide, [*GROUP, "video"], "left_semi"), [*GROUP, "video"], min_gap, "_own")
+    counted = cells.join(_far(overall, GROUP, min_gap, "_all"), [*GROUP, "value"]).join(inside, [*GROUP, "video", "value"], "left")
+    return counted.select(
+        *GROUP, "video", "value", F.col("n").alias("claims"), (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("conflicts")
     )
 
 
+def apart(high: Column, low: Column, min_gap: float) -> Column:
+    """The difference of two numbers reaches the gap; two equal infinities do not differ."""
+    return F.coalesce((high - low >= min_gap) & ~F.isnan(high - low), F.lit(False))
+
+
 def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Claims with at least one conflicting claim, its count and the extreme partners."""
     cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
@@ -124,8 +166,8 @@ def conflict_queue(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataF
     return queue.select(
         *claims.columns,
         "conflicts",
-        F.when(F.col("value") - low["value"] >= min_gap, low["value"]).alias("lowest_partner"),
-        F.when(high["value"] - F.col("value") >= min_gap, high["value"]).alias("highest_partner"),
+        F.when(apart(F.col("value"), low["value"], min_gap), low["value"]).alias("lowest_partner"),
+        F.when(apart(high["value"], F.col("value"), min_gap), high["value"]).alias("highest_partner"),
         F.lit("candidate").alias("status"),
     )
 
@@ -174,5 +216,5 @@ def partners_of(picked: DataFrame, claims: DataFrame, min_gap: float = MIN_PERCE
     return (
         b.join(a, GROUP)
         .filter(~F.col("a_video_id").eqNullSafe(F.col("b_video_id")))
-        .filter(F.abs(F.col("a_value") - F.col("b_value")) >= min_gap)
+        .filter(apart(F.greatest("a_value", "b_value"), F.least("a_value", "b_value"), min_gap))
     )

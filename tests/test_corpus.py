@@ -1,8 +1,10 @@
 """Topic map, ranking claims, conflicting numbers and search, with Hebrew text."""
 
 import itertools
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factledger.plans import conflicts, corpus
@@ -196,3 +198,57 @@ def test_status(spark):
     r = corpus.corpus_status(interviews(spark), findings, activity, now).collect()[0]
     assert (r.transcripts, r.people_with_interviews, r.total, r.contradicted, r.confirmed) == (4, 3, 2, 1, 1)
     assert r.active and r.last_activity_min == 10.0
+
+
+def conflicts_by_hand(data, gap):
+    """start -> (conflicts, lowest, highest) of (person, metric, value, video, start) rows, by all pairs."""
+    out = {}
+    for p, m, v, video, start in data:
+        if v is None or math.isnan(v):
+            continue
+        others = [w for q, n, w, other, _ in data if (q, n) == (p, m) and other != video and w is not None and not math.isnan(w)]
+        far = [w for w in others if not math.isnan(v - w) and abs(v - w) >= gap]
+        if far:
+            below, above = [w for w in far if w < v], [w for w in far if w > v]
+            out[start] = (len(far), min(below, default=None), max(above, default=None))
+    return out
+
+
+def number_rows(spark, data):
+    return spark.createDataFrame(data, "person_id long, metric string, value double, video_id string, start long")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_conflicts_between_numbers_of_all_sizes(spark, seed):
+    rng = random.Random(seed)
+    odd = [float("nan"), float("inf"), float("-inf"), 1e18, -1e18, 1e308, -1e308, 5e-324, 0.0, -0.0, None, 3.0, 3.0000000000000004]
+    near = [0.1 * i for i in range(80)] + [2.9999999999999996, 1e-17, 1e-9, 3 + 1e-9, 1e18 + 128, 6.0, -3.0]
+    data = [(rng.randrange(2), "m", rng.choice(odd + near * 2), f"v{rng.randrange(6)}", i) for i in range(260)]
+    found = conflicts.conflict_queue(number_rows(spark, data), 3.0).collect()
+    got = {r.start: (r.conflicts, r.lowest_partner, r.highest_partner) for r in found}
+    assert got == conflicts_by_hand(data, 3.0)
+
+
+def test_another_persons_nan_or_outlier_changes_nothing(spark):
+    own = [(1, "m", 10.0, "a", 1), (1, "m", 20.0, "b", 2), (1, "m", 11.0, "c", 3)]
+    for other in (float("nan"), 1e18, float("inf")):
+        claims = number_rows(spark, own + [(2, "x", other, "d", 4)])
+        assert {r.start: r.conflicts for r in conflicts.conflict_queue(claims).collect()} == {1: 1, 2: 2, 3: 1}
+        assert [r.pairs for r in conflicts.conflict_totals(claims).collect()] == [2]
+        assert conflicts.conflicting_people(claims).first()[0] == 1
+
+
+def test_a_hot_person_is_counted_without_pairs(spark):
+    n = 20000
+    data = spark.range(n).selectExpr("1 AS person_id", "'m' AS metric", "CAST(id % 100 AS DOUBLE) AS value", "CAST(id % 7 AS STRING) AS video_id", "id AS start")
+    total = conflicts.conflict_totals(data.union(data.limit(1).selectExpr("1", "'m'", "1e18D", "'x'", "-1L"))).first().pairs
+    kinds = {}
+    for i in range(n):
+        kinds[i % 100, i % 7] = kinds.get((i % 100, i % 7), 0) + 1
+    want = sum(a * b for (v, x), a in kinds.items() for (w, y), b in kinds.items() if x != y and abs(v - w) >= 3) // 2
+    assert total == want + n
+
+
+def test_the_gap_must_be_positive(spark):
+    with pytest.raises(ValueError, match="positive"):
+        conflicts.conflict_totals(number_rows(spark, []), 0.0)
