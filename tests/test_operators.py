@@ -1,5 +1,7 @@
 """Ranking and merge operators, with one group holding most rows."""
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -178,3 +180,35 @@ def test_containing(spark, rows):
     words = spark.createDataFrame([("abcd",), ("z",), ("",), ("ef",), ("abcx",), (None,)], "w string")
     wanted = [(t, w) for t in ("abcdef", "xyz", "", "abc") for w in ("abcd", "z", "", "ef", "abcx") if w in t]
     assert rows(containing(texts, "t", words, "w")) == sorted(wanted, key=repr)
+
+
+def containing_cases():
+    texts = ["abcabc", "", None, "שלום עולם", "x" * 500, "aab", "ab", "nested words nest", "Straße", "a\nb", "abcabc"]
+    words = ["a", "ab", "abc", "", None, "עולם", "nest", "sted w", "xx", "missing", "ß", "\n", "ab", "abcabcabc", "x" * 500]
+    wanted = {(t, w) for t in texts for w in words if t is not None and w is not None and w in t}
+    return texts, words, sorted(wanted, key=repr)
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60, 24])
+def test_containing_by_automaton(spark, rows, part_bytes):
+    from factledger.operators.contains import containing
+
+    texts, words, wanted = containing_cases()
+    held = spark.createDataFrame([(t,) for t in texts], "t string")
+    asked = spark.createDataFrame([(w,) for w in words], "w string")
+    assert rows(containing(held, "t", asked, "w", part_bytes, 700)) == wanted
+    assert rows(containing(held.limit(0), "t", asked, "w", part_bytes)) == []
+    assert rows(containing(held, "t", asked.limit(0), "w", part_bytes)) == []
+
+
+def test_containing_is_linear_in_long_texts(spark):
+    from factledger.operators.contains import containing
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=100_000)) for _ in range(12)]
+    words = sorted({"".join(rng.choices("abcdefgh ", k=rng.randrange(3, 9))) for _ in range(2000)})
+    held = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = containing(held, "t", spark.createDataFrame([(w,) for w in words], "w string"), "w")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert found.count() == sum(w in t for t in texts for w in words)
