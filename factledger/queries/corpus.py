@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factledger.functions.text import transcript_parts
+from factledger.operators import postings
 from factledger.operators.merge import union_first
 from factledger.operators.ranking import with_position
 from factledger.plans import conflicts, corpus, listings
 from factledger.queries import register
+from factledger.session import cut_lineage
 
 # Keywords and patterns that occur in the driver's corpus.
 TOPICS = {
@@ -212,32 +214,48 @@ def search_index(v):
     return corpus.search_index(v.interviews())[1]
 
 
-@register(
-    "segment_search",
-    "segments",
-    f"""WITH {LINES} SELECT person_id, name, video_id, title, pos, CAST(format('{{:.1f}}', start) AS DOUBLE) AS start, text,
-      url || '&t=' || CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS BIGINT) AS link,
-      printf('%02d:%02d', CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE) / 60) AS BIGINT),
-        CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS BIGINT) % 60) AS clock
-    FROM l WHERE contains(text, 'heed') ORDER BY CAST(person_id AS VARCHAR), coalesce(published_at, '') DESC, video_id, pos
-    LIMIT 200""",
-)
+ORACLE_SEARCH = f"""WITH {LINES} SELECT person_id, name, video_id, title, pos, CAST(format('{{:.1f}}', start) AS DOUBLE) AS start, text,
+  url || '&t=' || CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS BIGINT) AS link,
+  printf('%02d:%02d', CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE) / 60) AS BIGINT),
+    CAST(floor(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS BIGINT) % 60) AS clock
+FROM l WHERE contains(text, 'heed') ORDER BY CAST(person_id AS VARCHAR), coalesce(published_at, '') DESC, video_id, pos
+LIMIT 200"""
+
+
+@register("segment_search", "segments", ORACLE_SEARCH)
 def segment_search(v):
     """The first 200 hits of a search in index order, with deep links."""
     return corpus.search(corpus.search_segments(v.interviews()), "heed")
 
 
-@register(
-    "person_hits",
-    "segments",
-    f"""WITH {LINES} SELECT person_id, video_id, count(*) AS hits, min(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS first_start
-    FROM l WHERE contains(text, 'ing') GROUP BY ALL""",
-)
+ORACLE_HITS = f"""WITH {LINES} SELECT person_id, video_id, count(*) AS hits, min(CAST(format('{{:.1f}}', start) AS DOUBLE)) AS first_start
+FROM l WHERE contains(text, 'ing') GROUP BY ALL"""
+
+
+@register("person_hits", "segments", ORACLE_HITS)
 def person_hits(v):
     """Hits per interview for a profile search."""
     return corpus.person_hits(corpus.search_segments(v.interviews()), "ing")
 
 
+def _posted(v):
+    """A stored posting index of all segments, with a bucket for about 4,000 of them, 4,096 at most."""
+    segments = cut_lineage(corpus.search_segments(v.interviews()))
+    return postings.write_postings(segments, buckets=min(4096, max(8, segments.count() // 4000)))
+
+
+@register("segment_search_posted", "segments", ORACLE_SEARCH)
+def segment_search_posted(v):
+    """The same search through the stored postings."""
+    return corpus.search(postings.candidates(_posted(v), "heed"), "heed")
+
+
+@register("person_hits_posted", "segments", ORACLE_HITS)
+def person_hits_posted(v):
+    """The same hits per interview through the stored postings."""
+    return corpus.person_hits(postings.candidates(_posted(v), "ing"), "ing")
+
+
 # --- reports ----------------------------------------------------------------------------
 @register(
     "person_index",
