@@ -8,6 +8,7 @@ from factledger.functions import casts
 from factledger.queries import register
 from factledger.session import new_folder
 from factledger.sources import ingest, landed, mappers, sinks
+from factledger.sources.bucketed import BucketedTable
 
 T0, T1 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -59,15 +60,13 @@ def map_people(v):
     )
 
 
-@register(
-    "upsert_people",
-    "",
-    """SELECT c_custkey AS person_id, 'Customer ' || split_part(c_name, '#', 2) AS full_name,
-      CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS gender, 'y' AS kept_id,
-      CASE WHEN c_acctbal < 0 THEN '2024-02-01' ELSE '2024-01-01' END AS fetched FROM customer""",
-)
-def upsert_people(v):
-    """A second fetch with empty names and no id map: the name and the map survive, provenance moves on."""
+PEOPLE_SQL = """SELECT c_custkey AS person_id, 'Customer ' || split_part(c_name, '#', 2) AS full_name,
+  CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS gender, 'y' AS kept_id,
+  CASE WHEN c_acctbal < 0 THEN '2024-02-01' ELSE '2024-01-01' END AS fetched FROM customer"""
+
+
+def people_fetches(v):
+    """A first fetch of all people, and a second one of some with empty names and no id map."""
     c = v.table("customer")
     name = F.split("c_name", "#")
     first = c.select(
@@ -86,7 +85,10 @@ def upsert_people(v):
     again = c.filter(F.col("c_acctbal") < 0).select(
         F.to_json(F.struct(F.col("c_custkey").cast("string").alias("ID"))).alias("payload")
     )
-    merged = ingest.ingest_people(stored, mappers.map_people(_stamped(again, T1, "Person")))
+    return stored, mappers.map_people(_stamped(again, T1, "Person"))
+
+
+def shown_people(merged):
     return merged.select(
         "person_id",
         "full_name",
@@ -96,6 +98,12 @@ def upsert_people(v):
     )
 
 
+@register("upsert_people", "", PEOPLE_SQL)
+def upsert_people(v):
+    """A second fetch with empty names and no id map: the name and the map survive, provenance moves on."""
+    return shown_people(ingest.ingest_people(*people_fetches(v)))
+
+
 def _roles(v, *flags: str):
     rows = v.table("lineitem").filter(F.col("l_returnflag").isin(*flags))
     return rows.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.min("l_shipdate").alias("d")).select(
@@ -249,14 +257,12 @@ def insert_vote_events(v):
     return out.select("event_id", "title", F.col("vote_date").cast("string").alias("vote_date"), "session_num", "result")
 
 
-@register(
-    "upsert_votes",
-    "",
-    """SELECT l_suppkey AS person_id, l_orderkey AS event_id, CASE max(l_linenumber) % 5 WHEN 0 THEN 'na' WHEN 1 THEN 'for'
-      WHEN 2 THEN 'against' WHEN 3 THEN 'abstain' ELSE 'absent' END AS stance FROM lineitem GROUP BY 1, 2""",
-)
-def upsert_votes(v):
-    """Roll-call payloads joined on the padded member key; the last stance per (person, event) is kept."""
+VOTES_SQL = """SELECT l_suppkey AS person_id, l_orderkey AS event_id, CASE max(l_linenumber) % 5 WHEN 0 THEN 'na' WHEN 1 THEN 'for'
+  WHEN 2 THEN 'against' WHEN 3 THEN 'abstain' ELSE 'absent' END AS stance FROM lineitem GROUP BY 1, 2"""
+
+
+def vote_fetches(v):
+    """Roll-call payloads joined on the padded member key, in two fetches."""
     ids = v.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_suppkey").alias("votes_id"))
     payload = F.to_json(
         F.struct(
@@ -273,8 +279,15 @@ def upsert_votes(v):
     stamped = _stamped(landed.roll_call(ids, rows), T0, "Rollcall").withColumn("fetched_at", F.col("at"))
     new = mappers.map_votes(stamped)
     early = F.col("fetched_at") <= F.timestamp_seconds(F.lit(3))
-    stored = ingest.ingest_votes(new.limit(0), new.filter(early))
-    return ingest.ingest_votes(stored, new.filter(~early)).select("person_id", "event_id", "stance")
+    return new.filter(early), new.filter(~early)
+
+
+@register("upsert_votes", "", VOTES_SQL)
+def upsert_votes(v):
+    """Roll-call payloads of two fetches; the last stance per (person, event) is kept."""
+    early, late = vote_fetches(v)
+    stored = ingest.ingest_votes(early.limit(0), early)
+    return ingest.ingest_votes(stored, late).select("person_id", "event_id", "stance")
 
 
 @register(
@@ -289,13 +302,12 @@ def missing_headers(v):
     return landed.with_headers(v.votes(), headers)[1]
 
 
-@register(
-    "upsert_statistics",
-    "data_points",
-    """WITH k AS (SELECT metric, dimension_type, dimension_value, period, arg_max(value, pos) * 2 AS value,
-        arg_max(notes, pos) AS notes, arg_min(source_org, pos) AS source_org FROM data_points GROUP BY ALL)
-    SELECT * FROM k""",
-)
+STATISTICS_SQL = """WITH k AS (SELECT metric, dimension_type, dimension_value, period, arg_max(value, pos) * 2 AS value,
+    arg_max(notes, pos) AS notes, arg_min(source_org, pos) AS source_org FROM data_points GROUP BY ALL)
+  SELECT * FROM k"""
+
+
+@register("upsert_statistics", "data_points", STATISTICS_SQL)
 def upsert_statistics(v):
     """A catalog loaded twice: values updated in place, null periods equal, other columns as first stored."""
     cols = ["metric", "dimension_type", "dimension_value", "period", "value", "unit", "notes", "source_url", "source_org"]
@@ -417,3 +429,35 @@ def findings_sink(v):
     return ingest.report(
         store=v.spark.read.parquet(store).select("pos"), public=v.spark.read.schema(schema).json(public)
     )
+
+
+# --- the same merges into stored tables -------------------------------------------------------
+@register("stored_people", "", PEOPLE_SQL)
+def stored_people(v):
+    """Both fetches merged into a bucketed table; the second rewrites only the buckets it touches."""
+    first, second = people_fetches(v)
+    table = BucketedTable(v.spark, new_folder(v.spark, "people"), first.schema, ["person_id"])
+    for fetch in (first, second):
+        table.merge(fetch, ingest.ingest_people)
+    return shown_people(table.read())
+
+
+@register("stored_votes", "", VOTES_SQL)
+def stored_votes(v):
+    """Both fetches of votes merged into a table bucketed by person and event."""
+    early, late = vote_fetches(v)
+    table = BucketedTable(v.spark, new_folder(v.spark, "votes"), early.schema, ["person_id", "event_id"])
+    for fetch in (early, late):
+        table.merge(fetch, ingest.ingest_votes)
+    return table.read().select("person_id", "event_id", "stance")
+
+
+@register("stored_statistics", "data_points", STATISTICS_SQL)
+def stored_statistics(v):
+    """A catalog loaded twice into a bucketed table; null periods share a bucket."""
+    cols = ["metric", "dimension_type", "dimension_value", "period", "value", "unit", "notes", "source_url", "source_org"]
+    points = v.data_points().select(*cols, "pos")
+    table = BucketedTable(v.spark, new_folder(v.spark, "statistics"), points.select(*cols).schema, ingest.STATISTIC_KEY)
+    table.merge(points, ingest.ingest_statistics)
+    table.merge(points.withColumns({"value": F.col("value") * 2, "source_org": F.lit("later")}), ingest.ingest_statistics)
+    return table.read().select("metric", "dimension_type", "dimension_value", "period", "value", "notes", "source_org")
