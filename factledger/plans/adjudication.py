@@ -23,6 +23,7 @@ from factledger.constants import (
 from factledger.functions.numbers import float_text, round_half_even
 from factledger.operators.joins import broadcast_if_small
 from factledger.operators.ranking import numbered
+from factledger.session import cut_lineage
 
 PEER_KEYS = ["metric", "dimension_type"]
 VERDICT_COLUMNS = [
@@ -88,12 +89,21 @@ def considered_statistics(verdicts: DataFrame, statistics: DataFrame) -> DataFra
     return keys.join(statistics.select(*PEER_KEYS, "stat_id"), PEER_KEYS).select("statement_id", "stat_id")
 
 
+def ranked_statistics(statistics: DataFrame) -> DataFrame:
+    """The catalog with every statistic's place in its peer set, ranked and stored once for all that read it."""
+    return cut_lineage(peer_members(statistics.select("stat_id", *PEER_KEYS, "dimension_value", "value", "source_url")))
+
+
 def match_statistics(claims: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Attach to each claim its peer set and its own dimension's statistic.
+    """Attach to each claim its peer set and its own dimension's statistic."""
+    return match_ranked(claims, ranked_statistics(statistics))
+
+
+def match_ranked(claims: DataFrame, members: DataFrame) -> DataFrame:
+    """The same from a catalog ranked before.
 
     With both lookups broadcast the claims are not shuffled at all.
     """
-    members = peer_members(statistics.select("stat_id", *PEER_KEYS, "dimension_value", "value", "source_url"))
     sets = broadcast_if_small(peer_sets(members))
     own = broadcast_if_small(dimension_lookup(members))
     return claims.join(sets, PEER_KEYS, "left").join(own, [*PEER_KEYS, "dimension_value"], "left")
@@ -251,11 +261,16 @@ def verify(
     rejects = claims.filter(F.col("statement_id").isNull()).withColumn(
         "reject_reason", F.lit("a verdict must be tied to a stored statement")
     )
-    drafts = adjudicator(matcher(usable, statistics))
+    if matcher is match_statistics:  # one ranking serves the claims and the members
+        ranked = ranked_statistics(statistics)
+        matched, members = match_ranked(usable, ranked), ranked.select(*PEER_KEYS, "place", "stat_id")
+    else:
+        matched, members = matcher(usable, statistics), considered_members(statistics)
+    drafts = adjudicator(matched)
     verdicts = publish_gate(drafts, threshold, transcription_sources).withColumn(
         "statement_url", F.col("source_url")
     )
-    return verdicts.select(*VERDICT_COLUMNS), rejects, considered_members(statistics)
+    return verdicts.select(*VERDICT_COLUMNS), rejects, members
 
 
 def verdict_leaderboard(verdicts: DataFrame, people: DataFrame) -> DataFrame:
