@@ -137,13 +137,17 @@ def generate(prompts: DataFrame, gen: Callable[[str], str | None]) -> DataFrame:
     return prompts.mapInPandas(run, schema)
 
 
+#: The first bracketed region of a text.
+JSON_REGION = r"(?s)(\[.*\]|\{.*\})"
+
+
 # --- answers -------------------------------------------------------------------------------
 def json_candidates(answer: Column) -> list[Column]:
     """Places JSON may hide in model text: the fenced block, the whole text, the first bracketed region."""
     text = F.trim(F.coalesce(answer, F.lit("")))
     fenced = F.trim(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.+?)```", 1), F.lit("")))
     whole = F.coalesce(fenced, text)
-    region = F.nullif(F.regexp_extract(whole, r"(?s)(\[.*\]|\{.*\})", 1), F.lit(""))
+    region = F.nullif(F.regexp_extract(whole, JSON_REGION, 1), F.lit(""))
     return [whole, region]
 
 
@@ -155,9 +159,30 @@ def parse_json(answer: Column, schema: str) -> Column:
     return F.coalesce(*from_candidates)
 
 
-def json_text(answer: Column) -> Column:
-    """The valid JSON text hidden in an answer, or null."""
-    return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull(), c) for c in json_candidates(answer)])
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    They come out of a generator, which the optimizer neither repeats in later
+    columns nor moves filters through; a plain column of a costly expression is
+    copied into every place that reads it.
+    """
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select(*df.columns, "_once.*")
+
+
+def recovered(answers: DataFrame) -> DataFrame:
+    """Answers with ``_json``, the valid JSON text hidden in each, and ``_variant``, its parsed value; null when none."""
+    rows = once(answers, _whole=json_candidates(F.col("answer"))[0])
+    whole, region = F.col("_whole"), F.nullif(F.regexp_extract("_whole", JSON_REGION, 1), F.lit(""))
+    rows = once(rows, _first=F.try_parse_json(whole), _region=region)
+    known = F.col("_first").isNotNull()
+    rows = once(
+        rows,
+        _variant=F.when(known, F.col("_first")).otherwise(F.try_parse_json("_region")),
+        _text=F.when(known, F.col("_whole")).otherwise(F.col("_region")),
+    )
+    text = F.when(F.col("_variant").isNotNull(), F.col("_text"))
+    return rows.withColumn("_json", text).drop("_whole", "_first", "_region", "_text")
 
 
 CLAIM_LIST = "array<struct<quote:string,topic:string,claim:string,approx_seconds:int>>"
@@ -166,21 +191,22 @@ VERDICT = "struct<outcome:string,confidence:double,reason:string>"
 
 def parse_claims(answers: DataFrame) -> DataFrame:
     """Extracted claims, one row each; an object that wraps a list is unwrapped."""
-    text = json_text(F.col("answer"))
     wrapped = F.from_json(F.col("_json"), "map<string,string>")
     inner = F.get(F.filter(F.map_values(wrapped), lambda v: F.ltrim(v).startswith("[")), 0)
     body = F.when(F.ltrim(F.col("_json")).startswith("["), F.col("_json")).otherwise(inner)
-    rows = answers.withColumn("_json", text).withColumn("_list", F.from_json(body, CLAIM_LIST))
+    rows = once(recovered(answers), _list=F.from_json(body, CLAIM_LIST))
     return rows.select(*[c for c in answers.columns if c not in ("answer", "prompt")], F.inline("_list"))
 
 
 def parse_verdicts(answers: DataFrame) -> DataFrame:
     """Verdict fields; anything that is not an object is unverifiable, and only a JSON integer is an index."""
-    text = json_text(F.col("answer"))
-    verdict = F.when(F.ltrim(text).startswith("{"), F.from_json(text, VERDICT))
-    found = F.try_variant_get(F.try_parse_json(text), "$.stat_index", "variant")
+    text = F.col("_json")
+    parsed = F.when(F.ltrim(text).startswith("{"), F.from_json(text, VERDICT))
+    found = F.try_variant_get("_variant", "$.stat_index", "variant")
     index = F.when(F.schema_of_variant(found) == "BIGINT", F.try_variant_get(found, "$", "bigint"))
-    return answers.select(
+    rows = once(recovered(answers), _verdict=parsed, _index=index)
+    verdict, index = F.col("_verdict"), F.col("_index")
+    return rows.select(
         *[c for c in answers.columns if c not in ("answer", "prompt", "topic_key")],
         F.coalesce(verdict["outcome"], F.lit("unverifiable")).alias("outcome"),
         index.alias("stat_index"),

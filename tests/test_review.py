@@ -293,3 +293,12 @@ def test_nearest_evidence_in_blocks(spark):
     whole, blocks = (sorted(map(tuple, evidence.nearest_evidence(c, e, 3, block=b).collect())) for b in (4096, 7))
     assert whole == blocks and len(whole) == 180
     assert evidence.nearest_evidence(c.limit(0), e, 3).count() == 0
+
+
+def test_answers_are_parsed_once(spark):
+    answers = spark.createDataFrame([(1, 'so: {"outcome": "consistent", "stat_index": 3, "reason": "r"} end')], "i int, answer string")
+    verdicts = factcheck.parse_verdicts(answers).filter("outcome <> 'unverifiable' AND stat_index > 0 AND reason <> ''")
+    assert [(r.outcome, r.stat_index, r.reason) for r in verdicts.collect()] == [("consistent", 3, "r")]
+    plan = verdicts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_json") + plan.lower().count("jsontostructs") == 1
+    assert plan.lower().count("parse_json") <= 2
