@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from factledger.operators.joins import broadcast_if_small
 from factledger.operators.merge import not_in
 from factledger.operators.ranking import top_rows
+from factledger.streaming.ledger import KeyLedger
 
 
 def arriving(
@@ -110,13 +111,15 @@ def process_unseen(
     then by content; the choice is written once and all tables follow from it.
     Rows for which ``failed`` holds go to the dead letters and are not marked, so
     :func:`retry_keys` brings them back. The processed table is written last; what
-    a batch without it has left behind is not :func:`committed`.
+    a batch without it has left behind is not :func:`committed`. It is a
+    :class:`KeyLedger`: a batch opens only the key files that may hold its keys.
     """
     spark = stream.sparkSession
+    ledger = KeyLedger(spark, processed, key)
 
     def step(batch: DataFrame, run: str, number: int) -> None:
         flag = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
-        fresh = unseen(batch, other_batches(spark, processed, run, number), key)
+        fresh = ledger.unseen(batch, run, number)
         marked = fresh.withColumn("_failed", flag)
         chosen = top_rows(marked, [key], ["_failed", *order, F.xxhash64(*fresh.columns)])
         choices = f"{checkpoint}/choices"
@@ -126,7 +129,7 @@ def process_unseen(
         append_batch(transform(done), out, run, number)
         if dead_letters:
             append_batch(held.filter("_failed").drop("_failed"), dead_letters, run, number)
-        append_batch(done.select(key), processed, run, number)
+        ledger.record(done, run, number)
 
     run_batches(stream, checkpoint, step)
 
