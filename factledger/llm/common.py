@@ -25,11 +25,11 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """Bound what one Arrow batch brings to a Python worker, for tables of very long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    if int(str(spark.conf.get(key)).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
 
 
 def whole(text: Column | str) -> Column:

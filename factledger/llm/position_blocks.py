@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFF)
 

@@ -30,7 +30,7 @@ that several rows hold goes whole.
 Names are 64-bit polynomial hashes compared only beside an equal rank (the first
 pair has 128 bits). A bitmap of the names that round 1 found repeated, ``max_bits`` at
 most, is sent to the tasks; when the corpus fills it, more blocks become rows, and
-the result is the same. Lookups are broadcast only under a measured size.
+the result is the same. Lookups meet the rows in merge joins at every size.
 
 Defined results: a null text is empty; empty texts and texts shorter than the
 threshold lose nothing; very long texts are read in pieces that overlap by a window,
@@ -55,10 +55,12 @@ from pyspark.sql import functions as F
 from factledger.llm.bitmaps import bits_for, build, marked
 from factledger.llm.common import small_batches, stored
 from factledger.llm.position_blocks import Blocks, Names, Piece, Shape, blocks, pieces
-from factledger.operators.joins import SMALL_BYTES, broadcast_if_small, table_bytes
+from factledger.operators.joins import SMALL_BYTES, table_bytes
 from factledger.operators.ranking import numbered
 
 MAX_BITS = 28
+#: Bytes of text that one Arrow batch brings to a worker.
+BATCH_BYTES = 4 << 20
 ROWS = "t1 bigint, t2 bigint, front bigint, low int, high int, n0 bigint, n1 bigint, hull bigint"
 EDGES = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, settled boolean, edge binary, has_left int, has_right int"
 PARTS = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, part int, name bigint, hull bigint, settled boolean, edge binary"
@@ -169,9 +171,9 @@ def rerank(rows: DataFrame, core: list[str], label: str) -> DataFrame:
     bounds = [F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"), F.min("f_min").alias("f_min"), F.max("f_max").alias("f_max")]
     cores = groups.groupBy(*core).agg(*bounds, F.bool_or(F.col("live") & ~F.col("done")).alias("open")).filter(_several())
     ranks = numbered(cores.select(*core, "open"), core, name="new_rank")
-    found = groups.select(*core, "hull", "done", F.col("t_min").alias("first")).join(broadcast_if_small(ranks), core)
-    found = broadcast_if_small(stored(found, f"{label}-ranks"))
-    keyed = rows.join(found, [*core, "hull"])
+    found = groups.select(*core, "hull", "done", F.col("t_min").alias("first")).join(ranks.hint("merge"), core)
+    # a merge join at every size; adaptive execution splits a partition with a hot pair
+    keyed = rows.join(stored(found, f"{label}-ranks").hint("merge"), [*core, "hull"])
     lead = F.col("done") & (F.col("first") == F.col("t1"))
     return stored(keyed.withColumn("lead", lead).drop("first", *core).withColumnRenamed("new_rank", "rank"), label)
 
@@ -201,7 +203,7 @@ def _edges(texts: DataFrame, open_: DataFrame, firsts: DataFrame, shape: Shape)
     lists = open_.groupBy("t1", "t2").agg(F.collect_set(F.struct(*fields)).alias("held"))
     lists = stored(lists.join(firsts, ["t1", "t2"]).withColumnRenamed("doc_id", "first_id"), "open-places")
     few = _holders(lists, texts).filter("may_hold").drop("may_hold")
-    joined = few.join(lists, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    joined = few.join(lists.hint("merge"), ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
     return joined.select("t1", "t2", "body", "held").mapInArrow(_edge_rows(shape), EDGES)
 
 
@@ -337,7 +339,7 @@ def repeated_spans(texts: DataFrame, groups: DataFrame, shape: Shape) -> DataFra
     places = _place_rows(_open(decided_parts.withColumn("part", F.col("part_no"))), shape)
     keys = ["rank", "step", "edge"]
     again = stored(_places(places, keys).filter(_several()).select(*keys), "places")
-    last = places.filter("NOT settled").join(broadcast_if_small(again), keys, "left_semi")
+    last = places.filter("NOT settled").join(again.hint("merge"), keys, "left_semi")
 
     size = F.least(F.lit(shape.part), shape.block - F.col("part_no") * shape.part)
     covered = (
@@ -386,7 +388,7 @@ def _cut(threshold: int):
 
 def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 per document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     shape = Shape(threshold)
     texts = _texts(docs)
     grouped = texts.select("t1", "t2", "doc_id").groupBy("t1", "t2")
@@ -399,6 +401,6 @@ def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
     marked_texts = _holders(found, texts)
     kind = "array<struct<lo: bigint, hi: bigint>>"
     others = marked_texts.filter("NOT may_hold").select("doc_id", "body", F.lit(False).alias("copied"), F.lit(None).cast(kind).alias("spans"))
-    holding = marked_texts.filter("may_hold").join(broadcast_if_small(found), ["t1", "t2"], "left")
+    holding = marked_texts.filter("may_hold").join(found.hint("merge"), ["t1", "t2"], "left")
     holding = holding.select("doc_id", "body", F.coalesce("copied", F.lit(False)).alias("copied"), "spans")
     return holding.unionByName(others).mapInArrow(_cut(threshold), RESULT)
