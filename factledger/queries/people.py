@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factledger import schemas
+from factledger.constants import OFFICE_PREFIXES
 from factledger.operators.merge import append_unnamed
 from factledger.operators.ranking import with_position
 from factledger.plans import listings, people, scorecard
@@ -471,6 +472,38 @@ def office_holders(v):
     )
 
 
+@register(
+    "ministers",
+    "",
+    f"""WITH r AS (SELECT DISTINCT l_suppkey AS person_id, p_name, p_size % 2 AS kind, l_linestatus, l_returnflag
+      FROM lineitem JOIN part ON l_partkey = p_partkey), held AS (
+      SELECT person_id, '{OFFICE_PREFIXES[0]} ' || p_name AS "position", p_name AS ministry FROM r
+      WHERE kind = 0 AND l_returnflag = 'R' AND l_linestatus = 'F')
+    SELECT h.person_id, CASE WHEN h.person_id % 2 = 0 THEN s_name WHEN h.person_id % 3 = 0 THEN 'Person ' || h.person_id ELSE '' END AS name,
+      "position", ministry, '2020-01-01' AS start_date, 'https://feed.example/' || h.person_id AS source,
+      row_number() OVER (ORDER BY "position", h.person_id) AS place
+    FROM held h JOIN supplier ON s_suppkey = h.person_id""",
+)
+def ministers(v):
+    """Office holders with a name from the roster, else from the person table, else none, in order of office."""
+    part = v.table("part").select("p_partkey", "p_name", (F.col("p_size") % 2).alias("kind"))
+    rows = v.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("l_suppkey").alias("person_id"), "p_name", "kind", "l_linestatus", "l_returnflag").distinct()
+    office = F.when(F.col("kind") == 0, F.concat(F.lit(f" {OFFICE_PREFIXES[0]} "), "p_name")).otherwise(F.col("p_name"))
+    roles = rows.select(
+        "person_id",
+        office.alias("position_desc"),
+        F.when(F.col("l_linestatus") == "F", F.col("p_name")).alias("ministry_name"),
+        (F.col("l_returnflag") == "R").alias("is_current"),
+        F.lit("2020-01-01").alias("start_date"),
+        F.concat(F.lit("https://feed.example/"), F.col("person_id").cast("string")).alias("source_url"),
+    )
+    s = v.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"))
+    roster = s.filter("person_id % 2 = 0").withColumn("pos", F.col("person_id"))
+    persons = s.filter("person_id % 3 = 0").select("person_id", F.concat(F.lit("Person "), F.col("person_id").cast("string")).alias("full_name"))
+    return with_position(people.ministers(roles, roster, persons), "place")
+
+
 @register(
     "append_figures",
     "",
