@@ -25,6 +25,15 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once everything that reads them is stored itself."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """Bound what one Arrow batch brings to a Python worker, for tables of very long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

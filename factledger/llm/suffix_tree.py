@@ -20,9 +20,12 @@ and with the probability one level up by joins.
 Scoring is a sum of looked-up figures: a word adds its logarithm at the root, a
 state that stays adds the logarithm of what it leaves to its parent, and a successor
 that the state has counted adds the difference to its true probability. The most
-frequent ``CACHED`` keys are sent to the workers, all others meet their figures in
-a join; a bitmap of fixed size spares keys that have none the way there. Both only
-save work: no bound of theirs changes a result.
+frequent ``CACHED`` keys are sent to the workers. All others are asked for by
+bucket: a task sends each of its keys once, with the texts that hold it, to the
+figures of the key's bucket, and only sums per text come back; the number of buckets
+follows the tokens. A bitmap of fixed size spares keys that have no figure the way
+there. All this only saves work: no bound of it changes a result. Stored tables go
+as soon as all that reads them is stored.
 
 ``learn`` gives the same model in memory, for small corpora.
 
@@ -47,7 +50,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm.common import fold, row_bytes, small_batches, stored
+from factledger.llm.common import fold, release, row_bytes, small_batches, stored
 
 END = ""
 ADD = 0.1
@@ -65,7 +68,9 @@ BITS = 26
 CHUNK = 18
 DIGESTS = 500_000
 TURN = 11
-SUMS = "struct<known: bigint, base: double, score: double, others: array<bigint>>"
+BUCKET = 1 << 22  # look-ups that share a bucket, at most, on average
+ASKED = "bucket int, texts binary, known binary, base binary, score binary, keys binary, times binary, rows binary"
+ASKED_COLUMNS = [c.split()[0] for c in ASKED.split(", ")]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -446,6 +451,8 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
         gain = F.col("gain") - F.col("followed") * F.log(F.col("n")) - penalty * F.col("successors")
         states = contexts.join(sums, "key").select("key", "n", "suffix", (1 - F.col("own") / F.col("n")).alias("rest"), (gain > 0).alias("passed"))
         states = stored(states, "states", compression="zstd")
+        if level > 1:
+            release(contexts)
         above = states.select(F.col("key").alias("context"), F.col("n").alias("_n"), F.col("n").alias("total"), "rest")
         p = (n - DISCOUNT) / F.col("total") + F.col("rest") * F.col("p")
         more = F.log10(p / F.col("p")) - F.log10("rest")
@@ -454,7 +461,9 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
         found.append((states, entries))
         _free(encoded.sparkSession)
         shorter = entries.select("key", "n", "p")
-        contexts = pairs.select("key", "n", "suffix").filter(F.col("n") >= context_min)
+        if level < depth:
+            contexts = stored(pairs.select("key", "n", "suffix").filter(F.col("n") >= context_min), "contexts", compression="zstd")
+        release(pairs)
     longer = None
     for states, entries in reversed(found):
         stays = states.filter("passed").select("key")
@@ -467,6 +476,7 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
         above = staying.select(F.col("key").alias("context"), F.col("n").alias("_n"))
         kept = _meet(entries, above, "context", max(share, _floor(staying, COMMON)))
         kept = stored(kept.select("key", "n", F.col("more").alias("score")), "staying-successors", compression="zstd")
+        release(states, entries)
         figures.append(kept.select("key", "n", none, "score"))
     out = figures[0]
     for more in figures[1:]:
@@ -474,33 +484,88 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
     return out
 
 
-def _adder(cached: Broadcast, marks: Broadcast, depth: int):
-    def add(rows: pd.Series) -> pd.DataFrame:
-        """Sums of the cached figures per text, and the keys that may have others."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as all their first bytes, all their second bytes and so on: high bytes that agree compress away."""
+    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _per_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, *(np.bincount(at, v, len(keys)) for v in values)
+
+
+def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per text the sums of the cached figures, and per bucket the keys that may have others, with the texts that hold them."""
         keys, base, score = cached.value
-        codes, place, starts = _texts(rows)
-        sums = np.zeros((3, len(codes)))
-        others, owners = [], []
-        text = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(codes))))
-        for k, wanted in enumerate(_last(codes, depth + 1)):
-            here = np.flatnonzero(place >= k)
-            here = here[_marked(marks.value, wanted[here])]
-            at = _find(keys, wanted[here])
-            hit = here[at >= 0]
-            at, miss = at[at >= 0], here[at < 0]
-            sums[0, hit] += base[at] > 0
-            sums[1, hit] += base[at]
-            sums[2, hit] += score[at]
-            others.append(wanted[miss])
-            owners.append(text[miss])
-        sums = np.add.reduceat(sums, starts, axis=1) if len(codes) else np.zeros((3, len(rows)))
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(1, len(rows)))
-        split = np.split(np.concatenate(others)[order], cuts) if len(rows) else []
-        return pd.DataFrame({"known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2], "others": list(split)})
-
-    return F.pandas_udf(add, SUMS)
+        texts: list[tuple] = []
+        wanted: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            sums = [np.concatenate(c) for c in zip(*texts, strict=True)]
+            key, row = (np.concatenate(c) for c in zip(*wanted, strict=True))
+            texts.clear()
+            wanted.clear()
+            order = np.argsort(key, kind="stable")
+            order = order[np.argsort(key[order] % buckets, kind="stable")]
+            key, row = key[order], row[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            times = np.diff(np.append(first, len(key)))
+            home = key[first] % buckets
+            out = [(int(sums[0][0] % buckets), *map(_planes, sums[:2]), *(c.tobytes() for c in sums[2:]), None, None, None)]
+            cuts = np.searchsorted(home, np.arange(buckets + 1))
+            for bucket in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[bucket], cuts[bucket + 1])
+                rows = row[first[own.start] : first[own.start] + times[own].sum()]
+                steps = np.diff(key[first[own]], prepend=np.int64(0))
+                out.append((int(bucket), None, None, None, None, _planes(steps), _planes(times[own]), _planes(rows)))
+            return pd.DataFrame(out, columns=ASKED_COLUMNS)
+
+        for batch in batches:
+            codes, place, starts = _texts(batch["codes"])
+            row = batch["row"].to_numpy(np.int64)
+            owner = np.repeat(row, np.diff(np.append(starts, len(codes))))
+            sums = np.zeros((3, len(codes)))
+            for k, here_keys in enumerate(_last(codes, depth + 1)):
+                here = np.flatnonzero(place >= k)
+                here = here[_marked(marks.value, here_keys[here])]
+                at = _find(keys, here_keys[here])
+                hit, miss = here[at >= 0], here[at < 0]
+                at = at[at >= 0]
+                sums[0, hit] += base[at] > 0
+                sums[1, hit] += base[at]
+                sums[2, hit] += score[at]
+                wanted.append((here_keys[miss], owner[miss]))
+            known, own_base, own_score = np.add.reduceat(sums, starts, axis=1) if len(codes) else np.zeros((3, 0))
+            texts.append((row, known.astype(np.int64), own_base, own_score))
+            if sum(len(k) for k, _ in wanted) >= FLUSH:
+                yield flush()
+        if texts:
+            yield flush()
+
+    return ask
+
+
+def _answered(asked: pd.DataFrame, figures: pd.DataFrame) -> pd.DataFrame:
+    """Sums per text over one bucket of keys, and the sums that the texts brought."""
+    keys, known, base, score = _per_key(figures["key"].to_numpy(np.int64), figures["base"] > 0, figures["base"], figures["score"])
+    found = []
+    for texts, n, own_base, own_score in asked.loc[asked["texts"].notna(), ["texts", "known", "base", "score"]].itertuples(index=False):
+        found.append((_numbers(texts), _numbers(n), np.frombuffer(own_base), np.frombuffer(own_score)))
+    for steps, times, rows in asked.loc[asked["keys"].notna(), ["keys", "times", "rows"]].itertuples(index=False):
+        at = np.repeat(_find(keys, np.cumsum(_numbers(steps))), _numbers(times))
+        row, at = _numbers(rows)[at >= 0], at[at >= 0]
+        if len(row):
+            found.append(_per_key(row, known[at], base[at], score[at]))
+    if not found:
+        return pd.DataFrame({"row": [], "known": [], "base": [], "score": []})
+    row, *sums = _per_key(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    return pd.DataFrame({"row": row, "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
 
 def score_documents(
@@ -520,7 +585,8 @@ def score_documents(
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.pandas_udf(_digested, "binary")("text").alias("codes"))
-    encoded = stored(rows.withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "n_tokens": (F.octet_length("codes") / 8).cast("bigint")})
+    encoded = stored(rows, "encoded", compression="zstd")
     training = encoded.filter("NOT held_out")
     words = stored(_counted(training, 0), "word-counts", compression="zstd")
     distinct, total = words.agg(F.count("*"), F.sum("n")).first()
@@ -534,16 +600,15 @@ def score_documents(
     top = top.toPandas().sort_values("key")
     cached = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("key", "base", "score")))
     marks = spark.sparkContext.broadcast(_bitmap(figures))
-
-    added = encoded.withColumn("s", _adder(cached, marks, depth)("codes"))
-    added = added.select("row", "doc_id", "held_out", (F.octet_length("codes") / 8).cast("bigint").alias("n_tokens"), "s.*")
-    added = stored(added, "sums", compression="zstd")
     _free(spark)
-    others = added.select("row", F.explode("others").alias("key")).join(figures.filter(F.col("n") < least), "key")
-    none = {c: F.lit(None).cast(t) for c, t in added.dtypes if c in ("doc_id", "held_out", "n_tokens")}
-    rest = others.select("row", *[v.alias(c) for c, v in none.items()], (F.col("base") > 0).cast("bigint").alias("known"), "base", "score")
-    summed = added.drop("others").unionByName(rest).groupBy("row").agg(
-        *[F.max(c).alias(c) for c in none], *[F.sum(c).alias(c) for c in ("known", "base", "score")]
+
+    buckets = 1 + total * (depth + 1) // BUCKET
+    asked = encoded.select("row", "codes").mapInPandas(_asker(cached, marks, depth, buckets), ASKED)
+    others = figures.filter(F.col("n") < least).select(F.expr(f"cast(pmod(key, {buckets}L) AS int)").alias("bucket"), "key", "base", "score")
+    answers = asked.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInPandas(_answered, "row bigint, known bigint, base double, score double")
+    texts = encoded.select("row", "doc_id", "held_out", "n_tokens")
+    summed = answers.unionByName(texts, allowMissingColumns=True).groupBy("row").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "score")]
     )
     unseen = F.col("n_tokens") * F.lit(float(np.log10(ADD / whole)))
     return summed.select(
