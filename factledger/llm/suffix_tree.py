@@ -14,8 +14,8 @@ Floors are counts, the same at any corpus size: a context needs ``MIN_CONTEXT``,
 successor ``MIN_ENTRY`` occurrences. All words, contexts and successors are Spark
 tables under 64-bit digests: a text is stored as the digests of its words, the
 digest of several words is the exclusive or of theirs, turned by their age. Per
-depth, (context, next word) pairs are counted and met with their context's total
-and with the probability one level up by joins.
+depth, (context, next word) pairs are counted by bucket of their digest and met with
+their context's total and with the probability one level up by joins.
 
 Scoring is a sum of looked-up figures: a word adds its logarithm at the root, a
 state that stays adds the logarithm of what it leaves to its parent, and a successor
@@ -47,7 +47,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm.common import fold, release, row_bytes, small_batches, stored
@@ -60,7 +60,7 @@ MIN_ENTRY = 2
 DEPTH = 3
 DISCOUNT = 0.75
 PENALTY = 2.0
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 ENCODED = "struct<codes: binary, rare: array<string>, n_tokens: long>"
 CACHED = 500_000
 COMMON = 20_000  # keys that a join sends to all tasks
@@ -68,7 +68,8 @@ BITS = 26
 CHUNK = 18
 DIGESTS = 500_000
 TURN = 11
-BUCKET = 1 << 22  # look-ups that share a bucket, at most, on average
+BUCKET = 1 << 21  # tokens per bucket of pairs or of look-ups of one length, on average
+PACKED = "bucket int, keys binary, contexts binary, suffixes binary, times binary"
 ASKED = "bucket int, texts binary, known binary, base binary, score binary, keys binary, times binary, rows binary"
 ASKED_COLUMNS = [c.split()[0] for c in ASKED.split(", ")]
 
@@ -313,11 +314,6 @@ def _append(contexts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
     return ((old << np.uint64(TURN)) | (old >> np.uint64(64 - TURN))).view(np.int64) ^ nexts
 
 
-def _appended(context: str, following: str) -> Column:
-    turned = F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN))
-    return turned.bitwiseXOR(F.col(following))
-
-
 def _texts(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests of several texts after another, each token's place in its text, and the texts' starts."""
     lengths = rows.str.len().to_numpy(np.int64) // 8
@@ -364,27 +360,58 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _counter(depth: int, candidates: Broadcast | None):
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as all their first bytes, all their second bytes and so on: high bytes that agree compress away."""
+    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of tokens, combined over what a task reads."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pd.DataFrame:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pd.DataFrame({"key": key, "n": n})
+
+    for batch in batches:
+        held.append(_texts(batch["codes"])[0])
+        if sum(map(len, held)) >= FLUSH:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _counter(depth: int, candidates: Broadcast, buckets: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Counts of (context of ``depth`` words, next token), combined over what a task reads."""
+        """Counts of (context of ``depth`` words, next token), combined over what a task reads, one row per bucket of keys."""
         held: list[tuple] = []
 
         def flush() -> pd.DataFrame:
             key, context, suffix = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             key, at, n = np.unique(key, return_index=True, return_counts=True)
-            out = pd.DataFrame({"key": key, "context": context[at], "suffix": suffix[at], "n": n})
-            return out.sort_values("context") if depth else out
+            order = np.argsort(context[at])
+            order = order[np.argsort((key[order] % buckets).astype(np.min_scalar_type(buckets)), kind="stable")]
+            key, context, suffix, n = key[order], context[at[order]], suffix[at[order]], n[order]
+            cuts = np.searchsorted(key % buckets, np.arange(buckets + 1))
+            out = []
+            for bucket in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[bucket], cuts[bucket + 1])
+                steps = np.diff(context[own], prepend=np.int64(0))
+                out.append((int(bucket), _planes(key[own]) if depth > 1 else None, *map(_planes, (steps, suffix[own], n[own]))))
+            return pd.DataFrame(out, columns=["bucket", "keys", "contexts", "suffixes", "times"])
 
         for batch in batches:
             codes, place, _ = _texts(batch["codes"])
-            if depth:
-                *_, keys = _last(codes, depth)
-                here = np.flatnonzero(place >= depth)
-                here = here[_marked(candidates.value, keys[here - 1])]
-                held.append((_append(keys[here - 1], codes[here]), keys[here - 1], keys[here]))
-            else:
-                held.append((codes, codes, codes))
+            *_, keys = _last(codes, depth)
+            here = np.flatnonzero(place >= depth)
+            here = here[_marked(candidates.value, keys[here - 1])]
+            held.append((_append(keys[here - 1], codes[here]), keys[here - 1], keys[here]))
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield flush()
         if held:
@@ -393,15 +420,28 @@ def _counter(depth: int, candidates: Broadcast | None):
     return count
 
 
-def _counted(encoded: DataFrame, depth: int, candidates: Broadcast | None = None) -> DataFrame:
-    """Counts of ``depth`` + 1 tokens in a row: key, context (without the newest), suffix (without the oldest), n."""
-    pairs = encoded.select("codes").mapInPandas(_counter(depth, candidates), "key bigint, context bigint, suffix bigint, n bigint")
-    n = F.sum("n").alias("n")
-    if depth == 0:
-        return pairs.groupBy("key").agg(n)
-    if depth == 1:  # the suffix is the next word, so the key need not travel
-        return pairs.groupBy("context", "suffix").agg(n).select(_appended("context", "suffix").alias("key"), "context", "suffix", "n")
-    return pairs.groupBy("key", "context", "suffix").agg(n)
+def _pair_sums(least: int):
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of one bucket that occur ``least`` times."""
+        context = np.concatenate([np.cumsum(_numbers(c)) for c in rows["contexts"]])
+        suffix, times = (np.concatenate([_numbers(c) for c in rows[name]]) for name in ("suffixes", "times"))
+        if rows["keys"].isna().any():  # after one word the suffix is the next word, so the key need not travel
+            key = _append(context, suffix)
+        else:
+            key = np.concatenate([_numbers(k) for k in rows["keys"]])
+        key, at, which = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(which, times, len(key)).astype(np.int64)
+        often = n >= least
+        at = at[often]
+        return pd.DataFrame({"key": key[often], "context": context[at], "suffix": suffix[at], "n": n[often]})
+
+    return add
+
+
+def _counted(encoded: DataFrame, depth: int, candidates: Broadcast, buckets: int, least: int) -> DataFrame:
+    """Counts of ``depth`` + 1 tokens in a row, from ``least`` on: key, context (without the newest), suffix (without the oldest), n."""
+    packed = encoded.select("codes").mapInPandas(_counter(depth, candidates, buckets), PACKED)
+    return packed.groupBy("bucket").applyInPandas(_pair_sums(least), "key bigint, context bigint, suffix bigint, n bigint")
 
 
 def _floor(table: DataFrame, most: int) -> int:
@@ -425,7 +465,7 @@ def _meet(rows: DataFrame, table: DataFrame, on: str, least: float) -> DataFrame
     return tried.filter("_n IS NOT NULL").unionByName(others).drop("_n")
 
 
-def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, share: float, context_min: int, entry_min: int, penalty: float) -> DataFrame:
+def _figures(encoded: DataFrame, words: DataFrame, whole: float, buckets: int, depth: int, share: float, context_min: int, entry_min: int, penalty: float) -> DataFrame:
     """The learned model: rows of key, n, base and score (a key may have several), to be added up over the last 1, 2, ... tokens at every token."""
     sc = encoded.sparkSession.sparkContext
     root = (F.col("n") + ADD) / F.lit(whole)
@@ -438,7 +478,7 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
         if contexts.isEmpty():
             break
         sent = sc.broadcast(_bitmap(contexts))
-        pairs = stored(_counted(encoded, level, sent).filter(F.col("n") >= entry_min), "pairs", compression="zstd")
+        pairs = stored(_counted(encoded, level, sent, buckets, entry_min), "pairs", compression="zstd")
         above = shorter.select(F.col("key").alias("suffix"), F.col("n").alias("_n"), "p")
         met = _meet(pairs, above, "suffix", max(share, _floor(shorter, COMMON)))
         n = F.col("n").cast("double")
@@ -484,15 +524,6 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, depth: int, sha
     return out
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """64-bit numbers as all their first bytes, all their second bytes and so on: high bytes that agree compress away."""
-    return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
 def _per_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of their values."""
     keys, at = np.unique(keys, return_inverse=True)
@@ -588,13 +619,15 @@ def score_documents(
     rows = rows.withColumns({"row": F.monotonically_increasing_id(), "n_tokens": (F.octet_length("codes") / 8).cast("bigint")})
     encoded = stored(rows, "encoded", compression="zstd")
     training = encoded.filter("NOT held_out")
-    words = stored(_counted(training, 0), "word-counts", compression="zstd")
+    tallies = training.select("codes").mapInPandas(_tally, "key bigint, n bigint")
+    words = stored(tallies.groupBy("key").agg(F.sum("n").alias("n")), "word-counts", compression="zstd")
     distinct, total = words.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
     whole, share = total + ADD * (distinct + 1), word_share * total
     _free(spark)
 
-    figures = _figures(training, words, whole, depth, share, context_min, entry_min, penalty)
+    buckets = 1 + total // BUCKET
+    figures = _figures(training, words, whole, buckets, depth, share, context_min, entry_min, penalty)
     least = max(share, _floor(figures, CACHED))
     top = figures.filter(F.col("n") >= least).groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"))
     top = top.toPandas().sort_values("key")
@@ -602,7 +635,7 @@ def score_documents(
     marks = spark.sparkContext.broadcast(_bitmap(figures))
     _free(spark)
 
-    buckets = 1 + total * (depth + 1) // BUCKET
+    buckets *= depth + 1
     asked = encoded.select("row", "codes").mapInPandas(_asker(cached, marks, depth, buckets), ASKED)
     others = figures.filter(F.col("n") < least).select(F.expr(f"cast(pmod(key, {buckets}L) AS int)").alias("bucket"), "key", "base", "score")
     answers = asked.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInPandas(_answered, "row bigint, known bigint, base double, score double")

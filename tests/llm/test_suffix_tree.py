@@ -148,3 +148,10 @@ def test_counts_are_floors_at_any_corpus_size(make_docs):
     rows += [(i, "alpha omega") for i in range(1200) if held(i)][:1]
     (r,) = [r for r in score_documents(make_docs(rows)).collect() if r["held_out"]]
     assert r["score"] > r["base_score"] + 3
+
+
+def test_many_buckets_give_the_same_scores(make_docs, corpus, monkeypatch):
+    rows = lambda: sorted((repr(r["doc_id"]), r["n_known"], round(r["score"], 6)) for r in score_documents(make_docs(corpus), word_share=2.0).collect())
+    one = rows()
+    monkeypatch.setattr(suffix_tree, "BUCKET", 700)
+    assert rows() == one
