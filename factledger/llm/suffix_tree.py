@@ -61,6 +61,7 @@ DEPTH = 3
 DISCOUNT = 0.75
 PENALTY = 2.0
 FLUSH = 1 << 21
+PIECE = 1 << 19
 ENCODED = "struct<codes: binary, rare: array<string>, n_tokens: long>"
 CACHED = 500_000
 COMMON = 20_000  # keys that a join sends to all tasks
@@ -360,6 +361,14 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in order, about ``PIECE`` tokens at a time (a longer text is a piece of its own)."""
+    for batch in batches:
+        piece = np.cumsum(batch["codes"].str.len().to_numpy(np.int64)) // (8 * PIECE)
+        for _, rows in batch.groupby(piece):
+            yield rows
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """64-bit numbers as all their first bytes, all their second bytes and so on: high bytes that agree compress away."""
     return np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -406,7 +415,7 @@ def _counter(depth: int, candidates: Broadcast, buckets: int):
                 out.append((int(bucket), _planes(key[own]) if depth > 1 else None, *map(_planes, (steps, suffix[own], n[own]))))
             return pd.DataFrame(out, columns=["bucket", "keys", "contexts", "suffixes", "times"])
 
-        for batch in batches:
+        for batch in _cut(batches):
             codes, place, _ = _texts(batch["codes"])
             *_, keys = _last(codes, depth)
             here = np.flatnonzero(place >= depth)
@@ -557,7 +566,7 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
                 out.append((int(bucket), None, None, None, None, _planes(steps), _planes(times[own]), _planes(rows)))
             return pd.DataFrame(out, columns=ASKED_COLUMNS)
 
-        for batch in batches:
+        for batch in _cut(batches):
             codes, place, starts = _texts(batch["codes"])
             row = batch["row"].to_numpy(np.int64)
             owner = np.repeat(row, np.diff(np.append(starts, len(codes))))
