@@ -17,8 +17,10 @@ corpus size, is placed first-fit. Workers are hash buckets of (document, start),
 a document of any length, or an id that many rows share, is spread over them.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed
-as often as they occur; an empty table gives no pieces; special tokens in a text are
-ordinary text. Only the id and the text column are read.
+as often as they occur; an empty table gives no pieces; an added token of the tokenizer's
+file (such as an end mark) written out in a text is that one token, as the file has it; a
+text of any length is cut into as many pieces as it fills. Only the id and the text
+column are read.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ class WordTokens:
     The tokenizer splits text before each space that precedes a word, and between
     letters and a run of punctuation, and never merges across such a split. So a text
     is looked up word by word, and a new word of letters goes to the tokenizer's
-    merges at once. Whatever else there is goes through the whole tokenizer.
+    merges at once. Whatever else there is, added tokens among it, goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -61,7 +64,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = [*_UNSAFE, "\0", *added]
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -101,7 +105,7 @@ class WordTokens:
         new: set[str] = set()
         known = self.known
         for text in texts:
-            if text.endswith(" ") or "\0" in text or any(pair in text for pair in _UNSAFE):
+            if text.endswith(" ") or any(mark in text for mark in self.whole):
                 parts.append(None)
                 continue
             parts.append(text.replace(" ", "\0 ").split("\0"))

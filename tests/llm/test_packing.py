@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_word_lookup_gives_the_tokenizers_ids(tokenizer):
@@ -27,7 +25,8 @@ def test_word_lookup_gives_the_tokenizers_ids(tokenizer):
         " leading and trailing ",
         "line\n break\n\n two \n\tthree\r\n",
         "é ß nbsp  em 　wide x  y",
-        "<|endoftext|> is text <|endoftext|>",
+        "<|endoftext|> is one token <|endoftext|>",
+        "a<|endoftext|>b <|endoftext|>, <|endoftext |>",
         "a \x1c b \x85 c",
         "日本語 テキスト 🙂🙂 end",
         "x" * 3000,
@@ -36,6 +35,12 @@ def test_word_lookup_gives_the_tokenizers_ids(tokenizer):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_follow_the_file(make_docs):
+    got = pieces(make_docs([(1, "a <|endoftext|> b")]), PATH).collect()
+    ids = np.frombuffer(bytes(got[0]["ids"]), "<u4").tolist()
+    assert len(ids) == 5 and 50256 in ids and ids[-1] == 0
+
+
 def test_cuts_cover_and_fit():
     for n in range(1, 5000):
         lengths = cuts(n)
