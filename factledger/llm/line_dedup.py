@@ -11,22 +11,22 @@ has two parts, both tables under the shared folder:
   ``min_docs`` documents share at the moment. Keys that come to be shared are
   inserted, keys that are no longer shared are deleted from it.
 
-Cleaning asks the filters first. Nearly all keys of a corpus are in none, and only
-those that pass are looked up in the exact counts, which decide: a false positive
-of a filter never drops a line. Keys are dealt to shards and documents by digest,
-counts are combined before they are shuffled, and the filters' rows stream past
-the keys of their shard, so a line that every document has is one key like others.
+Cleaning asks the filters first: the documents' lines are dealt once to their shards'
+filters, and only rows that pass go on to the exact counts, which decide. Nearly all
+lines of a corpus pass none, and a false positive of a filter never drops a line.
+Counts are combined before they are shuffled, and a shard's rows are spread over
+several tasks by document, so a line that every document has is in no single task.
 
 Defined results: a null or empty text is one empty line; rows with one id are one
 document (null ids too); of a shared key, the document with the largest id keeps
-all its lines; an empty table cleans to an empty table. Columns other than id and
+all its lines; a text of any length counts each of its keys once; an empty table cleans to an empty table. Columns other than id and
 text pass through; the result adds one column, ``cleaned``, in place of any such column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +40,7 @@ from factledger.operators.joins import broadcast_if_small
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARDS = 256
+SPREAD = 16  # tasks that share the rows of a shard
 SLOTS = 4
 KICKS = 500
 STRIP = SPACE.encode()
@@ -182,18 +183,19 @@ def _updated(old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
 
 
 def _passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys that their shard's filter holds; in every shard the filter's row comes first."""
-    shard, held = None, None
+    """Rows whose key their shard's filter holds; in every part of a shard the filter's row comes first."""
+    place, held = None, None
     for batch in batches:
-        for number, rows in batch.groupby("shard", sort=False):
+        for here, rows in batch.groupby(["shard", "part"], sort=False):
             top = rows["key"].isna()
             if top.any():
-                shard, row = number, rows[top].iloc[0]
+                place, row = here, rows[top].iloc[0]
                 held = Cuckoo(int(row["buckets"]), row["cells"])
-            keys = [bytes(k) for k in rows["key"][~top]]
-            if shard == number and held is not None and keys:
-                found = [k for k, yes in zip(keys, held.holds(keys), strict=True) if yes]
-                yield pd.DataFrame({"key": found})
+            rows = rows[~top]
+            if place == here and held is not None and len(rows):
+                found = held.holds([bytes(k) for k in rows["key"]])
+                if found.any():
+                    yield rows.loc[found, ["key", "doc_id"]]
 
 
 def shared_keys(refs: DataFrame, min_docs: int) -> DataFrame:
@@ -212,18 +214,21 @@ class LineIndex:
     filters: DataFrame
     min_docs: int = MIN_DOCS
     shards: int = SHARDS
+    spread: int = SPREAD
 
     @staticmethod
-    def empty(spark: SparkSession, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
+    def empty(spark: SparkSession, min_docs: int = MIN_DOCS, shards: int = SHARDS, spread: int = SPREAD) -> LineIndex:
         none = spark.createDataFrame([], REFS)
-        return LineIndex(none, shared_keys(none, min_docs), spark.createDataFrame([], FILTERS), min_docs, shards)
+        return LineIndex(none, shared_keys(none, min_docs), spark.createDataFrame([], FILTERS), min_docs, shards, spread)
 
     def _changed(self, change: DataFrame) -> LineIndex:
         """Append reference counts; only keys whose counts changed are counted again."""
         refs = self.refs.unionByName(change)
         # written, so that a join with the counts meets two plain shuffles, of which Spark splits a hot key's side
         touched = stored(change.select("key").distinct(), "touched-lines")
-        now = shared_keys(refs.join(touched, "key", "left_semi"), self.min_docs)
+        # the change's own keys are all touched; only earlier rows are looked for
+        earlier = self.refs.join(touched, "key", "left_semi")
+        now = stored(shared_keys(earlier.unionByName(change), self.min_docs), "touched-shared")
         before = self.shared.join(touched, "key", "left_semi")
         shared = stored(self.shared.join(touched, "key", "left_anti").unionByName(now), "shared-lines")
         come = now.join(before, "key", "left_anti").select("shard", "key", F.lit(True).alias("shared"))
@@ -235,7 +240,7 @@ class LineIndex:
         filters = stored(
             updated.filter("buckets > 0").unionByName(again.applyInPandas(_built, FILTERS)), "line-filters"
         )
-        return LineIndex(refs, shared, filters, self.min_docs, self.shards)
+        return replace(self, refs=refs, shared=shared, filters=filters)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(stored(references(docs, self.shards), "line-refs"))
@@ -247,19 +252,32 @@ class LineIndex:
         lines = held.groupBy("shard", "key", "doc_id").agg((-F.sum("lines")).alias("lines")).filter("lines <> 0")
         return self._changed(stored(lines, "line-refs"))
 
-    def passing(self, keys: DataFrame) -> DataFrame:
-        """Distinct keys (shard, key) that the filters hold, false positives included."""
-        tops = self.filters.select("shard", F.lit(None).cast("binary").alias("key"), "buckets", "cells")
-        rows = keys.select("shard", "key").distinct().select(
-            "shard", "key", F.lit(0).cast("bigint").alias("buckets"), F.lit(None).cast("binary").alias("cells")
+    def passing(self, refs: DataFrame) -> DataFrame:
+        """The rows (key, doc_id) of ``refs`` whose key the filters hold, false positives included.
+
+        A shard's rows are dealt to ``spread`` tasks by document and key, each with a copy of the
+        shard's filter, so a line that very many documents hold is not in one task.
+        """
+        part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(self.spread)).cast("int")
+        tops = self.filters.select(
+            "shard",
+            F.explode(F.sequence(F.lit(0), F.lit(self.spread - 1))).alias("part"),
+            F.lit(None).cast("binary").alias("key"),
+            F.lit(None).cast("bigint").alias("doc_id"),
+            "buckets",
+            "cells",
         )
-        dealt = tops.unionByName(rows).repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first())
-        return dealt.mapInPandas(_passing, "key binary")
+        rows = refs.select(
+            "shard", part.alias("part"), "key", "doc_id", F.lit(0).cast("bigint").alias("buckets"), F.lit(None).cast("binary").alias("cells")
+        )
+        dealt = tops.unionByName(rows).repartition("shard", "part")
+        dealt = dealt.sortWithinPartitions("shard", "part", F.col("key").asc_nulls_first())
+        return dealt.mapInPandas(_passing, "key binary, doc_id bigint")
 
     def drops(self, refs: DataFrame) -> DataFrame:
-        """Per document of ``refs`` the keys it loses."""
-        decided = stored(self.shared.join(self.passing(refs), "key", "left_semi").select("key", "keeper"), "decided-lines")
-        lost = refs.join(broadcast_if_small(decided), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        """Per document of ``refs`` the keys it loses: what passes the filters meets the exact counts."""
+        exact = broadcast_if_small(self.shared.select("key", "keeper"))
+        lost = self.passing(refs).join(exact, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
     def clean(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:

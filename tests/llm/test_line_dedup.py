@@ -1,5 +1,6 @@
 import hashlib
 import random
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,11 +58,24 @@ def test_deletions_take_insertions_back(spark, make_docs, rows):
 
 def test_filters_pass_all_shared_keys(spark, make_docs):
     index = LineIndex.empty(spark, shards=4).insert(make_docs(corpus()))
-    passed = {bytes(r[0]) for r in index.passing(index.refs).collect()}
+    passed = {bytes(r["key"]) for r in index.passing(index.refs).collect()}
     shared = {bytes(r["key"]) for r in index.shared.collect()}
     assert shared and shared <= passed and len(passed) < index.refs.select("key").distinct().count()
 
 
+def test_filters_carry_the_result(spark, make_docs, rows):
+    """What no filter holds is not looked up; each row that passes does so once, also when one line is in every document."""
+    every = [(i, t + "\nthis one line is part of each and every document") for i, t in corpus()]
+    docs = make_docs(every)
+    index = LineIndex.empty(spark, shards=4, spread=3).insert(docs)
+    assert rows(digest(index.clean(docs))) == brute(every)
+    exact = index.refs.join(index.shared, "key", "left_semi").count()
+    passed = index.passing(index.refs)
+    assert exact <= passed.count() < index.refs.count() and passed.distinct().count() == passed.count()
+    emptied = replace(index, filters=index.filters.limit(0))
+    assert emptied.clean(docs).filter("cleaned.n_dropped > 0").count() == 0
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = [rng.bytes(16) for _ in range(3000)]
