@@ -9,17 +9,20 @@ is missed with a chance below 3 in 10 million, a closer pair far less often.
 What shares a bucket is confirmed on the shingles of the whole texts, without
 writing out the pairs of a bucket:
 
-1. Documents with equal sets are one class, which its smallest id stands for.
-2. Every class is compared with the smallest class of its buckets, then, where a
+1. Documents with equal sets are one class. Classes get numbers of their own, so an id
+   whose rows hold different texts is in several classes, which are linked at once.
+2. Every class is compared with the lowest class of its buckets, then, where a
    bucket still holds several components, with its best linked class. Each round is
    at most one comparison per class, however large the bucket.
 3. Buckets that then still hold several components are compared completely, but for
    pairs inside one component: the classes outside the bucket's largest component
-   against all, block by block. So no link between different components is lost.
+   against all, block by block, and set sizes alone rule out most pairs of strangers.
+   So no link between different components is lost.
 
-Components take the smallest id. Defined results: a null text, or one without a word,
+Components take the smallest id of their documents. Defined results: a null text, or one without a word,
 has an empty set and is linked with nothing; a text of fewer than five words is one
-shingle; rows that share an id are one document; rows with a null id are grouped
+shingle; rows that share an id are one document, whose links are those of all its
+texts (a row without a word stays alone even then); rows with a null id are grouped
 through the ids of equal texts and are linked with nothing else; an empty table gives
 no rows. Only the id and the text column are read.
 """
@@ -188,14 +191,15 @@ def _compared(threshold: int):
         bands = np.stack([np.asarray(b) for b in rows["bands"]])
         ids, comps = rows["id"].to_numpy(), rows["component"].to_numpy().copy()
         asks, bucket, outside = rows["asks"].to_numpy(), rows["bucket"].iloc[0], rows["outside"].to_numpy()
-        texts = rows["text"].to_numpy()
+        texts, sizes = rows["text"].to_numpy(), rows["n_shingles"].to_numpy()
         members = np.flatnonzero(~asks)
         out = []
         for i in np.flatnonzero(asks):
             band = int(next(iter(np.flatnonzero(bands[i] == bucket)), 0))
             met = (bands[members, :band] == bands[i, :band]).any(axis=1)
             twice = outside[members] & (ids[members] <= ids[i])
-            for j in members[~met & ~twice & (comps[members] != comps[i])]:
+            near = 100 * np.minimum(sizes[members], sizes[i]) >= threshold * np.maximum(sizes[members], sizes[i])
+            for j in members[~met & ~twice & near & (comps[members] != comps[i])]:
                 if comps[j] == comps[i]:
                     continue
                 for k in (i, j):
@@ -222,7 +226,7 @@ def _with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Per class one pair with a hub of its buckets: the smallest class at first, the best linked one later."""
+    """Per class one pair with a hub of its buckets: the lowest class at first, the best linked one later."""
     if links is None:
         degrees = members.withColumn("degree", F.lit(0).cast("bigint"))
     else:
@@ -263,11 +267,28 @@ def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: i
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outside_blocks") - 1)).alias("ask_block"),
         F.pmod(spot, "member_blocks").alias("member_block"),
     )
-    placed = asking.unionByName(asked).join(classes.select("id", "bands"), "id").join(texts, "id")
+    placed = asking.unionByName(asked).join(classes.select("id", "bands", "n_shingles"), "id").join(texts, "id")
     groups = placed.groupBy("bucket", "ask_block", "member_block")
     return groups.applyInPandas(_compared(threshold), LINK).distinct()
 
 
+def _same_document(signed: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one id: each with the lowest of them."""
+    held = signed.join(repeated, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+    held = stored(held.select("doc_id", "id").distinct(), "classes-of-ids")
+    lowest = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return held.join(lowest, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def _class_texts(rows: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One (id, text) per class of ``wanted`` (id, doc_id, digest); rows of an id with several are told apart by digest."""
+    wanted = broadcast_if_small(wanted)
+    single = rows.join(repeated, "doc_id", "left_anti").join(wanted, "doc_id").select("id", "text")
+    digest = F.pandas_udf(_signed, SIGNATURE)("text")["digest"]
+    several = rows.join(repeated, "doc_id", "left_semi").withColumn("digest", digest).join(wanted, ["doc_id", "digest"])
+    return single.unionByName(several.select("id", "text")).groupBy("id").agg(F.first("text").alias("text"))
+
+
 def near_duplicates(
     docs: DataFrame, threshold: int = THRESHOLD, star_rounds: int = STAR_ROUNDS, block: int = BLOCK
 ) -> DataFrame:
@@ -277,21 +298,26 @@ def near_duplicates(
     signed = rows.select("doc_id", F.pandas_udf(_signed, SIGNATURE)("text").alias("s")).select("doc_id", "s.*")
     signed = stored(signed, "signatures")
 
-    grouped = signed.filter("digest IS NOT NULL").groupBy("digest")
-    classes = stored(
-        grouped.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).filter("id IS NOT NULL"), "set-classes"
-    )
+    repeated = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = broadcast_if_small(stored(repeated.select("doc_id"), "repeated-ids"))
+    grouped = signed.filter("digest IS NOT NULL").groupBy("digest", "n_shingles")
+    classes = grouped.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).filter("doc_id IS NOT NULL")
+    # written, so a class keeps its number
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
     band_rows = classes.select(F.explode("bands").alias("bucket"), "id")
     full = band_rows.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high")
     members = stored(band_rows.join(full.select("bucket"), "bucket", "left_semi").distinct(), "buckets")
 
-    labels = None
+    links, labels = None, None
+    if not repeated.isEmpty():
+        links = stored(_same_document(signed, classes, repeated), "links")
+        if not links.isEmpty():
+            labels = components(links)
     if not members.isEmpty():
-        ids = broadcast_if_small(stored(members.select(F.col("id").alias("doc_id")).distinct(), "bucket-ids"))
-        texts = rows.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("text").alias("text"))
-        texts = stored(texts, "bucket-texts")
-        one = classes.groupBy("id").agg(F.first("bands").alias("bands"))
-        links, tried = None, None
+        found = members.select("id").distinct()
+        wanted = stored(classes.join(found, "id", "left_semi").select("id", "doc_id", "digest"), "bucket-classes")
+        texts = stored(_class_texts(rows, wanted, repeated), "bucket-texts")
+        tried = None
         for _ in range(star_rounds):
             open_ = _with_components(members, labels)
             pairs = _star_pairs(open_, links)
@@ -302,18 +328,19 @@ def near_duplicates(
             found = stored(confirmed(pairs, texts, threshold), "links")
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        rest = stored(_rest(_with_components(members, labels), one, texts, threshold, block), "links")
+        rest = stored(_rest(_with_components(members, labels), classes, texts, threshold, block), "links")
         if not rest.isEmpty():
             labels = components(links.unionByName(rest))
 
-    of_class = classes.select("digest", "id")
-    if labels is not None:
-        of_class = of_class.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        of_class = of_class.select("digest", F.coalesce("component", "id").alias("component_id"))
+    of_class = classes.select("digest", "id", F.col("doc_id").alias("lowest"))
+    if labels is None:
+        of_class = of_class.withColumnRenamed("lowest", "component_id")
     else:
-        of_class = of_class.withColumnRenamed("id", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    # rows of one id whose texts differ meet only here
+        linked = labels.join(of_class.select(F.col("id").alias("node"), "lowest"), "node")
+        smallest = linked.groupBy("component").agg(F.min("lowest").alias("component_id"))
+        linked = linked.join(smallest, "component").select(F.col("node").alias("id"), "component_id")
+        of_class = of_class.join(linked, "id", "left").withColumn("component_id", F.coalesce("component_id", "lowest"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(of_class.select("digest", "component_id"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

@@ -80,6 +80,19 @@ def test_odd_rows(make_docs, odd_rows):
     assert {r["component_id"] for r in got if r["doc_id"] is None} == {20, None}
 
 
+def test_rows_of_one_id_keep_all_their_links(make_docs, rows):
+    """An id with several texts joins the groups of all of them, in any order of rows."""
+    first, second = ([f"{c}{i}" for i in range(60)] for c in "pq")
+    a, b = " ".join(first), " ".join(second)
+    near = lambda words, end: " ".join([*words[:-1], end])
+    every = [(1, a), (5, near(first, "x")), (5, b), (3, near(second, "y")), (7, b), (9, "alone here"), (9, "alone there"), (8, "alone there")]
+    for held in (every, every[::-1]):
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(make_docs(held)).collect()}
+        assert got == {(1, 1, True), (3, 1, False), (5, 1, False), (7, 1, False), (8, 8, True), (9, 8, False)}
+        sizes = sorted(r["n_shingles"] for r in near_duplicates(make_docs(held), star_rounds=1, block=2).collect())
+        assert sizes == [1, 1, 1, 56, 56, 56, 56, 56]
+
+
 def test_empty_and_clashing_names(make_docs, corpus, rows):
     assert near_duplicates(make_docs([])).count() == 0
     clash = make_docs(corpus[:60]).withColumns({c: F.lit(1) for c in ("bands", "digest", "id", "component", "bucket")})
