@@ -48,3 +48,18 @@ def test_candidates_are_few(index, said):
 def test_empty_table(spark, tmp_path):
     empty = postings.write_postings(spark.createDataFrame([("x",)], "text string").limit(0), buckets=4, folder=str(tmp_path / "p"))
     assert postings.candidates(empty, "heed").count() == 0 and postings.candidates(empty, "").count() == 0
+
+
+def test_a_block_has_one_list_per_gram(index, said):
+    lists = index.table("postings")
+    assert lists.count() == lists.select("block", "gram").distinct().count() < lists.select(F.sum(F.size("texts"))).first()[0]
+    held = lists.select("block", "gram", F.explode("texts").alias("text_no")).join(index.table("texts"), ["block", "text_no"])
+    got = {(r.pos, r.gram) for r in held.collect()}
+    assert got == {(i, t[a : a + n]) for i, t in said if t for n in (2, 3) for a in range(len(t) - n + 1)}
+
+
+def test_a_long_text_is_gone_through_in_pieces():
+    text = "abcabd𝔘" * 40
+    whole, pieces = postings.distinct_grams([text]), postings.distinct_grams([text], 7)
+    assert whole[0].tolist() == pieces[0].tolist() and not pieces[1].any()
+    assert set(postings.gram_texts(whole[0])) == {text[i : i + n] for n in (2, 3) for i in range(len(text) - n + 1)}
