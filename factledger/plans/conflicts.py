@@ -79,17 +79,27 @@ def nearest_apart(values: np.ndarray, gap: float) -> np.ndarray:
 
     The rounded difference never grows with the smaller number, so the doubles that
     are far enough form one stretch from minus infinity up, and its end is found by
-    halving, exactly, whatever the magnitudes.
+    halving, exactly, whatever the magnitudes. It lies within a few roundings of
+    ``values - gap``; where that is checked to hold, the halving starts there.
     """
-    far = lambda at: values - at >= gap
     with np.errstate(invalid="ignore", over="ignore"):
-        low, high = _ordinals(np.full_like(values, -np.inf)), _ordinals(values)
-        some = far(np.full_like(values, -np.inf))
+        bottom = np.full_like(values, -np.inf)
+        slack = 4 * np.spacing(np.maximum(np.abs(values), gap))
+        under, over = values - gap - slack, np.minimum(values - gap + slack, values)
+        near = (values - under >= gap) & ~(values - over >= gap)
+        low, high = _ordinals(np.where(near, under, bottom)), _ordinals(np.where(near, over, values))
+        some = values - bottom >= gap
+        todo = np.arange(len(values))
         for _ in range(64):
             # the mean without overflow
-            middle = (low >> 1) + (high >> 1) + (low & high & 1)
-            good = far(_doubles(middle))
-            low, high = np.where(good, middle, low), np.where(good, high, middle)
+            l, h = low[todo], high[todo]
+            middle = (l >> 1) + (h >> 1) + (l & h & 1)
+            good = values[todo] - _doubles(middle) >= gap
+            low[todo], high[todo] = np.where(good, middle, l), np.where(good, h, middle)
+            # a mean equal to the lower end moves nothing any more
+            todo = todo[(middle != l) | ((h - l) > 1)]
+            if not len(todo):
+                break
     return np.where(some, _doubles(low), np.nan)
 
 
@@ -105,21 +115,28 @@ def _bounds(min_gap: float):
     return bounds
 
 
-def _far(cells: DataFrame, keys: list[str], min_gap: float, name: str) -> DataFrame:
-    """Per distinct value of a group the number of rows at least ``min_gap`` away, by one running total.
+def _asked(cells: DataFrame, keys: list[str], min_gap: float) -> DataFrame:
+    """Every distinct value of a group with its two questions and their answers ``upto``, by one running total.
 
-    Every value asks at two exact places: how many rows lie up to ``low``, and how many
-    below ``high``. Values sort between the two kinds of questions of one place.
+    A value asks at two exact places: how many rows lie up to ``low`` (``kind`` 2), and how many
+    below ``high`` (0). Values sort between the two kinds of questions of one place.
     """
-    asked = cells.withColumn("at", _bounds(min_gap)("value"))
+    # written, since the range partitions are sampled first
+    asked = cut_lineage(cells.withColumn("at", _bounds(min_gap)("value")))
+    none = F.lit(0).cast("bigint").alias("n")
     asks = F.array(
         F.struct(F.col("value").alias("x"), F.lit(1).alias("kind"), F.col("n").alias("n")),
-        F.struct(F.col("at.low").alias("x"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("n")),
-        F.struct(F.col("at.high").alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n")),
+        F.struct(F.col("at.low").alias("x"), F.lit(2).alias("kind"), none),
+        F.struct(F.col("at.high").alias("x"), F.lit(0).alias("kind"), none),
     )
-    points = asked.select(*keys, "value", F.explode(asks).alias("p")).select(*keys, "value", "p.*").filter("x IS NOT NULL")
-    upto = running_total(points, keys, ["x", "kind"], "n", "upto").filter("kind <> 1")
-    pair = upto.groupBy(*keys, "value").agg(
+    points = asked.select(*keys, "value", F.col("n").alias("rows"), F.explode(asks).alias("p"))
+    points = points.select(*keys, "value", "rows", "p.*").filter("x IS NOT NULL")
+    return running_total(points, keys, ["x", "kind"], "n", "upto").filter("kind <> 1")
+
+
+def _far(cells: DataFrame, keys: list[str], min_gap: float, name: str) -> DataFrame:
+    """Per distinct value of a group the number of rows at least ``min_gap`` away."""
+    pair = _asked(cells, keys, min_gap).groupBy(*keys, "value").agg(
         F.max(F.when(F.col("kind") == 2, F.col("upto"))).alias("below"),
         F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("under_high"),
     )
@@ -128,8 +145,19 @@ def _far(cells: DataFrame, keys: list[str], min_gap: float, name: str) -> DataFr
     return pair.join(totals, keys).select(*keys, "value", (F.coalesce("below", F.lit(0)) + above).alias(name))
 
 
-def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
-    """Per (person, metric, video, value): claims and exact number of conflicting claims, whatever the values' size or decimals."""
+def _ends(cells: DataFrame, keys: list[str], min_gap: float, name: str) -> DataFrame:
+    """Per group the sum over its rows of the rows at least ``min_gap`` away, summed from the answers themselves."""
+    low, high = F.col("kind") == 2, F.col("kind") == 0
+    sums = _asked(cells, keys, min_gap).groupBy(*keys).agg(
+        F.sum(F.when(low, F.col("rows") * F.col("upto")).otherwise(-F.col("rows") * F.col("upto"))).alias("counted"),
+        F.coalesce(F.sum(F.when(high, F.col("rows"))), F.lit(0)).alias("asking"),
+    )
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return sums.join(totals, keys).select(*keys, (F.col("counted") + F.col("asking") * F.col("total")).alias(name))
+
+
+def _cells(claims: DataFrame, min_gap: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims per (person, metric, video, value), per (person, metric, value), and the former of videos with conflicts of their own."""
     if not min_gap > 0:
         raise ValueError("the gap must be positive")
     keyed = _keyed(claims).withColumn("value", F.col("value").cast("double"))
@@ -138,13 +166,28 @@ def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataF
     # most videos state one number a metric, or numbers that agree: these have no conflict inside the video
     wide = cells.groupBy(*GROUP, "video").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     wide = wide.filter(apart(F.col("hi"), F.col("lo"), min_gap)).drop("lo", "hi")
-    inside = _far(cells.join(wide, [*GROUP, "video"], "left_semi"), [*GROUP, "video"], min_gap, "_own")
+    # few rows, read again for the sample of the range partitions and for the totals
+    return cells, overall, cut_lineage(cells.join(wide, [*GROUP, "video"], "left_semi"))
+
+
+def conflict_cells(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
+    """Per (person, metric, video, value): claims and exact number of conflicting claims, whatever the values' size or decimals."""
+    cells, overall, own = _cells(claims, min_gap)
+    inside = _far(own, [*GROUP, "video"], min_gap, "_own")
     counted = cells.join(_far(overall, GROUP, min_gap, "_all"), [*GROUP, "value"]).join(inside, [*GROUP, "video", "value"], "left")
     return counted.select(
         *GROUP, "video", "value", F.col("n").alias("claims"), (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("conflicts")
     )
 
 
+def conflict_ends(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
+    """Per (person, metric) with conflicts: ``ends``, the conflicts of all its claims together, without a row per claim."""
+    _, overall, own = _cells(claims, min_gap)
+    inside = _ends(own, [*GROUP, "video"], min_gap, "_own").groupBy(*GROUP).agg(F.sum("_own").alias("_own"))
+    ends = _ends(overall, GROUP, min_gap, "_all").join(inside, GROUP, "left")
+    return ends.select(*GROUP, (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("ends")).filter("ends > 0")
+
+
 def apart(high: Column, low: Column, min_gap: float) -> Column:
     """The difference of two numbers reaches the gap; two equal infinities do not differ."""
     return F.coalesce((high - low >= min_gap) & ~F.isnan(high - low), F.lit(False))
@@ -191,10 +234,9 @@ def _video_extremes(keyed: DataFrame) -> DataFrame:
 
 def conflict_totals(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Candidate pairs and people per metric, most pairs first."""
-    cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
-    per_person = cells.groupBy(*GROUP).agg(F.sum(F.col("claims") * F.col("conflicts")).alias("ends"))
     return (
-        per_person.groupBy("metric")
+        conflict_ends(claims, min_gap)
+        .groupBy("metric")
         .agg((F.sum("ends") / 2).cast("bigint").alias("pairs"), F.count("*").alias("people"))
         .orderBy(F.desc("pairs"), "metric")
     )
@@ -202,8 +244,7 @@ def conflict_totals(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> Data
 
 def conflicting_people(claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
     """Number of people with at least one candidate pair."""
-    cells = conflict_cells(claims, min_gap).filter(F.col("conflicts") > 0)
-    return cells.agg(F.countDistinct("person_id").alias("people"))
+    return conflict_ends(claims, min_gap).agg(F.countDistinct("person_id").alias("people"))
 
 
 def partners_of(picked: DataFrame, claims: DataFrame, min_gap: float = MIN_PERCENT_GAP) -> DataFrame:
