@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factledger.operators.contains import containing
 from factledger.operators.ranking import top_rows
+from factledger.session import small_tasks
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -48,6 +49,7 @@ def merge_rows(
     Stored rows always come before new ones. ``order`` columns are only read
     from ``new``.
     """
+    small_tasks(stored.sparkSession)
     columns = [c for c in stored.columns]
     old_order = [F.lit(None).cast(new.schema[o].dataType).alias(f"_o{i}") for i, o in enumerate(order)]
     new_order = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]

@@ -252,3 +252,21 @@ def test_a_hot_person_is_counted_without_pairs(spark):
 def test_the_gap_must_be_positive(spark):
     with pytest.raises(ValueError, match="positive"):
         conflicts.conflict_totals(number_rows(spark, []), 0.0)
+
+
+def test_conflict_totals_sum_the_cells_without_a_join_back_to_claims(spark):
+    import random
+
+    from factledger.plans import conflicts
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice("ab"), rng.randrange(4), rng.choice([0.0, 2.5, 5.5, 5.6, 9.0, float("inf")])) for _ in range(300)]
+    claims = spark.createDataFrame([*rows, (1, "a", 0, None), (1, "a", 1, float("nan"))], "person_id int, metric string, video_id int, value double")
+    ends = {(r.person_id, r.metric): r.ends for r in conflicts.conflict_ends(claims).collect()}
+    want: dict = {}
+    for person, metric, video, x in rows:
+        n = sum((q, label) == (person, metric) and w != video and abs(x - y) >= 3.0 for q, label, w, y in rows)
+        if person is not None and n:
+            want[person, metric] = want.get((person, metric), 0) + n
+    assert ends == want
+    assert conflicts.conflicting_people(claims).first()[0] == len({p for p, _ in want})

@@ -212,3 +212,19 @@ def test_containing_is_linear_in_long_texts(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
     assert found.count() == sum(w in t for t in texts for w in words)
+
+
+def test_sorting_tasks_read_bounded_parts(spark):
+    from factledger.operators.merge import merge_rows
+
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "128MB")
+        spark.conf.set(keys[1], "1m")
+        rows = spark.createDataFrame([(1, 2)], "a int, at int")
+        assert merge_rows(rows.limit(0), rows, ["a"], ["at"]).count() == 1
+        assert [spark.conf.get(k) for k in keys] == [f"{16 << 20}b", "1m"]
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
