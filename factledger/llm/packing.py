@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,23 @@ CLASSES = 64
 SPLIT_BELOW = 8
 WORKERS = 256
 END = 0
-CACHED = 1_000_000
+CACHED = 600_000
+MARKS_KEPT = 10_000
+#: Bytes of text that one Arrow batch brings to a worker.
+BATCH_BYTES = 4 << 20
 MARKS = ".,;:!?#*$%&|"
 SLICE_CHARS = 1 << 20
-TYPE = "array<struct<start: long, ids: binary, doc_tokens: long>>"
 #: A space before another white space: the parts around it are not independent.
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _UNSAFE = [" " + blank for blank in _BLANKS]
 
 
 class WordTokens:
-    """Token ids of texts as little-endian 32-bit bytes, with the ids of words seen before kept.
+    """Token ids of texts as little-endian 32-bit bytes, with the ids of words of letters kept.
+
+    From ``CACHED`` kept words on, only those go on that the last texts had again, so that a
+    worker's memory does not follow the corpus. What ends in marks is put together from its
+    word, and other parts hardly come again, so both go after the texts they are in.
 
     The tokenizer splits text before each space that precedes a word, and between
     letters and a run of punctuation, and never merges across such a split. So a text
@@ -84,16 +92,20 @@ class WordTokens:
         return array("I", [t.id for t in self.merge(seen)]).tobytes()
 
     def fresh(self, new: set[str]) -> dict[str, bytes]:
-        out, rest = {}, []
+        """Ids of parts that are not known; words of letters are known from here on."""
+        out, rest, known = {}, [], self.known
         for part in new:
             core = part.rstrip(MARKS)
             if core.removeprefix(" ").isalpha():
+                if core not in known:
+                    known[core] = self.word(core)
                 mark = part[len(core) :]
-                if mark not in self.marks:
-                    if len(self.marks) >= CACHED:
-                        self.marks.clear()
-                    self.marks[mark] = self.encode([mark])[0]
-                out[part] = (self.known.get(core) or self.word(core)) + self.marks[mark]
+                if mark:
+                    if mark not in self.marks:
+                        if len(self.marks) >= MARKS_KEPT:
+                            self.marks.clear()
+                        self.marks[mark] = self.encode([mark])[0]
+                    out[part] = known[core] + self.marks[mark]
             else:
                 rest.append(part)
         for i in range(0, len(rest), 1024):
@@ -102,22 +114,25 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
-        new: set[str] = set()
-        known = self.known
+        used: set[str] = set()
         for text in texts:
             if text.endswith(" ") or any(mark in text for mark in self.whole):
                 parts.append(None)
                 continue
             parts.append(text.replace(" ", "\0 ").split("\0"))
-            new.update(set(parts[-1]).difference(known))
+            used.update(parts[-1])
+        known = self.known
+        new = used.difference(known)
         fresh = self.fresh(new)
-        if len(known) < CACHED:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = lambda w: known[w] if w in known else fresh[w]
+        known.update(fresh)
         whole = iter(self.encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        out = [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        for part in fresh:
+            del known[part]
+        if len(known) >= CACHED:
+            again = used - new
+            self.known = {word: known[word] for word in again} if len(again) < CACHED else {}
+        return out
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -146,35 +161,52 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def piece_rows(ids: bytes, capacity: int = CAPACITY) -> list[dict]:
-    n, at, out = len(ids) // 4, 0, []
-    for length in cuts(n, capacity):
-        out.append({"start": at, "ids": ids[4 * at : 4 * (at + length)], "doc_tokens": n})
-        at += length
-    return out
+def piece_rows(texts: list[bytes], capacity: int = CAPACITY) -> tuple[pa.Array, ...]:
+    """Of the pieces of all texts: which text, start, ids and the text's number of ids."""
+    row, start, ids, total = [], [], [], []
+    for r, held in enumerate(texts):
+        n, at = len(held) // 4, 0
+        for length in cuts(n, capacity):
+            row.append(r)
+            start.append(at)
+            ids.append(held[4 * at : 4 * (at + length)])
+            total.append(n)
+            at += length
+    return pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The ids and texts of a batch, about ``SLICE_CHARS`` characters at a time (a longer text is a slice of its own)."""
+    held, chars, first = [], 0, 0
+    doc_ids, texts = batch.column("doc_id"), batch.column("text")
+    for at in range(batch.num_rows):
+        held.append(texts[at].as_py() or "")
+        chars += len(held[-1])
+        if chars >= SLICE_CHARS or at == batch.num_rows - 1:
+            yield doc_ids.slice(first, len(held)), held
+            held, chars, first = [], 0, at + 1
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids (little-endian 32-bit), doc_tokens."""
-    small_batches(docs.sparkSession)
-    tail = np.asarray([end], "<u4").tobytes()
+    """Pieces of all documents: doc_id, start, length, ids (little-endian 32-bit), doc_tokens.
 
-    @F.pandas_udf(TYPE)
-    def cut(texts: pd.Series) -> pd.Series:
-        encode, out, held, chars = tokens_of(tokenizer), [], [], 0
-        for text in texts:
-            held.append("" if text is None else text)
-            chars += len(held[-1])
-            if chars >= SLICE_CHARS:
-                out += [piece_rows(ids + tail, capacity) for ids in encode(held)]
-                held, chars = [], 0
-        if held:
-            out += [piece_rows(ids + tail, capacity) for ids in encode(held)]
-        return pd.Series(out)
-
-    found = docs.select("doc_id", F.explode(cut("text")).alias("piece"))
-    length = (F.octet_length("piece.ids") / 4).cast("bigint")
-    return found.select("doc_id", "piece.start", length.alias("length"), "piece.ids", "piece.doc_tokens")
+    A worker gives the pieces of one slice away before it takes the next.
+    """
+    small_batches(docs.sparkSession, BATCH_BYTES)
+    tail = np.asarray([end], "<u4").tobytes()
+    rows = docs.select("doc_id", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens_of(tokenizer)
+        for batch in batches:
+            for doc_ids, texts in slices(batch):
+                row, *columns = piece_rows([ids + tail for ids in encode(texts)], capacity)
+                yield pa.RecordBatch.from_arrays([doc_ids.take(row), *columns], ["doc_id", "start", "ids", "doc_tokens"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(cut, f"doc_id {kind}, start bigint, ids binary, doc_tokens bigint")
+    length = (F.octet_length("ids") / 4).cast("bigint")
+    return found.select("doc_id", "start", length.alias("length"), "ids", "doc_tokens")
 
 
 def _sequences(rows: DataFrame, group: list[str], order: list[str], base: Column) -> DataFrame:

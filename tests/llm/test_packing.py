@@ -2,11 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factledger.llm.packing import CLASSES, cuts, pack, pack_documents, pieces, tokens_of
+from factledger.llm import packing
+from factledger.llm.packing import CLASSES, cuts, pack, pack_documents, pieces, slices, tokens_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +43,26 @@ def test_added_tokens_follow_the_file(make_docs):
     assert len(ids) == 5 and 50256 in ids and ids[-1] == 0
 
 
+def test_a_worker_keeps_words_of_letters_only_and_at_most_the_bound(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 40)
+    encode = packing.WordTokens(PATH)
+    letters = "abcdefghijkl"
+    texts = [f"often {a}{b}{c}. often, {c}{b}x{a}\n12 {a}{c}" for a in letters for b in letters for c in letters[:3]]
+    for at in range(0, len(texts), 5):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encode(texts[at : at + 5])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 5]]
+        assert len(encode.known) < 40 and all(w.strip().isalpha() for w in encode.known)
+    assert " often" in encode.known
+
+
+def test_a_batch_is_worked_off_in_slices(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_CHARS", 10)
+    texts = ["abc", None, "defghijkl", "", "x" * 30, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5, 6]), pa.array(texts)], ["doc_id", "text"])
+    got = [(ids.to_pylist(), held) for ids, held in slices(batch)]
+    assert got == [([1, 2, None], ["abc", "", "defghijkl"]), ([4, 5], ["", "x" * 30]), ([6], ["y"])]
+
+
 def test_cuts_cover_and_fit():
     for n in range(1, 5000):
         lengths = cuts(n)
