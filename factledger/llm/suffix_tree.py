@@ -62,6 +62,7 @@ DISCOUNT = 0.75
 PENALTY = 2.0
 FLUSH = 1 << 21
 PIECE = 1 << 19
+BATCH_BYTES = 4 << 20  # that one Arrow batch brings to a worker, or takes from it
 ENCODED = "struct<codes: binary, rare: array<string>, n_tokens: long>"
 CACHED = 500_000
 COMMON = 20_000  # keys that a join sends to all tasks
@@ -71,6 +72,7 @@ DIGESTS = 500_000
 TURN = 11
 BUCKET = 1 << 21  # tokens per bucket of pairs or of look-ups of one length, on average
 PACKED = "bucket int, keys binary, contexts binary, suffixes binary, times binary"
+PACKED_COLUMNS = [c.split()[0] for c in PACKED.split(", ")]
 ASKED = "bucket int, texts binary, known binary, base binary, score binary, keys binary, times binary, rows binary"
 ASKED_COLUMNS = [c.split()[0] for c in ASKED.split(", ")]
 
@@ -378,21 +380,37 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows in order, about ``BATCH_BYTES`` at a time (a larger row goes alone)."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= BATCH_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of tokens, combined over what a task reads."""
     held: list[np.ndarray] = []
 
-    def flush() -> pd.DataFrame:
+    def flush() -> Iterator[pd.DataFrame]:
         key, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return pd.DataFrame({"key": key, "n": n})
+        step = BATCH_BYTES // 16
+        for at in range(0, len(key), step):
+            yield pd.DataFrame({"key": key[at : at + step], "n": n[at : at + step]})
 
     for batch in batches:
         held.append(_texts(batch["codes"])[0])
         if sum(map(len, held)) >= FLUSH:
-            yield flush()
+            yield from flush()
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _counter(depth: int, candidates: Broadcast, buckets: int):
@@ -400,20 +418,22 @@ def _counter(depth: int, candidates: Broadcast, buckets: int):
         """Counts of (context of ``depth`` words, next token), combined over what a task reads, one row per bucket of keys."""
         held: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
-            key, context, suffix = (np.concatenate(c) for c in zip(*held, strict=True))
+        def flush() -> Iterator[tuple]:
+            columns = [list(c) for c in zip(*held, strict=True)]
             held.clear()
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            order = np.argsort(context[at])
-            order = order[np.argsort((key[order] % buckets).astype(np.min_scalar_type(buckets)), kind="stable")]
-            key, context, suffix, n = key[order], context[at[order]], suffix[at[order]], n[order]
-            cuts = np.searchsorted(key % buckets, np.arange(buckets + 1))
-            out = []
+            key, context, suffix = (np.concatenate(columns.pop(0)) for _ in range(3))
+            home = (key % buckets).astype(np.min_scalar_type(buckets))
+            dealt = np.argsort(home, kind="stable")
+            cuts = np.append(0, np.cumsum(np.bincount(home, minlength=buckets)))
+            del home
+            # counted bucket by bucket, so that sorting needs no second copy of what is held
             for bucket in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[bucket], cuts[bucket + 1])
-                steps = np.diff(context[own], prepend=np.int64(0))
-                out.append((int(bucket), _planes(key[own]) if depth > 1 else None, *map(_planes, (steps, suffix[own], n[own]))))
-            return pd.DataFrame(out, columns=["bucket", "keys", "contexts", "suffixes", "times"])
+                rows = dealt[cuts[bucket] : cuts[bucket + 1]]
+                own, at, n = np.unique(key[rows], return_index=True, return_counts=True)
+                order = np.argsort(context[rows[at]])
+                rows = rows[at[order]]
+                steps = np.diff(context[rows], prepend=np.int64(0))
+                yield (int(bucket), _planes(own[order]) if depth > 1 else None, *map(_planes, (steps, suffix[rows], n[order])))
 
         for batch in _cut(batches):
             codes, place, _ = _texts(batch["codes"])
@@ -422,9 +442,9 @@ def _counter(depth: int, candidates: Broadcast, buckets: int):
             here = here[_marked(candidates.value, keys[here - 1])]
             held.append((_append(keys[here - 1], codes[here]), keys[here - 1], keys[here]))
             if sum(len(h[0]) for h in held) >= FLUSH:
-                yield flush()
+                yield from _frames(flush(), PACKED_COLUMNS)
         if held:
-            yield flush()
+            yield from _frames(flush(), PACKED_COLUMNS)
 
     return count
 
@@ -546,7 +566,7 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
         texts: list[tuple] = []
         wanted: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[tuple]:
             sums = [np.concatenate(c) for c in zip(*texts, strict=True)]
             key, row = (np.concatenate(c) for c in zip(*wanted, strict=True))
             texts.clear()
@@ -557,14 +577,13 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
             times = np.diff(np.append(first, len(key)))
             home = key[first] % buckets
-            out = [(int(sums[0][0] % buckets), *map(_planes, sums[:2]), *(c.tobytes() for c in sums[2:]), None, None, None)]
+            yield (int(sums[0][0] % buckets), *map(_planes, sums[:2]), *(c.tobytes() for c in sums[2:]), None, None, None)
             cuts = np.searchsorted(home, np.arange(buckets + 1))
             for bucket in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[bucket], cuts[bucket + 1])
                 rows = row[first[own.start] : first[own.start] + times[own].sum()]
                 steps = np.diff(key[first[own]], prepend=np.int64(0))
-                out.append((int(bucket), None, None, None, None, _planes(steps), _planes(times[own]), _planes(rows)))
-            return pd.DataFrame(out, columns=ASKED_COLUMNS)
+                yield (int(bucket), None, None, None, None, _planes(steps), _planes(times[own]), _planes(rows))
 
         for batch in _cut(batches):
             codes, place, starts = _texts(batch["codes"])
@@ -584,9 +603,9 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
             known, own_base, own_score = np.add.reduceat(sums, starts, axis=1) if len(codes) else np.zeros((3, 0))
             texts.append((row, known.astype(np.int64), own_base, own_score))
             if sum(len(k) for k, _ in wanted) >= FLUSH:
-                yield flush()
+                yield from _frames(flush(), ASKED_COLUMNS)
         if texts:
-            yield flush()
+            yield from _frames(flush(), ASKED_COLUMNS)
 
     return ask
 
@@ -623,7 +642,7 @@ def score_documents(
     Gives doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.pandas_udf(_digested, "binary")("text").alias("codes"))
     rows = rows.withColumns({"row": F.monotonically_increasing_id(), "n_tokens": (F.octet_length("codes") / 8).cast("bigint")})
     encoded = stored(rows, "encoded", compression="zstd")

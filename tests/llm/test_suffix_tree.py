@@ -3,8 +3,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,26 @@ def test_many_buckets_give_the_same_scores(make_docs, corpus, monkeypatch):
     one = rows()
     monkeypatch.setattr(suffix_tree, "BUCKET", 700)
     assert rows() == one
+
+
+def test_a_counting_worker_gives_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", 1 << 12)
+    codes = np.random.default_rng(5).integers(0, 300, 40_000)
+    texts = [codes[at : at + 400] for at in range(0, len(codes), 400)]
+    batches = [pd.DataFrame({"codes": [t.tobytes() for t in texts]})]
+    all_marked = SimpleNamespace(value=np.full(1 << (suffix_tree.BITS - 3), 255, np.uint8))
+    found = list(suffix_tree._counter(2, all_marked, 64)(iter(batches)))
+    packed = ["keys", "contexts", "suffixes", "times"]
+    assert len(found) > 10 and all(f[packed].map(len).to_numpy().sum() < 30_000 for f in found)
+    got = {}
+    for bucket, keys, *_, times in (row for f in found for row in f.itertuples(index=False)):
+        for key, n in zip(suffix_tree._numbers(keys).tolist(), suffix_tree._numbers(times).tolist(), strict=True):
+            assert key % 64 == bucket and key not in got
+            got[key] = n
+    wanted = Counter()
+    for t in texts:
+        context = suffix_tree._append(t[:-2], t[1:-1])
+        wanted.update(suffix_tree._append(context, t[2:]).tolist())
+    assert got == wanted
+    tallied = list(suffix_tree._tally(iter(batches)))
+    assert len(tallied) > 1 and dict(zip(pd.concat(tallied)["key"], pd.concat(tallied)["n"], strict=True)) == Counter(codes.tolist())
