@@ -61,6 +61,8 @@ from factledger.operators.ranking import numbered
 MAX_BITS = 28
 #: Bytes of text that one Arrow batch brings to a worker.
 BATCH_BYTES = 4 << 20
+#: Open blocks that are cut into parts at a time.
+PART_ROWS = 1024
 ROWS = "t1 bigint, t2 bigint, front bigint, low int, high int, n0 bigint, n1 bigint, hull bigint"
 EDGES = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, settled boolean, edge binary, has_left int, has_right int"
 PARTS = "t1 bigint, t2 bigint, front bigint, low int, high int, rank bigint, part int, name bigint, hull bigint, settled boolean, edge binary"
@@ -247,9 +249,7 @@ def _part_rows(shape: Shape):
     side, width = shape.block - 1, shape.part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, PART_ROWS) for whole in batches for at in range(0, whole.num_rows, PART_ROWS)):
             offsets, data = _bytes(batch.column("edge"))
             edge = data[offsets[0] : offsets[-1]]
             names = Names(edge)

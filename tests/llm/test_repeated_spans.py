@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,17 @@ def test_equal_windows_stand_at_the_same_place_of_their_blocks():
                 place[int(piece.row[t]), int(f - i + piece.shift[t])] = (int(f) - (int(f) - i), i)
     for s in range(61):
         assert len({place[0, s][1], place[1, 500 + s][1], place[2, 77 + s][1]}) == 1
+
+
+def test_open_blocks_are_cut_into_parts_some_at_a_time(monkeypatch):
+    shape, n = Shape(200), 30
+    side, rng = shape.block - 1, np.random.default_rng(6)
+    number = lambda v: pa.array(np.full(n, v, np.int32))
+    long = lambda: pa.array(rng.integers(0, 1 << 40, n))
+    edge = pa.array([rng.bytes(2 * side) for _ in range(n)], pa.binary())
+    columns = [long(), long(), long(), number(3), number(side - 5), long(), pa.array([False] * n), edge, number(side), number(side)]
+    batch = pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in repeated_spans.EDGES.split(", ")])
+    together = pa.Table.from_batches(repeated_spans._part_rows(shape)(iter([batch])))
+    monkeypatch.setattr(repeated_spans, "PART_ROWS", 7)
+    found = list(repeated_spans._part_rows(shape)(iter([batch, batch.slice(0, 0)])))
+    assert len(found) == 5 and pa.Table.from_batches(found).to_pylist() == together.to_pylist()
