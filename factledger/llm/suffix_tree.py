@@ -12,20 +12,23 @@ the words before it.
 
 Floors are counts, the same at any corpus size: a context needs ``MIN_CONTEXT``, a
 successor ``MIN_ENTRY`` occurrences. All words, contexts and successors are Spark
-tables under 64-bit digests: a text is stored as the digests of its words, the
+tables under 64-bit digests: texts are stored as pieces, some hundred thousand tokens
+with the digests of the piece's distinct words and a place among them per token; the
 digest of several words is the exclusive or of theirs, turned by their age. Per
 depth, (context, next word) pairs are counted by bucket of their digest and met with
-their context's total and with the probability one level up by joins.
+their context's total and with the probability one level up by joins; a pair whose
+suffix is too rare to be counted is too rare itself and is not sent.
 
 Scoring is a sum of looked-up figures: a word adds its logarithm at the root, a
 state that stays adds the logarithm of what it leaves to its parent, and a successor
 that the state has counted adds the difference to its true probability. The most
 frequent ``CACHED`` keys are sent to the workers. All others are asked for by
-bucket: a task sends each of its keys once, with the texts that hold it, to the
-figures of the key's bucket, and only sums per text come back; the number of buckets
-follows the tokens. A bitmap of fixed size spares keys that have no figure the way
-there. All this only saves work: no bound of it changes a result. Stored tables go
-as soon as all that reads them is stored.
+bucket, one key length after another: a task sends each of its keys once, with the
+texts that hold it, to the figures of the key's bucket, and only sums per text come
+back; the number of buckets follows the tokens. Bitmaps of fixed size, of the figures
+and of the states that stay, spare keys that have no figure the way there. All this
+only saves work: no bound of it changes a result. Stored tables and shuffles go as
+soon as all that reads them is stored.
 
 ``learn`` gives the same model in memory, for small corpora.
 
@@ -42,13 +45,15 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factledger.llm.common import fold, release, row_bytes, small_batches, stored
 
@@ -68,13 +73,13 @@ CACHED = 500_000
 COMMON = 20_000  # keys that a join sends to all tasks
 BITS = 26
 CHUNK = 18
-DIGESTS = 500_000
 TURN = 11
 BUCKET = 1 << 21  # tokens per bucket of pairs or of look-ups of one length, on average
 PACKED = "bucket int, keys binary, contexts binary, suffixes binary, times binary"
 PACKED_COLUMNS = [c.split()[0] for c in PACKED.split(", ")]
 ASKED = "bucket int, texts binary, known binary, base binary, score binary, keys binary, times binary, rows binary"
 ASKED_COLUMNS = [c.split()[0] for c in ASKED.split(", ")]
+PIECES = "row bigint, held_out boolean, n_tokens bigint, rows binary, lengths binary, words binary, codes binary"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -288,27 +293,75 @@ def learn(
     return tree
 
 
-class _Digests(dict):
-    """64-bit digests of words, kept between the batches of a worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= DIGESTS:
-            self.clear()
-        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return out
-
-
-_digests = _Digests()
-
-
-def digests(text: str | None) -> np.ndarray:
-    """Digests of a text's tokens."""
-    found = [*row_bytes(text).lower().split(), END.encode()]
-    return np.fromiter(map(_digests.__getitem__, found), np.int64, len(found))
-
+def _tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, all of them as numbers of the distinct ones, and 64-bit digests of those."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    there = pc.greater(pc.binary_length(words), 0)
+    lengths = np.bincount(owner.filter(there).to_numpy(), minlength=len(texts)) + 1
+    coded = words.filter(there).dictionary_encode()
+    found = np.array([*coded.dictionary.cast(pa.binary()).to_pylist(), END.encode()], object)
+    numbers = np.full(lengths.sum(), len(found) - 1, np.int32)
+    inner = np.ones(len(numbers), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    numbers[inner] = coded.indices.to_numpy()
+    return lengths, numbers, pd.util.hash_array(found, categorize=False).view(np.int64)
+
+
+def _piece(parts: list[tuple]) -> tuple[bytes, ...]:
+    """Texts as (row, length, numbers, words) in one row: distinct digests by frequency, and per token its place among them."""
+    rows, lengths, numbers, words = zip(*parts, strict=True)
+    at = np.cumsum([0, *map(len, words)])
+    words, same = np.unique(np.concatenate(words), return_inverse=True)
+    numbers = same[np.concatenate([n + start for n, start in zip(numbers, at, strict=False)])]
+    times = np.bincount(numbers, minlength=len(words))
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    words = words[order[: np.count_nonzero(times)]]
+    steps = np.diff(words, prepend=np.int64(0))  # words of one frequency are in the order of their digests
+    return tuple(map(_planes, (np.concatenate(rows), np.concatenate(lengths), steps, rank[numbers])))
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text without its tokens, and per fold rows of the digests of about ``PIECE`` tokens of texts."""
+    kinds = pa.schema([("rows", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
+    held: dict[bool, list[tuple]] = {False: [], True: []}
+    doc_id = None
+
+    def flush(out: bool) -> Iterator[pa.RecordBatch]:
+        packed = [pa.array([v], pa.binary()) for v in _piece(held[out])]
+        held[out].clear()
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, doc_id), pa.nulls(1, pa.int64()), pa.array([out]), pa.nulls(1, pa.int64()), *packed], ["doc_id", "row", "held_out", "n_tokens", *kinds.names]
+        )
 
-def _digested(texts: pd.Series) -> pd.Series:
-    return pd.Series([digests(t).tobytes() for t in texts])
+    for batch in batches:
+        doc_id = batch.column("doc_id").type
+        lengths, numbers, words = _tokenized(batch.column("text"))
+        none = [pa.nulls(batch.num_rows, kind) for kind in kinds.types]
+        texts = [batch.column(c) for c in ("doc_id", "row", "held_out")]
+        yield pa.RecordBatch.from_arrays([*texts, pa.array(lengths, pa.int64()), *none], ["doc_id", "row", "held_out", "n_tokens", *kinds.names])
+        row, held_out = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "held_out"))
+        owner = np.repeat(held_out, lengths)
+        for out in (False, True):
+            if (held_out == out).any():
+                held[out].append((row[held_out == out], lengths[held_out == out], numbers[owner == out], words))
+                if sum(len(p[2]) for p in held[out]) >= PIECE:
+                    yield from flush(out)
+    for out in (False, True):
+        if held[out]:
+            yield from flush(out)
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of pieces: row, and the digests of the tokens."""
+    for batch in batches:
+        for rows, lengths, words, codes in batch[["rows", "lengths", "words", "codes"]].itertuples(index=False):
+            lengths = _numbers(lengths)
+            tokens = np.cumsum(_numbers(words))[_numbers(codes)].tobytes()
+            ends = 8 * np.cumsum(lengths)
+            yield pd.DataFrame({"row": _numbers(rows), "codes": [tokens[end - 8 * n : end] for n, end in zip(lengths.tolist(), ends.tolist(), strict=True)]})
 
 
 def _append(contexts: np.ndarray, nexts: np.ndarray) -> np.ndarray:
@@ -334,20 +387,38 @@ def _last(codes: np.ndarray, length: int) -> Iterator[np.ndarray]:
         yield keys
 
 
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct slots of a task's keys, one row per chunk of slots."""
+    held: list[np.ndarray] = []
+
+    def flush() -> Iterator[tuple]:
+        slots = np.unique(np.concatenate(held)).astype(np.int64)
+        held.clear()
+        chunks = slots >> CHUNK
+        for own in np.split(slots, np.flatnonzero(np.diff(chunks)) + 1):
+            yield int(own[0] >> CHUNK), _planes(np.diff(own & ((1 << CHUNK) - 1), prepend=np.int64(0)))
+
+    for batch in batches:
+        held.append((batch["key"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.uint32))
+        if sum(map(len, held)) >= FLUSH:
+            yield from _frames(flush(), ["chunk", "steps"])
+    if sum(map(len, held)):
+        yield from _frames(flush(), ["chunk", "steps"])
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """One bit per slot that a ``key`` falls on."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << CHUNK, bool)
-        bits[rows["slot"].to_numpy(np.int64) & ((1 << CHUNK) - 1)] = True
-        chunk = rows["slot"].iloc[0] >> CHUNK
-        return pd.DataFrame({"chunk": [chunk], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        for steps in rows["steps"]:
+            bits[np.cumsum(_numbers(steps))] = True
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    slots = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot")).distinct()
-    parts = slots.groupBy(F.shiftright("slot", CHUNK)).applyInPandas(build, "chunk bigint, bits binary")
+    parts = keys.select("key").mapInPandas(_slots, "chunk bigint, steps binary").groupBy("chunk").applyInPandas(build, "chunk bigint, bits binary")
     out = np.zeros(1 << (BITS - 3), np.uint8)
     size = 1 << (CHUNK - 3)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # 8 MB, whatever the input
         out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -394,6 +465,31 @@ def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(held, columns=columns)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in order, and where in that order each distinct key starts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+
+
+def _per_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
+    if not len(keys):
+        return keys, *values
+    order, first = _runs(keys)
+    return keys[order[first]], *(np.add.reduceat(v[order].astype(float), first) for v in values)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per bucket that has keys the places of its keys, in order."""
+    home = (keys % buckets).astype(np.min_scalar_type(buckets))
+    dealt = np.argsort(home, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(home, minlength=buckets)))
+    del home
+    for bucket in np.flatnonzero(np.diff(cuts)):
+        yield int(bucket), dealt[cuts[bucket] : cuts[bucket + 1]]
+
+
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of tokens, combined over what a task reads."""
     held: list[np.ndarray] = []
@@ -413,33 +509,35 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from flush()
 
 
-def _counter(depth: int, candidates: Broadcast, buckets: int):
+def _counter(depth: int, candidates: Broadcast, buckets: int, repeated: Broadcast | None = None):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Counts of (context of ``depth`` words, next token), combined over what a task reads, one row per bucket of keys."""
+        """Counts of (context of ``depth`` words, next token), combined over what a task reads, one row per bucket of keys.
+
+        A pair is no more frequent than its suffix, so one whose suffix is not ``repeated`` need not be counted.
+        """
         held: list[tuple] = []
 
         def flush() -> Iterator[tuple]:
             columns = [list(c) for c in zip(*held, strict=True)]
             held.clear()
             key, context, suffix = (np.concatenate(columns.pop(0)) for _ in range(3))
-            home = (key % buckets).astype(np.min_scalar_type(buckets))
-            dealt = np.argsort(home, kind="stable")
-            cuts = np.append(0, np.cumsum(np.bincount(home, minlength=buckets)))
-            del home
             # counted bucket by bucket, so that sorting needs no second copy of what is held
-            for bucket in np.flatnonzero(np.diff(cuts)):
-                rows = dealt[cuts[bucket] : cuts[bucket + 1]]
-                own, at, n = np.unique(key[rows], return_index=True, return_counts=True)
-                order = np.argsort(context[rows[at]])
-                rows = rows[at[order]]
+            for bucket, rows in _dealt(key, buckets):
+                alike, first = _runs(key[rows])
+                n = np.diff(np.append(first, len(rows)))
+                rows = rows[alike[first]]
+                order = np.argsort(context[rows])
+                rows = rows[order]
                 steps = np.diff(context[rows], prepend=np.int64(0))
-                yield (int(bucket), _planes(own[order]) if depth > 1 else None, *map(_planes, (steps, suffix[rows], n[order])))
+                yield (bucket, _planes(key[rows]) if depth > 1 else None, *map(_planes, (steps, suffix[rows], n[order])))
 
         for batch in _cut(batches):
             codes, place, _ = _texts(batch["codes"])
             *_, keys = _last(codes, depth)
             here = np.flatnonzero(place >= depth)
             here = here[_marked(candidates.value, keys[here - 1])]
+            if repeated is not None:
+                here = here[_marked(repeated.value, keys[here])]
             held.append((_append(keys[here - 1], codes[here]), keys[here - 1], keys[here]))
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield from _frames(flush(), PACKED_COLUMNS)
@@ -458,18 +556,19 @@ def _pair_sums(least: int):
             key = _append(context, suffix)
         else:
             key = np.concatenate([_numbers(k) for k in rows["keys"]])
-        key, at, which = np.unique(key, return_index=True, return_inverse=True)
-        n = np.bincount(which, times, len(key)).astype(np.int64)
+        order, first = _runs(key)
+        n = np.add.reduceat(times[order], first)
         often = n >= least
-        at = at[often]
-        return pd.DataFrame({"key": key[often], "context": context[at], "suffix": suffix[at], "n": n[often]})
+        at = order[first[often]]
+        return pd.DataFrame({"key": key[at], "context": context[at], "suffix": suffix[at], "n": n[often]})
 
     return add
 
 
-def _counted(encoded: DataFrame, depth: int, candidates: Broadcast, buckets: int, least: int) -> DataFrame:
+def _counted(encoded: DataFrame, depth: int, candidates: Broadcast, buckets: int, least: int, repeated: Broadcast | None) -> DataFrame:
     """Counts of ``depth`` + 1 tokens in a row, from ``least`` on: key, context (without the newest), suffix (without the oldest), n."""
-    packed = encoded.select("codes").mapInPandas(_counter(depth, candidates, buckets), PACKED)
+    count = _counter(depth, candidates, buckets, repeated)
+    packed = encoded.mapInPandas(lambda batches: count(_unpacked(batches)), PACKED)
     return packed.groupBy("bucket").applyInPandas(_pair_sums(least), "key bigint, context bigint, suffix bigint, n bigint")
 
 
@@ -494,20 +593,24 @@ def _meet(rows: DataFrame, table: DataFrame, on: str, least: float) -> DataFrame
     return tried.filter("_n IS NOT NULL").unionByName(others).drop("_n")
 
 
-def _figures(encoded: DataFrame, words: DataFrame, whole: float, buckets: int, depth: int, share: float, context_min: int, entry_min: int, penalty: float) -> DataFrame:
-    """The learned model: rows of key, n, base and score (a key may have several), to be added up over the last 1, 2, ... tokens at every token."""
+def _figures(encoded: DataFrame, words: DataFrame, whole: float, buckets: int, depth: int, share: float, context_min: int, entry_min: int, penalty: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """The learned model: per length rows of key, n, base and score (a key may have several), to be added up over the last so many tokens at every token.
+
+    Then the keys of the states that stay: a longer key has a figure only as one of them, or where its context is one.
+    """
     sc = encoded.sparkSession.sparkContext
     root = (F.col("n") + ADD) / F.lit(whole)
     known = F.log10(root) - F.lit(float(np.log10(ADD / whole)))
-    figures = [words.select("key", "n", known.alias("base"), known.alias("score"))]
+    figures = {1: words.select("key", "n", known.alias("base"), known.alias("score"))}
     shorter = words.select("key", "n", root.alias("p"))  # probabilities one level up
     contexts = words.select("key", "n", F.lit(None).cast("bigint").alias("suffix")).filter(F.col("n") >= context_min)
     found = []
+    repeated = None
     for level in range(1, depth + 1):
         if contexts.isEmpty():
             break
         sent = sc.broadcast(_bitmap(contexts))
-        pairs = stored(_counted(encoded, level, sent, buckets, entry_min), "pairs", compression="zstd")
+        pairs = stored(_counted(encoded, level, sent, buckets, entry_min, repeated), "pairs", compression="zstd")
         above = shorter.select(F.col("key").alias("suffix"), F.col("n").alias("_n"), "p")
         met = _meet(pairs, above, "suffix", max(share, _floor(shorter, COMMON)))
         n = F.col("n").cast("double")
@@ -532,37 +635,35 @@ def _figures(encoded: DataFrame, words: DataFrame, whole: float, buckets: int, d
         shorter = entries.select("key", "n", "p")
         if level < depth:
             contexts = stored(pairs.select("key", "n", "suffix").filter(F.col("n") >= context_min), "contexts", compression="zstd")
+            repeated = sc.broadcast(_bitmap(pairs))
         release(pairs)
-    longer = None
-    for states, entries in reversed(found):
+    longer = kept_states = None
+    for level, (states, entries) in reversed([*enumerate(found, 1)]):
         stays = states.filter("passed").select("key")
         if longer is not None:
             stays = stays.unionByName(longer).distinct()
         staying = stored(states.join(stays, "key", "left_semi"), "staying", compression="zstd")
         longer = staying.select(F.col("suffix").alias("key"))
+        kept_states = staying.select("key") if kept_states is None else kept_states.unionByName(staying.select("key"))
         none = F.lit(0.0).alias("base")
-        figures.append(staying.select("key", "n", none, F.log10("rest").alias("score")))
+        own = staying.select("key", "n", none, F.log10("rest").alias("score"))
+        figures[level] = figures[level].unionByName(own) if level in figures else own
         above = staying.select(F.col("key").alias("context"), F.col("n").alias("_n"))
         kept = _meet(entries, above, "context", max(share, _floor(staying, COMMON)))
         kept = stored(kept.select("key", "n", F.col("more").alias("score")), "staying-successors", compression="zstd")
         release(states, entries)
-        figures.append(kept.select("key", "n", none, "score"))
-    out = figures[0]
-    for more in figures[1:]:
-        out = out.unionByName(more)
-    return out
-
+        after = kept.select("key", "n", none, "score")
+        figures[level + 1] = figures[level + 1].unionByName(after) if level + 1 in figures else after
+    return [figures[length] for length in sorted(figures)], kept_states
 
-def _per_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys and the sums of their values."""
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, *(np.bincount(at, v, len(keys)) for v in values)
 
+def _asker(cached: Broadcast, marks: Broadcast, states: Broadcast, length: int, buckets: int):
+    """A key of more than one token has a figure only as a state that stays, or after one."""
 
-def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per text the sums of the cached figures, and per bucket the keys that may have others, with the texts that hold them."""
+        """Per text the sums of the cached figures, and per bucket the keys of ``length`` tokens that may have others, with the texts that hold them."""
         keys, base, score = cached.value
+        places = pd.Index(keys)
         texts: list[tuple] = []
         wanted: list[tuple] = []
 
@@ -571,35 +672,28 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
             key, row = (np.concatenate(c) for c in zip(*wanted, strict=True))
             texts.clear()
             wanted.clear()
-            order = np.argsort(key, kind="stable")
-            order = order[np.argsort(key[order] % buckets, kind="stable")]
-            key, row = key[order], row[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-            times = np.diff(np.append(first, len(key)))
-            home = key[first] % buckets
             yield (int(sums[0][0] % buckets), *map(_planes, sums[:2]), *(c.tobytes() for c in sums[2:]), None, None, None)
-            cuts = np.searchsorted(home, np.arange(buckets + 1))
-            for bucket in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[bucket], cuts[bucket + 1])
-                rows = row[first[own.start] : first[own.start] + times[own].sum()]
-                steps = np.diff(key[first[own]], prepend=np.int64(0))
-                yield (int(bucket), None, None, None, None, _planes(steps), _planes(times[own]), _planes(rows))
+            for bucket, own in _dealt(key, buckets):
+                order, first = _runs(key[own])
+                own = own[order]
+                times = np.diff(np.append(first, len(own)))
+                yield (bucket, None, None, None, None, _planes(np.diff(key[own[first]], prepend=np.int64(0))), _planes(times), _planes(row[own]))
 
         for batch in _cut(batches):
             codes, place, starts = _texts(batch["codes"])
             row = batch["row"].to_numpy(np.int64)
             owner = np.repeat(row, np.diff(np.append(starts, len(codes))))
             sums = np.zeros((3, len(codes)))
-            for k, here_keys in enumerate(_last(codes, depth + 1)):
-                here = np.flatnonzero(place >= k)
-                here = here[_marked(marks.value, here_keys[here])]
-                at = _find(keys, here_keys[here])
-                hit, miss = here[at >= 0], here[at < 0]
-                at = at[at >= 0]
-                sums[0, hit] += base[at] > 0
-                sums[1, hit] += base[at]
-                sums[2, hit] += score[at]
-                wanted.append((here_keys[miss], owner[miss]))
+            *_, context, key = [codes, *_last(codes, length)]
+            here = np.flatnonzero(place >= length - 1)
+            here = here[_marked(marks.value, key[here])]
+            if length > 1:
+                here = here[_marked(states.value, context[here - 1]) | _marked(states.value, key[here])]
+            at = places.get_indexer(key[here])
+            hit, miss = here[at >= 0], here[at < 0]
+            at = at[at >= 0]
+            sums[:, hit] = base[at] > 0, base[at], score[at]
+            wanted.append((key[miss], owner[miss]))
             known, own_base, own_score = np.add.reduceat(sums, starts, axis=1) if len(codes) else np.zeros((3, 0))
             texts.append((row, known.astype(np.int64), own_base, own_score))
             if sum(len(k) for k, _ in wanted) >= FLUSH:
@@ -610,15 +704,40 @@ def _asker(cached: Broadcast, marks: Broadcast, depth: int, buckets: int):
     return ask
 
 
-def _answered(asked: pd.DataFrame, figures: pd.DataFrame) -> pd.DataFrame:
-    """Sums per text over one bucket of keys, and the sums that the texts brought."""
-    keys, known, base, score = _per_key(figures["key"].to_numpy(np.int64), figures["base"] > 0, figures["base"], figures["score"])
+def _figure_packer(buckets: int):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Figures by bucket of their key, combined over what a task reads."""
+        held: list[tuple] = []
+
+        def flush() -> Iterator[tuple]:
+            key, base, score = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            for bucket, own in _dealt(key, buckets):
+                own = own[np.argsort(key[own])]
+                yield (bucket, None, None, base[own].tobytes(), score[own].tobytes(), _planes(np.diff(key[own], prepend=np.int64(0))), None, None)
+
+        for batch in batches:
+            held.append((batch["key"].to_numpy(np.int64), batch["base"].to_numpy(float), batch["score"].to_numpy(float)))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                yield from _frames(flush(), ASKED_COLUMNS)
+        if sum(len(h[0]) for h in held):
+            yield from _frames(flush(), ASKED_COLUMNS)
+
+    return pack
+
+
+def _answered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums per text over one bucket: of the keys that the texts ask for, and of what the texts brought."""
+    figures = rows[rows["keys"].notna() & rows["rows"].isna()]
+    key = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_numbers(k)) for k in figures["keys"])])
+    own = [np.frombuffer(b"".join(figures[c])) for c in ("base", "score")]
+    keys, known, base, score = _per_key(key, (own[0] > 0).astype(float), *own)
     found = []
-    for texts, n, own_base, own_score in asked.loc[asked["texts"].notna(), ["texts", "known", "base", "score"]].itertuples(index=False):
+    for texts, n, own_base, own_score in rows.loc[rows["texts"].notna(), ["texts", "known", "base", "score"]].itertuples(index=False):
         found.append((_numbers(texts), _numbers(n), np.frombuffer(own_base), np.frombuffer(own_score)))
-    for steps, times, rows in asked.loc[asked["keys"].notna(), ["keys", "times", "rows"]].itertuples(index=False):
+    for steps, times, asking in rows.loc[rows["rows"].notna(), ["keys", "times", "rows"]].itertuples(index=False):
         at = np.repeat(_find(keys, np.cumsum(_numbers(steps))), _numbers(times))
-        row, at = _numbers(rows)[at >= 0], at[at >= 0]
+        row, at = _numbers(asking)[at >= 0], at[at >= 0]
         if len(row):
             found.append(_per_key(row, known[at], base[at], score[at]))
     if not found:
@@ -643,11 +762,12 @@ def score_documents(
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark, BATCH_BYTES)
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.pandas_udf(_digested, "binary")("text").alias("codes"))
-    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "n_tokens": (F.octet_length("codes") / 8).cast("bigint")})
-    encoded = stored(rows, "encoded", compression="zstd")
-    training = encoded.filter("NOT held_out")
-    tallies = training.select("codes").mapInPandas(_tally, "key bigint, n bigint")
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text").withColumn("row", F.monotonically_increasing_id())
+    kinds = StructType([rows.schema["doc_id"], *StructType.fromDDL(PIECES)])
+    encoded = stored(rows.mapInArrow(_encode, kinds), "encoded", compression="zstd")
+    pieces = encoded.filter("codes IS NOT NULL").select("held_out", "rows", "lengths", "words", "codes")
+    training = pieces.filter("NOT held_out")
+    tallies = training.mapInPandas(lambda batches: _tally(_unpacked(batches)), "key bigint, n bigint")
     words = stored(tallies.groupBy("key").agg(F.sum("n").alias("n")), "word-counts", compression="zstd")
     distinct, total = words.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
@@ -655,20 +775,29 @@ def score_documents(
     _free(spark)
 
     buckets = 1 + total // BUCKET
-    figures = _figures(training, words, whole, buckets, depth, share, context_min, entry_min, penalty)
-    least = max(share, _floor(figures, CACHED))
-    top = figures.filter(F.col("n") >= least).groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"))
+    figures, states = _figures(training, words, whole, buckets, depth, share, context_min, entry_min, penalty)
+    model = figures[0]
+    for more in figures[1:]:
+        model = model.unionByName(more)
+    least = max(share, _floor(model, CACHED))
+    top = model.filter(F.col("n") >= least).groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"))
     top = top.toPandas().sort_values("key")
     cached = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("key", "base", "score")))
-    marks = spark.sparkContext.broadcast(_bitmap(figures))
+    kept = spark.sparkContext.broadcast(None if states is None else _bitmap(states))
+    texts = encoded.filter("codes IS NULL").select("row", "doc_id", "held_out", "n_tokens")
     _free(spark)
 
-    buckets *= depth + 1
-    asked = encoded.select("row", "codes").mapInPandas(_asker(cached, marks, depth, buckets), ASKED)
-    others = figures.filter(F.col("n") < least).select(F.expr(f"cast(pmod(key, {buckets}L) AS int)").alias("bucket"), "key", "base", "score")
-    answers = asked.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInPandas(_answered, "row bigint, known bigint, base double, score double")
-    texts = encoded.select("row", "doc_id", "held_out", "n_tokens")
-    summed = answers.unionByName(texts, allowMissingColumns=True).groupBy("row").agg(
+    # one length after another, so that only the look-ups of one lie on disk
+    for length, table in enumerate(figures, 1):
+        marks = spark.sparkContext.broadcast(_bitmap(table))
+        ask = _asker(cached, marks, kept, length, buckets)
+        asked = pieces.mapInPandas(lambda batches, ask=ask: ask(_unpacked(batches)), ASKED)
+        others = table.filter(F.col("n") < least).select("key", "base", "score").mapInPandas(_figure_packer(buckets), ASKED)
+        answers = asked.unionByName(others).groupBy("bucket").applyInPandas(_answered, "row bigint, known bigint, base double, score double")
+        answers = stored(answers.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")]), "sums", compression="zstd")
+        texts = texts.unionByName(answers, allowMissingColumns=True)
+        _free(spark)
+    summed = texts.groupBy("row").agg(
         *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "score")]
     )
     unseen = F.col("n_tokens") * F.lit(float(np.log10(ADD / whole)))

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,71 @@ def test_a_counting_worker_gives_batches_of_bounded_size(monkeypatch):
     assert got == wanted
     tallied = list(suffix_tree._tally(iter(batches)))
     assert len(tallied) > 1 and dict(zip(pd.concat(tallied)["key"], pd.concat(tallied)["n"], strict=True)) == Counter(codes.tolist())
+
+
+def encoded_pieces(texts, held_out):
+    columns = {"doc_id": pa.array(range(len(texts))), "held_out": held_out, "text": texts, "row": pa.array(range(len(texts)))}
+    halves = [pa.RecordBatch.from_pydict({c: v[at : at + 300] for c, v in columns.items()}) for at in range(0, len(texts), 300)]
+    rows = pd.concat([b.to_pandas() for b in suffix_tree._encode(iter(halves))])
+    return rows[rows["codes"].isna()], rows[rows["codes"].notna()]
+
+
+def test_pieces_hold_all_tokens_in_few_bytes():
+    rng = random.Random(4)
+    texts = [" ".join(f"Word{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(0, 400))) for _ in range(600)] + [None, "", " \n", "\x0bÄÖ y\x1cq  "]
+    held_out = [i % 10 == 0 for i in range(len(texts))]
+    rows, pieces = encoded_pieces(texts, held_out)
+    assert rows["n_tokens"].tolist() == [len(toks(t)) for t in texts] and rows["held_out"].tolist() == held_out
+    words, seen = {}, []
+    for out in (False, True):
+        for f in suffix_tree._unpacked(iter([pieces[pieces["held_out"] == out]])):
+            for row, codes in f.itertuples(index=False):
+                assert held_out[row] == out
+                seen.append(row)
+                digests = np.frombuffer(codes, np.int64).tolist()
+                assert len(digests) == len(toks(texts[row]))
+                assert all(words.setdefault(t, d) == d for t, d in zip(toks(texts[row]), digests, strict=True))
+    assert sorted(seen) == list(range(len(texts))) and len(set(words.values())) == len(words)
+    packed = [c for name in ("rows", "lengths", "words", "codes") for c in pieces[name]]
+    zstd = pa.Codec("zstd")
+    alone = sum(len(zstd.compress(np.array([words[t] for t in toks(text)]).tobytes(), asbytes=True)) for text in texts)
+    assert sum(len(zstd.compress(c, asbytes=True)) for c in packed) < 0.6 * alone
+
+
+def test_only_pairs_with_a_repeated_suffix_are_sent():
+    codes = np.random.default_rng(6).integers(0, 60, 3000)
+    codes = suffix_tree._append(codes, codes * 7919 << 40)  # spread over all slots
+    bits = lambda keys: SimpleNamespace(value=suffix_bits(keys))
+
+    def suffix_bits(keys):
+        out = np.zeros(1 << suffix_tree.BITS, bool)
+        out[np.asarray(keys, np.int64).view(np.uint64) >> np.uint64(64 - suffix_tree.BITS)] = True
+        return np.packbits(out, bitorder="little")
+
+    batch = pd.DataFrame({"codes": [codes.tobytes()]})
+    pairs = Counter(suffix_tree._append(codes[:-1], codes[1:]).tolist())
+    all_marked = SimpleNamespace(value=np.full(1 << (suffix_tree.BITS - 3), 255, np.uint8))
+    often = bits([k for k, n in pairs.items() if n >= 2])
+
+    def counted(*more):
+        sent = pd.concat(suffix_tree._counter(2, all_marked, 4, *more)(iter([batch])))
+        kept = pd.concat([suffix_tree._pair_sums(2)(rows) for _, rows in sent.groupby("bucket")])
+        return sent["keys"].map(len).sum(), dict(zip(kept["key"], kept["n"], strict=True))
+
+    whole, part = counted(), counted(often)
+    assert part[1] == whole[1] and len(whole[1]) > 5 and part[0] < 0.8 * whole[0]
+
+
+def test_keys_are_asked_for_after_states_only():
+    codes = np.random.default_rng(7).integers(-(1 << 62), 1 << 62, 2000)
+    batch = pd.DataFrame({"row": [5, 9], "codes": [codes[:1200].tobytes(), codes[1200:].tobytes()]})
+    all_marked = SimpleNamespace(value=np.full(1 << (suffix_tree.BITS - 3), 255, np.uint8))
+    none = SimpleNamespace(value=np.zeros(1 << (suffix_tree.BITS - 3), np.uint8))
+    cached = SimpleNamespace(value=(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+    asked = lambda states, length: pd.concat(suffix_tree._asker(cached, all_marked, states, length, 8)(iter([batch])))
+    assert asked(none, 2)["keys"].isna().all()
+    found = asked(all_marked, 2).dropna(subset="keys")
+    keys = np.concatenate([np.cumsum(suffix_tree._numbers(k)) for k in found["keys"]])
+    wanted = [suffix_tree._append(c[:-1], c[1:]) for c in (codes[:1200], codes[1200:])]
+    assert sorted(keys) == sorted(np.concatenate(wanted))
+    assert sum(suffix_tree._numbers(t).sum() for t in found["times"]) == 1998
